@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, licenses, media, mixing, passages, quality, secrets, sharding
+from . import bpe, fingerprint, jaccard, licenses, media, mixing, passages, quality, secrets, sharding
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
     "op2_substring_dedup": passages.op2_substring_dedup,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_sharding": sharding.op4_sharding,
     "op5_quality": quality.op5_quality,
     "op6_bpe": bpe.op6_bpe,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_license_scans": licenses.ORACLE,
     "op2_substring_dedup": passages.ORACLE,
+    "op3_jaccard": jaccard.ORACLE,
     "op4_sharding": sharding.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
