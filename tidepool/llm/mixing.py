@@ -138,3 +138,13 @@ y AS (SELECT *, CASE part WHEN 2 THEN 1 WHEN 0 THEN 0 ELSE CASE WHEN sum(size) O
 n AS (SELECT *, CASE WHEN size > 0 THEN least(ep + more, {MAX_EPOCHS}) ELSE 0 END AS copies FROM y)
 SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, source, coalesce(array_to_string(coalesce(deal, [])[1:copies], ','), '') AS shards FROM n
 """
+
+
+def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs as the mixture takes them: a row appears as often as it is taken, and the columns stay. Rows equal in id, source
+    and text are taken together."""
+    tag = F.xxhash64("doc_id", "source", "text")
+    sizes = docs.select(tag.alias("tag"), "source", word_count(F.col("text")).alias("size"))
+    units = Staging(spark).put(sizes.groupBy("tag", "source").agg(F.sum("size").alias("size")), "sizes")
+    taken = mix(units, id_col="tag").where("copies > 0").select(F.col("tag").alias("_tag"), "copies")
+    return docs.withColumn("_tag", tag).join(taken, "_tag").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
