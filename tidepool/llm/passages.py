@@ -110,53 +110,66 @@ def _candidates(table: pa.Table, replies: pa.Table, window: int, block: int, buc
     return w, starts, w.windows(w.hashes(), window)[starts], w.windows(w.hashes(1), window, 1)[starts]
 
 
-_WINDOW = np.dtype([("b", "<u8"), ("a", "<u4")])
+def _groups(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each entry, the same for entries equal in both values."""
+    order = np.lexsort((a, b))
+    new = np.concatenate([[0], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(a)]
+    out = np.empty(len(a), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a), _WINDOW)
-    out["a"], out["b"] = a.astype(np.uint32), b
-    return out
+def _joined(columns: list, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(columns), kind)
+
+
+_WINDOWS = "bucket long, chunk long, a binary, b binary, twice binary"
+_REPEATS = "chunk long, bucket long, a binary, b binary"
 
 
 def _extend(table: pa.Table, replies: pa.Table, window: int, block: int, buckets: int) -> pa.Table:
-    """Step 3, per chunk: the full windows around hits for each bucket, distinct, and those it has twice."""
-    chunk = table.column("chunk")[0].as_py() if table.num_rows else -1
-    _, _, a, b = _candidates(table, replies, window, block, buckets) if table.num_rows else (None, None, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    order = np.argsort(_buckets(a, buckets), kind="stable")
-    at = np.searchsorted(_buckets(a, buckets)[order], np.arange(buckets + 1))
-    pairs, rows = _pairs(a, b)[order], []
-    for k in range(buckets):
-        if at[k + 1] > at[k]:
-            values, counts = np.unique(pairs[at[k] : at[k + 1]], return_counts=True)
-            rows.append((k, chunk, values.tobytes(), values[counts > 1].tobytes()))
-    columns = zip(*rows, strict=True) if rows else [[] for _ in range(4)]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "once", "twice"])
+    """Step 3, per chunk: the full windows around hits for each bucket, distinct, and whether it has them twice."""
+    rows = []
+    if table.num_rows and replies.num_rows:
+        chunk = table.column("chunk")[0].as_py()
+        _, _, a, b = _candidates(table, replies, window, block, buckets)
+        bucket, a = _buckets(a, buckets), a.astype(np.uint32)
+        group = _groups(a, b)
+        _, first, counts = np.unique(group, return_index=True, return_counts=True)
+        order = np.argsort(bucket[first], kind="stable")
+        first, twice = first[order], (counts > 1)[order]
+        at = np.searchsorted(bucket[first], np.arange(buckets + 1))
+        rows = [(k, chunk, a[first[i:j]].tobytes(), b[first[i:j]].tobytes(), twice[i:j].tobytes()) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in range(5)]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "a", "b", "twice"])
 
 
 def _confirm(table: pa.Table) -> pa.Table:
     """Step 4, per bucket: which windows stand in two places, for each chunk."""
-    once = [np.frombuffer(x, _WINDOW) for x in table.column("once").to_pylist()]
-    values, counts = np.unique(np.concatenate([*once, *(np.frombuffer(x, _WINDOW) for x in table.column("twice").to_pylist())]), return_counts=True)
-    repeated = values[counts > 1]
-    bucket = table.column("bucket")[0].as_py()
-    rows = [(c, bucket, found.tobytes()) for c, o in zip(table.column("chunk").to_pylist(), once, strict=True) if len(found := np.intersect1d(o, repeated))]
-    columns = zip(*rows, strict=True) if rows else [[], [], []]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "bucket", "hits"])
+    each_a, each_b = table.column("a").to_pylist(), table.column("b").to_pylist()
+    a, b, twice = _joined(each_a, "<u4"), _joined(each_b, "<u8"), _joined(table.column("twice").to_pylist(), "?")
+    group = _groups(a, b)
+    repeated = (np.bincount(group, weights=1 + twice) > 1)[group]
+    ends = np.cumsum([0, *(len(x) // 8 for x in each_b)])
+    bucket, rows = table.column("bucket")[0].as_py(), []
+    for c, i, j in zip(table.column("chunk").to_pylist(), ends[:-1], ends[1:], strict=True):
+        if repeated[i:j].any():
+            rows.append((c, bucket, a[i:j][repeated[i:j]].tobytes(), b[i:j][repeated[i:j]].tobytes()))
+    columns = zip(*rows, strict=True) if rows else [[] for _ in range(4)]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "a", "b"])
 
 
 def _removed(table: pa.Table, replies: pa.Table, repeats: pa.Table, window: int, block: int, buckets: int) -> tuple[Words, np.ndarray]:
     w, starts, a, b = _candidates(table, replies, window, block, buckets)
     cover = np.zeros(len(w) + 1, np.int64)
     if repeats.num_rows and len(starts):
-        own, bucket = _pairs(a, b), _buckets(a, buckets)
-        order = np.argsort(bucket, kind="stable")
-        for k, x in zip(repeats.column("bucket").to_pylist(), repeats.column("hits").to_pylist(), strict=True):
-            i, j = np.searchsorted(bucket[order], [k, k + 1])
-            mine = order[i:j]
-            s = starts[mine[np.isin(own[mine], np.frombuffer(x, _WINDOW))]]
-            cover[s] += 1
-            cover[s + window] -= 1
+        known_a, known_b = _joined(repeats.column("a").to_pylist(), "<u4"), _joined(repeats.column("b").to_pylist(), "<u8")
+        group = _groups(np.concatenate([a.astype(np.uint32), known_a]), np.concatenate([b, known_b]))
+        repeated = np.zeros(group.max() + 1, bool)
+        repeated[group[len(a) :]] = True
+        s = starts[repeated[group[: len(a)]]]
+        np.add.at(cover, s, 1)
+        np.add.at(cover, s + window, -1)
     return w, np.cumsum(cover[:-1]) > 0
 
 
@@ -170,15 +183,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     asked = rows.groupBy("chunk").applyInArrow(lambda t: _ask(t, block, buckets), _PACKED)
     hits = asked.groupBy("bucket").applyInArrow(_answer, answers)
-    extended = rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda t, r: _extend(t, r, window, block, buckets), "bucket long, chunk long, once binary, twice binary")
-    repeats = extended.groupBy("bucket").applyInArrow(_confirm, answers)
-    both = hits.select(F.lit(0).alias("step"), *hits.columns).unionByName(repeats.select(F.lit(1).alias("step"), *repeats.columns))
+    extended = rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda t, r: _extend(t, r, window, block, buckets), _WINDOWS)
+    repeats = extended.groupBy("bucket").applyInArrow(_confirm, _REPEATS)
+    both = hits.unionByName(repeats, allowMissingColumns=True)
     out = docs.select(F.col(id_col)).schema.add("n_words", "long").add("n_removed", "long")
     out = (out.add("kept", "string") if with_text else out).add("kept_sha256", "string")
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        step = replies.column("step").to_numpy()
-        w, gone = _removed(table, replies.filter(pa.array(step == 0)), replies.filter(pa.array(step == 1)), window, block, buckets)
+        confirmed = replies.column("a").is_valid()
+        w, gone = _removed(table, replies.filter(replies.column("hits").is_valid()), replies.filter(confirmed), window, block, buckets)
         n, cut, kept, sha = [], [], [], []
         for i, text in enumerate(_texts(table)):
             drop = gone[w.bounds[i] : w.bounds[i + 1]]
