@@ -26,6 +26,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import documents
 
@@ -136,7 +137,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     ``ranks_path`` is a file that every executor has, as a tokenizer package installed there gives it.
     """
     schema = docs.select(id_col).schema.add("n_tokens", "long")
-    schema = (schema.add("ids", "array<int>") if with_ids else schema).add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = (schema.add("ids", ArrayType(IntegerType())) if with_ids else schema).add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)

@@ -25,6 +25,7 @@ from re import _parser as parser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import documents
 
@@ -223,7 +224,7 @@ def joined(spans: list[tuple[int, int, int, str]]) -> str:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """id and spans (array of kind, start, end) of every row."""
     rules = rules or RULES
-    schema = docs.select(id_col).schema.add("spans", "array<struct<kind:string,start:long,end:long>>")
+    schema = docs.select(id_col).schema.add("spans", ArrayType(StructType().add("kind", "string").add("start", "long").add("end", "long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
