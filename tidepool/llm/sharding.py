@@ -21,6 +21,8 @@ from .common import Staging, crc32_sql, documents, hash_bucket, utf8
 
 #: Rows per ranking bucket, in the mean.
 BUCKET_ROWS = 200_000
+#: Buckets at least, so that a hot source is spread over many tasks.
+LEAST_BUCKETS = 64
 SHARDS = 8
 SEED = "shard-7"
 
@@ -28,7 +30,7 @@ SEED = "shard-7"
 def interleave(rows: DataFrame, shards: int, seed: str, source_col: str = "source", id_col: str = "doc_id", tie_col: str = "text_crc32") -> DataFrame:
     """The rows with shard int and slot long (gapless from 0 in each shard). Keep ``rows`` narrow: they are shuffled."""
     total = rows.count()
-    buckets = max(8, -(-total // BUCKET_ROWS))
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_ROWS))
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))  # null is a source like others
     tied = [F.col("_h"), F.col(id_col), F.col(tie_col)]
     hashed = rows.select("*", key.alias("_s"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(tie_col).cast("string"))).alias("_h")).withColumn("_b", hash_bucket(F.col("_h"), F.lit(float(buckets))))
