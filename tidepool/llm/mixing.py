@@ -29,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCKS = 4096
 SHARDS = 8
+SALTS = 64
 SEED = "mix-7"
 
 
@@ -80,7 +81,9 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     sizes = sizes.withColumn("_blocks", F.greatest(F.ceil(F.col("source_size") / per_block.cast("double")), F.lit(1)).cast("long"))
     plan = sizes.select("_s", "source_size", "target", "_blocks", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long").alias("_epochs"))
     plan = plan.withColumn("_rest", F.greatest(F.col("target") - F.col("_epochs") * F.col("source_size"), F.lit(0.0)))
-    located = keyed.join(plan, "_s").withColumn("_b", hash_bucket(F.col("_h"), F.col("_blocks").cast("double")))
+    # salted: a hot source meets its one row of the plan in SALTS places
+    salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    located = keyed.withColumn("_salt", hash_bucket(F.col("_h"), F.lit(float(SALTS)))).join(salted, ["_s", "_salt"]).drop("_salt").withColumn("_b", hash_bucket(F.col("_h"), F.col("_blocks").cast("double")))
 
     blocks = located.groupBy("_s", "_b").agg(F.sum(size_col).alias("_words"), F.first("_epochs").alias("_epochs"), F.first("_rest").alias("_rest"))
     permuted = W.partitionBy("_s").orderBy(_md5("block", F.col("_s"), F.col("_b").cast("string")), "_b")
