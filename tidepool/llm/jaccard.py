@@ -229,7 +229,8 @@ def similar_components(docs: DataFrame, join: Join, id_col: str = "doc_id", text
     placed = banded.join(staging.put(blocks, "blocks"), ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     tiled = placed.select("component", "band", "doc", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     tiled = staging.put(tiled.select("component", "band", "doc", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")), "tiled")
-    texts = narrow.where("doc IS NOT NULL AND text IS NOT NULL").join(tiled, "doc")
+    # the tiles' documents grow with the table, so they are never broadcast
+    texts = narrow.where("doc IS NOT NULL AND text IS NOT NULL").join(tiled.hint("merge"), "doc")
     links = texts.groupBy("component", "band", "lo", "hi").applyInArrow(_tile(join), "u long, v long")
     equal = stars.where("n = 1").select(F.col("doc").alias("u"), F.col("other").alias("v"))
     linked = connected_components(staging, links.union(equal))
