@@ -11,7 +11,7 @@ from .common import Staging
 def connected_components(staging: Staging, edges: DataFrame) -> DataFrame:
     """edges: u long, v long. Returns node long, component long (its smallest node) for every node that has an edge.
 
-    Each round every node joins its smallest neighbour (smallest by hashed number, so that chains shrink by a constant
+    Each round every node joins its smallest neighbour's smallest neighbour (smallest by hashed number, so that chains shrink by a constant
     factor in the mean), and the edges are rewritten between the nodes that are left. Nodes with very many neighbours only
     meet map-side minima and joins that adaptive execution can split. Each round's tables are written, so lineage stays short.
     """
@@ -21,7 +21,9 @@ def connected_components(staging: Staging, edges: DataFrame) -> DataFrame:
     now, steps = staging.put(staged.select("a", "b").where("a <> b"), "links"), []
     while not now.isEmpty():
         both = now.union(now.select("b", "a"))
-        step = staging.put(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), "step")
+        hop = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to"))
+        # the smallest neighbour's own smallest neighbour: two hops a round; every "to" is itself a node of hop
+        step = staging.put(hop.join(hop.select(F.col("a").alias("to"), F.col("to").alias("root")), "to").select("a", F.col("root").alias("to")), "step")
         left = step.select("a", F.col("to").alias("ta"))
         right = step.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         after = staging.put(now.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
