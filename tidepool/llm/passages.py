@@ -70,10 +70,11 @@ def _ask(table: pa.Table, block: int, buckets: int) -> pa.Table:
     keys, counts = np.unique(h[inside], return_counts=True)
     blocks = np.unique(h[starts])
     chunk, parts = table.column("chunk")[0].as_py(), []
+    filled = np.unique(_buckets(keys, buckets))  # the others' buckets are among these
     for x in (keys, keys[counts > 1], blocks):
-        at = np.searchsorted(_buckets(x, buckets), np.arange(buckets + 1))
-        parts.append([pack(np.sort(x[i:j].astype(np.uint32))) for i, j in zip(at[:-1], at[1:], strict=True)])
-    rows = [(b, chunk, *p) for b, p in enumerate(zip(*parts, strict=True)) if p[0]]
+        b = _buckets(x, buckets)
+        parts.append([pack(np.sort(x[i:j].astype(np.uint32))) for i, j in zip(np.searchsorted(b, filled), np.searchsorted(b, filled, "right"), strict=True)])
+    rows = [(int(b), chunk, *p) for b, *p in zip(filled, *parts, strict=True)]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "chunk", "once", "twice", "blocks"])
@@ -138,8 +139,8 @@ def _extend(table: pa.Table, replies: pa.Table, window: int, block: int, buckets
         _, first, counts = np.unique(group, return_index=True, return_counts=True)
         order = np.argsort(bucket[first], kind="stable")
         first, twice = first[order], (counts > 1)[order]
-        at = np.searchsorted(bucket[first], np.arange(buckets + 1))
-        rows = [(k, chunk, a[first[i:j]].tobytes(), b[first[i:j]].tobytes(), twice[i:j].tobytes()) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+        filled, at = np.unique(bucket[first], return_index=True)
+        rows = [(int(k), chunk, a[first[i:j]].tobytes(), b[first[i:j]].tobytes(), twice[i:j].tobytes()) for k, i, j in zip(filled, at, [*at[1:], len(first)], strict=True)]
     columns = zip(*rows, strict=True) if rows else [[] for _ in range(5)]
     return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "a", "b", "twice"])
 
