@@ -3,8 +3,9 @@
 Candidates (no link is lost, and a shared passage makes none). Sizes are cut into bands; a pair belongs to the band of its
 larger set. In a band two linked sets differ in d elements at most, so each set is cut by hash range into m > d segments, of
 which m - d at least are equal in both. Each set emits one key per segment with at least ``RICH`` elements; two sets with
-an equal key are candidates. A set with so many poor segments that all the equal ones might be poor (rare) also emits
-the smallest hashes of its prefix. A segment holds a few elements spread over the whole document, so documents that
+an equal key are candidates. Equal segments beyond one are surplus; a set leaves out half of the surplus that it is sure
+of. A set with so many poor segments that all the equal ones might be poor (rare) also emits the smallest hashes of its
+prefix. A segment holds a few elements spread over the whole document, so documents that
 merely share a passage, however common, hardly ever share one.
 
 Keys that meet are joined to stars (first inside each batch, so a very large group arrives as one row per batch), and the
@@ -101,8 +102,10 @@ class Join:
             at = np.concatenate([[0], np.searchsorted(s, edges), [n]])
             count = np.diff(at)
             key = mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(m, dtype=_U) + (_U(band) << _U(32))))
-            out.append(key[count >= RICH])
-            if (count < RICH).sum() >= m - min(own, self.differ(band)):
+            # equal rich segments beyond the first; if each of two sets leaves out half of its own surplus, one that they share stays
+            surplus = m - min(own, self.differ(band)) - int((count < RICH).sum()) - 1
+            out.append(key[count >= RICH][max(surplus, 0) // 2 :])
+            if surplus < 0:
                 prefix = n - -(-self.num * n // self.den) + 1
                 out.append(mix(s[:prefix] + mix(np.array([band + (1 << 40)], _U))))
         return np.concatenate(out)
@@ -217,6 +220,8 @@ def similar_components(docs: DataFrame, join: Join, id_col: str = "doc_id", text
 
     met = rows.where("kind = 1").select("doc", F.min("doc").over(W.partitionBy("key")).alias("other"), "n")
     stars = staging.put(met.union(rows.where("kind = 2").select("doc", "other", "n")).where("doc <> other").distinct(), "stars")
+    sets = staging.put(sets, "sets")
+    staging.drop(rows)  # the keys are as large as the texts and not needed any more
     cells = connected_components(staging, stars.select(F.col("doc").alias("u"), F.col("other").alias("v")))
 
     # one document for each set of a component
