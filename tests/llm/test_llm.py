@@ -58,6 +58,44 @@ def test_license_scan(spark):
     assert all(any(s in k for s in licenses.STEMS) for k in licenses.SENTENCES) and not any(" " in s for s in licenses.STEMS)
 
 
+def test_license_scan_merges_readings(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+    apache = """// SPDX-License-Identifier: MIT
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License.
+"""
+    rows = [(1, "".join(f"Copyright (c) {y} A\n" for y in range(2000, 2006)) + "\n" + mit, "s"), (2, apache, "s"), (3, "SPDX-License-Identifier: Apache-2.0\n\n" + mit, "s")]
+    got = {r["doc_id"]: (r["ids"], r["licenses"]) for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    full = ["MIT-GRANT", "MIT-NOTICE", "MIT-ASIS", "MIT-LIABLE"]
+    assert got[1] == (["COPYRIGHT"] * 6 + full, ["MIT"])
+    assert got[2] == (["SPDX:MIT", "APACHE2-REF", "APACHE2-COMPLY", "APACHE2-COPY", "APACHE2-ASIS", "APACHE2-SEE"], ["Apache-2.0", "MIT"])
+    assert got[3] == (["SPDX:Apache-2.0", *full], ["MIT", "Apache-2.0"])
+
+
 def brute_passages(rows, window):
     texts = [(t or "").split() for _, t, _ in rows]
     texts = [[w for w in regex.findall(r"[^\x20\x09-\x0D]+", t or "")] for _, t, _ in rows]

@@ -4,8 +4,9 @@ A text is cut into sentences, each sentence is normalised (ASCII lower case, eve
 looked up among known license sentences. The row's sequence of identifiers is then matched against ordered rules: the first
 rule whose identifiers stand next to each other in the sequence names its license and consumes them.
 
-Two readings are taken, line by line and with single line breaks joined (wrapped licenses); the one with more known
-sentences counts, line by line on a tie.
+Two readings are taken, line by line and with single line breaks joined (wrapped licenses), and merged by position: what
+either of them knows is kept, and the lines that make up a joined sentence do not count beside it. ``ORACLE`` still takes the
+reading with more known sentences, so it differs on texts in which only the other reading knows a sentence.
 
 Edge cases: null or empty texts have no sentences (empty strings, counts 0). Repeated rows are scanned row by row and stay.
 Null ids stay. Only the id and text columns are read; other columns may have any name.
@@ -97,16 +98,36 @@ STEMS = ["licen", "permission", "warrant", "redistribut", "copyright", "unencumb
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINES = r"[.!?]+[ \t\r\f\x0B]+|\n"
 _JOINED = r"[.!?:]+\s+|\n\s*\n"
+#: Both readings cut here, so that they can be merged part by part.
+_PARTS = r"[.!?]+\s+|\n\s*\n"
 
 
 def _norm(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
 
-def _known(text: Column, cut: str) -> Column:
+def _found(pieces: Column) -> Column:
+    """Of each piece with an identifier: the identifier, the piece and its place among the pieces."""
     table = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
-    ids = F.transform(F.transform(F.split(text, cut), _norm), lambda s: F.when(s.startswith("copyright "), F.lit("COPYRIGHT")).otherwise(F.coalesce(F.try_element_at(table, s), F.when(s.contains("licen"), F.lit("UNKNOWN")))))
-    return F.filter(ids, lambda i: i.isNotNull())
+    named = lambda s: F.when(s.startswith("copyright "), F.lit("COPYRIGHT")).otherwise(F.coalesce(F.try_element_at(table, s), F.when(s.contains("licen"), F.lit("UNKNOWN"))))
+    normed = F.transform(pieces, lambda s, k: F.struct(_norm(s).alias("norm"), s.alias("s"), k.alias("k")))
+    return F.filter(F.transform(normed, lambda x: F.struct(named(x["norm"]).alias("id"), x["s"].alias("s"), x["k"].alias("k"))), lambda x: x["id"].isNotNull())
+
+
+def _merge(part: Column) -> Column:
+    """Identifiers of a part: those of its lines, and the joined ones that the lines lack in place of their lines."""
+    lines, new = part["lines"], part["new"]
+    inside = lambda x: x["id"].isin("UNKNOWN", "COPYRIGHT") & F.exists(new, lambda n: (n["id"] != "COPYRIGHT") & n["s"].contains(x["s"]))
+    placed = lambda c, reading: F.transform(c, lambda x: F.struct(F.instr(part["text"], x["s"]).alias("at"), F.lit(reading).alias("reading"), x["k"].alias("k"), x["id"].alias("id")))
+    both = F.array_sort(F.concat(placed(F.filter(lines, lambda x: ~inside(x)), 0), placed(new, 1)))
+    return F.when(F.size(new) == 0, F.transform(lines, lambda x: x["id"])).otherwise(F.transform(both, lambda x: x["id"]))
+
+
+def _known(text: Column) -> Column:
+    parts = F.transform(F.split(text, _PARTS), lambda p: F.struct(p.alias("text"), _found(F.split(p, _LINES)).alias("lines"), _found(F.split(p, _JOINED)).alias("joined")))
+    lacks = lambda p, x: (x["id"] != "UNKNOWN") & ~F.exists(p["lines"], lambda y: y["id"] == x["id"])
+    parts = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), p["lines"].alias("lines"), F.filter(p["joined"], lambda x: lacks(p, x)).alias("new")))
+    return F.flatten(F.transform(parts, _merge))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,9 +139,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         hit = hit | lower.contains(stem)
     empty = F.array().cast("array<string>")
     per_row = docs.select(F.col(id_col), F.when(hit, text).alias("t"))
-    readings = per_row.select(F.col(id_col), F.when(F.col("t").isNull(), empty).otherwise(_known(F.col("t"), _LINES)).alias("a"), F.when(F.col("t").isNull(), empty).otherwise(_known(F.col("t"), _JOINED)).alias("b"))
-    known = lambda c: F.size(F.filter(c, lambda i: i != "UNKNOWN"))
-    chosen = readings.select(F.col(id_col), F.when(known(F.col("b")) > known(F.col("a")), F.col("b")).otherwise(F.col("a")).alias("ids"))
+    merged = per_row.select(F.col(id_col), F.when(F.col("t").isNull(), empty).otherwise(_known(F.col("t"))).alias("ids"))
     # each identifier stands between commas of its own, so that consuming a sequence leaves its neighbours whole
     rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(ids) + ",").alias("seq")) for name, ids in RULES))
     start = F.struct(F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")).alias("rest"), empty.alias("found"))
@@ -129,7 +148,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         taken = F.struct(F.replace(acc["rest"], rule["seq"], F.lit("|")).alias("rest"), F.array_union(acc["found"], F.array(rule["name"])).alias("found"))
         return F.when(acc["rest"].contains(rule["seq"]), taken).otherwise(acc)
 
-    return chosen.select(F.col(id_col), F.col("ids"), F.aggregate(rules, start, step)["found"].alias("licenses"))
+    return merged.select(F.col(id_col), F.col("ids"), F.aggregate(rules, start, step)["found"].alias("licenses"))
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
