@@ -96,6 +96,81 @@ SOFTWARE.
     assert got[3] == (["SPDX:Apache-2.0", *full], ["MIT", "Apache-2.0"])
 
 
+def test_license_scan_official_texts(spark):
+    gpl = """    This program is free software{} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{} either version {} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+    lgpl = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+{}
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{}
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    endorse = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.
+"""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+    apache = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+    texts = {
+        "GPL-3.0-or-later": gpl.format(":", ",", 3),
+        "GPL-2.0-or-later": gpl.format(";", ";", 2),
+        "LGPL-2.1-or-later": lgpl,
+        "BSD-2-Clause": bsd.format("", ""),
+        "BSD-3-Clause": bsd.format("", "") + endorse,
+        "ISC": isc,
+        "MPL-2.0": mpl,
+        "Apache-2.0": apache,
+        "CC-BY-4.0": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n",
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n   (See accompanying file LICENSE_1_0.txt)\n",
+        **{s: f"/* SPDX-License-Identifier: {s} */\n" for s in licenses.SPDX if s not in ("ISC", "MPL-2.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-or-later", "GPL-3.0-or-later", "CC-BY-4.0", "Unlicense", "BSL-1.0")},
+    }
+    names = list(texts)
+    got = {names[r["doc_id"]]: r for r in licenses.scan_licenses(table(spark, [(i, texts[n], "s") for i, n in enumerate(names)])).collect()}
+    assert {n: r["licenses"] for n, r in got.items()} == {n: [n] for n in names}
+    assert got["GPL-3.0-or-later"]["ids"] == ["GPL3-LATER", "GPL-HOPE", "GPL-SEE"] and got["MPL-2.0"]["ids"] == ["MPL2-REF", "MPL2-COPY"]
+
+
 def brute_passages(rows, window):
     texts = [(t or "").split() for _, t, _ in rows]
     texts = [[w for w in regex.findall(r"[^\x20\x09-\x0D]+", t or "")] for _, t, _ in rows]

@@ -5,8 +5,9 @@ looked up among known license sentences. The row's sequence of identifiers is th
 rule whose identifiers stand next to each other in the sequence names its license and consumes them.
 
 Two readings are taken, line by line and with single line breaks joined (wrapped licenses), and merged by position: what
-either of them knows is kept, and the lines that make up a joined sentence do not count beside it. ``ORACLE`` still takes the
-reading with more known sentences, so it differs on texts in which only the other reading knows a sentence.
+either of them knows is kept, and the lines that make up a joined sentence do not count beside it. Joined sentences are read
+with and without a cut at colons, and "v." before a number ends none. ``ORACLE`` still takes the reading with more known
+sentences and always cuts there, so it differs on texts in which only the other readings know a sentence.
 
 Edge cases: null or empty texts have no sentences (empty strings, counts 0). Repeated rows are scanned row by row and stay.
 Null ids stay. Only the id and text columns are read; other columns may have any name.
@@ -99,7 +100,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINES = r"[.!?]+[ \t\r\f\x0B]+|\n"
 _JOINED = r"[.!?:]+\s+|\n\s*\n"
 #: Both readings cut here, so that they can be merged part by part.
-_PARTS = r"[.!?]+\s+|\n\s*\n"
+_PARTS = r"(?<!\b[vV])[.!?]+\s+|\n\s*\n"
 
 
 def _norm(s: Column) -> Column:
@@ -124,9 +125,9 @@ def _merge(part: Column) -> Column:
 
 
 def _known(text: Column) -> Column:
-    parts = F.transform(F.split(text, _PARTS), lambda p: F.struct(p.alias("text"), _found(F.split(p, _LINES)).alias("lines"), _found(F.split(p, _JOINED)).alias("joined")))
-    lacks = lambda p, x: (x["id"] != "UNKNOWN") & ~F.exists(p["lines"], lambda y: y["id"] == x["id"])
-    parts = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), p["lines"].alias("lines"), F.filter(p["joined"], lambda x: lacks(p, x)).alias("new")))
+    parts = F.transform(F.split(text, _PARTS), lambda p: F.struct(p.alias("text"), _found(F.split(p, _LINES)).alias("lines"), _found(F.split(p, _JOINED)).alias("joined"), _found(F.array(p)).alias("whole")))
+    lacks = lambda a, x: (x["id"] != "UNKNOWN") & ~F.exists(a, lambda y: y["id"] == x["id"])
+    parts = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), p["lines"].alias("lines"), F.concat(F.filter(p["joined"], lambda x: lacks(p["lines"], x)), F.filter(p["whole"], lambda x: lacks(F.concat(p["lines"], p["joined"]), x))).alias("new")))
     return F.flatten(F.transform(parts, _merge))
 
 
