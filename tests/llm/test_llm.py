@@ -288,6 +288,21 @@ def test_quality(spark):
     assert quality.score(table(spark, EMPTY), none).count() == 0
 
 
+def test_quality_of_long_texts(spark):
+    rng = random.Random(6)
+    words = {q: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(1500)] for q in (0, 1)}
+    both = [*words[0], *words[1]]
+    text = lambda q, n: " ".join(rng.choice(words[q] if rng.random() < 0.5 else both) for _ in range(n))
+    rows = [(i, text(i % 2, 150), "s") for i in range(300)] + [(1000 + i, text(i % 2, 12_000), "s") for i in range(12)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    df = table(spark, rows)
+    model = quality.fit(df, labels)
+    long = {r["doc_id"]: r["score"] for r in quality.score(df, model).where("doc_id >= 1000").collect()}
+    assert len(long) == 12 and all((s >= quality.THRESHOLD) == bool(i % 2) for i, s in long.items())
+    features = model.sizer()
+    assert all(abs(features(t.encode())[0]) > abs(features(t[:1000].encode())[0]) / 2 for i, t, _ in rows if i >= 1000)
+
+
 def _encoders():
     import public_tokenizers
     import tiktoken

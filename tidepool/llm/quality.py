@@ -3,6 +3,8 @@
 One dictionary is trained on texts labelled good, one on texts labelled bad. A text's feature is its compressed size with the
 good dictionary less that with the bad one, over their sum; together with the text's own compressibility (size with no
 dictionary over length) it goes through a logistic calibration fitted on labelled texts that the dictionaries have not seen.
+A dictionary helps only where a text has little context of its own, so texts are compressed in pieces of ``PIECE_BYTES``, each
+with the fresh dictionary, and sizes are summed over all pieces: the feature does not shrink as a text grows.
 
 Fitting uses a bounded sample: per class ``SAMPLE_DOCS`` documents at most, those with the smallest MD5 of the id, and of
 their texts ``SAMPLE_BYTES`` in all (later ones are left out once that is reached). Even ones train, odd ones calibrate.
@@ -31,6 +33,7 @@ SAMPLE_DOCS = 3000
 SAMPLE_BYTES = 8_000_000
 DICT_BYTES = 65_536
 LEVEL = 3
+PIECE_BYTES = 1024
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -48,8 +51,9 @@ class Model:
         plain = zstandard.ZstdCompressor(level=LEVEL)
 
         def features(b: bytes) -> tuple[float, ...]:
-            g, x = (len(c.compress(b)) for c in comps)
-            return (g - x) / (g + x), len(plain.compress(b)) / (len(b) + 20), 1.0
+            pieces = [b[i : i + PIECE_BYTES] for i in range(0, len(b), PIECE_BYTES)] or [b]
+            g, x, own = (sum(len(c.compress(p)) for p in pieces) for c in (*comps, plain))
+            return (g - x) / (g + x), own / (len(b) + 20), 1.0
 
         return features
 
