@@ -219,6 +219,14 @@ def test_jaccard(small, monkeypatch, join):
     assert got == brute_components(rows, join)
 
 
+def test_keep_one_repeated_rows_and_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, near, b, c = " ".join(words), " ".join(words[:58]), " ".join(words[::-1]), " ".join(w + "x" for w in words)
+    rows = [(5, a, "s"), (5, a, "s"), (9, near, "s"), (None, a, "s"), (None, b, "s"), (None, b, "s"), (None, b, "t"), (7, c, "s"), (7, " ".join(reversed(c.split())), "s"), (8, c, "s"), (3, "", "s"), (3, "", "s"), (None, None, "s")]
+    got = jaccard.keep_one(spark, table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars"), "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(5, a), (None, b), (7, c), (7, " ".join(reversed(c.split()))), (3, ""), (3, ""), (None, None)])
+
+
 @given(st.integers(4, 400), st.floats(0, 0.3), st.integers(0, 1000))
 @settings(max_examples=300, deadline=None)
 def test_jaccard_keys_lose_no_link(size, share, seed):

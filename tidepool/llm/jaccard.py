@@ -259,10 +259,25 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document, that of the smallest id, of each group of near copies (5-word shingles, similarity 0.8)."""
-    found = similar_components(docs.select("doc_id", "text"), NEAR)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row, that of the smallest id, of each group of near copies (5-word shingles, similarity 0.8).
+
+    Each row is a document of its own, known by a hash of all its columns: repeated rows are copies, rows with one id are
+    linked by their texts only, and null ids take part and come after all others. Of rows with one id the smallest hash stays.
+    Rows without words have no copies and all stay.
+    """
+    staging = Staging(spark)
+    row = F.xxhash64(*(F.col(c) for c in docs.columns))
+    found = similar_components(docs.select(row.alias("row"), "text"), NEAR, "row")
+    found = found.groupBy("row").agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"), F.count("*").alias("times"))
+    member = found.join(docs.select(row.alias("row"), "doc_id").groupBy("row").agg(F.min("doc_id").alias("doc_id")), "row")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "times")).alias("best")
+    grouped = member.where("n > 0").groupBy("component").agg(best).select("best.row", (F.col("best.times") > 1).alias("again"))
+    keep = staging.put(grouped.union(member.where("n = 0").select("row", F.lit(False))), "keep")
+    names = docs.columns
+    kept = lambda k: docs.withColumn("_row", row).join(k.select(F.col("row").alias("_row")), "_row", "left_semi").select(*names)
+    if keep.where("again").isEmpty():
+        return kept(keep)
+    return kept(keep.where("NOT again")).union(kept(keep.where("again")).dropDuplicates())
 
 
 ORACLE = f"""
