@@ -134,13 +134,14 @@ def _extend(table: pa.Table, replies: pa.Table, window: int, block: int, buckets
     if table.num_rows and replies.num_rows:
         chunk = table.column("chunk")[0].as_py()
         _, _, a, b = _candidates(table, replies, window, block, buckets)
-        bucket, a = _buckets(a, buckets), a.astype(np.uint32)
+        bucket, a = _buckets(a, buckets), a.astype(np.uint32)  # both empty if no window of full length holds a hit
         group = _groups(a, b)
         _, first, counts = np.unique(group, return_index=True, return_counts=True)
         order = np.argsort(bucket[first], kind="stable")
         first, twice = first[order], (counts > 1)[order]
         filled, at = np.unique(bucket[first], return_index=True)
-        rows = [(int(k), chunk, a[first[i:j]].tobytes(), b[first[i:j]].tobytes(), twice[i:j].tobytes()) for k, i, j in zip(filled, at, [*at[1:], len(first)], strict=True)]
+        ends = np.append(at, len(first))[1:]
+        rows = [(int(k), chunk, a[first[i:j]].tobytes(), b[first[i:j]].tobytes(), twice[i:j].tobytes()) for k, i, j in zip(filled, at, ends, strict=True)]
     columns = zip(*rows, strict=True) if rows else [[] for _ in range(5)]
     return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "a", "b", "twice"])
 
