@@ -196,6 +196,20 @@ def test_passages_empty(spark):
     assert passages.remove_repeats(table(spark, EMPTY)).count() == 0
 
 
+def test_passages_with_hits_but_no_window(spark):
+    shared = " ".join(f"s{i}" for i in range(20))  # longer than a block, shorter than a window
+    rows = [(1, f"{shared} a b c", "s"), (2, f"x y {shared}", "s"), (3, shared, "s")]
+    assert sorted(tuple(r) for r in passages.remove_repeats(table(spark, rows), with_text=False).collect()) == brute_passages(rows, 35)
+
+
+@given(st.lists(st.tuples(st.none() | st.integers(0, 3), st.none() | st.lists(st.sampled_from("abc"), max_size=14).map(" ".join)), max_size=6), st.integers(2, 5))
+@settings(max_examples=12, deadline=None)
+def test_passages_of_small_tables(spark, rows, window):
+    rows = [(i, t, "s") for i, t in rows]
+    got = sorted((tuple(r) for r in passages.remove_repeats(table(spark, rows), window, with_text=False).collect()), key=str)
+    assert got == brute_passages(rows, window)
+
+
 def brute_components(rows, join):
     sets = []
     for _, t, _ in rows:
@@ -236,8 +250,13 @@ def test_jaccard_keys_lose_no_link(size, share, seed):
     overlap = len(np.intersect1d(a, b))
     for join in (jaccard.CONTRACT, jaccard.NEAR):
         if len(b) and not np.array_equal(a, b) and join.linked(overlap, len(a), len(b)):
-            assert len(np.intersect1d(join.keys(a), join.keys(b)))
-            assert jaccard.link_tile(join, [a, b], np.zeros(2, int), False)
+            common = np.sort(rng.choice(a, len(a) // 2, False))
+            key, owner = join.prefix_keys([a, b], common, rng.integers(1, 5, len(common)).astype(np.float32))
+            assert len(np.intersect1d(key[owner == 0], key[owner == 1]))
+            assert len(np.intersect1d(join.segment_keys(a), join.segment_keys(b)))
+            sets = sorted([a, b], key=len)
+            tile = jaccard.Tile(np.array([len(s) for s in sets]), jaccard.stacked([jaccard.bitmap(s) for s in sets]), np.arange(2), np.zeros(2, int), np.zeros(2, bool), False)
+            assert jaccard.hopeful(join, tile).all() and jaccard.forest(join, tile, sets) == [(0, 1)]
 
 
 def test_jaccard_empty(spark):

@@ -28,15 +28,27 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row in one struct, so that their names meet no inner ones."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
+def row_fields(df: DataFrame, struct: str, *new: str) -> list[Column]:
+    """The columns of ``df`` out of that struct, but for those that new ones replace."""
+    return [F.col(struct)[c].alias(c) for c in df.columns if c not in new]
+
+
 def hash_bucket(hex_hash: Column, buckets: Column) -> Column:
     """Bucket 0..buckets-1 in the order of a hexadecimal hash (its first 32 bits scaled)."""
     return F.floor(F.conv(F.substring(hex_hash, 1, 8), 16, 10).cast("double") * buckets / F.lit(4294967296.0)).cast("long")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset and all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
     return path.rstrip("/")
 
@@ -55,8 +67,9 @@ class Staging:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-        self._n = 0
+        self.token = uuid.uuid4().hex
+        self.spark, self.root = spark, f"{shared_dir(spark)}/staged-{self.token}"
+        self._n, self._live = 0, {}
         atexit.register(self._clean)
 
     def path(self, name: str) -> str:
@@ -68,11 +81,19 @@ class Staging:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_at = path
+        self._live[path] = None
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            remove(self.spark, t.staged_at)
+            if t.staged_at in self._live:
+                remove(self.spark, t.staged_at)
+                del self._live[t.staged_at]
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        for path in self._live.keys() - {t.staged_at for t in tables}:
+            remove(self.spark, path)
+            del self._live[path]
 
     def _clean(self) -> None:
         try:

@@ -1,26 +1,38 @@
 """Jaccard self-join over word shingles, exact, in size-banded tiles with hashed bitmap signatures.
 
-Candidates (no link is lost, and a shared passage makes none). Sizes are cut into bands; a pair belongs to the band of its
-larger set. In a band two linked sets differ in d elements at most, so each set is cut by hash range into m > d segments, of
-which m - d at least are equal in both. Each set emits one key per segment with at least ``RICH`` elements; two sets with
-an equal key are candidates. Equal segments beyond one are surplus; a set leaves out half of the surplus that it is sure
-of. A set with so many poor segments that all the equal ones might be poor (rare) also emits the smallest hashes of its
-prefix. A segment holds a few elements spread over the whole document, so documents that
-merely share a passage, however common, hardly ever share one.
-
-Keys that meet are joined to stars (first inside each batch, so a very large group arrives as one row per batch), and the
-candidates' components become cells: (component, band). Large cells are cut into blocks and every two blocks make a tile.
-
-Tiles. Sets get bitmaps of their hashed elements. A bit of A that B lacks proves an element of A outside B, so bit counts
-bound the overlap from above; only pairs that pass the bound are intersected exactly (sorted arrays), and only while they are
-not yet connected within the tile. A tile returns a spanning forest of its links, one row per set at most, so a group of copies
-never becomes all its pairs, but its components are those of all links.
-
-Equal sets are linked through their hash and only one of them goes on to the tiles.
+Documents with equal sets are one node, known by its set's hash; everything below is about nodes.
+
+Candidate keys, of two kinds; neither loses a link.
+
+* Segments (similarity of about 0.9 and more). Sizes are cut into bands; a pair belongs to the band of its larger set. In a
+  band two linked sets differ in d elements at most, so each set is cut by hash range into m > d segments, of which m - d at
+  least are equal in both. Each set emits one key per segment with at least ``RICH`` elements. Equal segments beyond one are
+  surplus; a set leaves out half of the surplus that it is sure of. A set with so many poor segments that all the equal ones
+  might be poor (rare) also emits the smallest hashes of its prefix. A segment holds a few elements spread over the whole
+  document, so documents that merely share a passage hardly ever share one.
+* Prefixes (below that, where segments would hold too few elements to tell documents apart). Elements have one order for all
+  documents, rarest first; two linked sets share one of the first size - least overlap + 1. How common an element is, is
+  counted over all documents as far as a task's slice of them repeats it, and the ``FREQUENT`` commonest are sent to all
+  tasks. Only the order depends on these counts, so they decide about speed and not about links.
+
+Checking. Nodes that share a key make a group.
+
+1. Stars: each node of a group is paired with one leader of the group, so a group of any size gives as many pairs as nodes. Pairs
+   whose bitmaps allow it are intersected exactly. Two leaders in turn are tried. What is linked is one part from then on.
+2. Tiles: groups that still hold several parts are cut by size bands, and large ones into blocks, every two blocks a tile. A
+   tile gets ids and bitmaps only: a bit of A that B lacks proves an element of A outside B, so bit counts bound the overlap
+   from above. Nodes with a partner of another part within the bound are fetched with their texts and intersected exactly
+   (sorted arrays), while they are not yet connected within the tile. So a tile returns a spanning forest, never all pairs.
+   Groups with the same members are tiled once.
+
+Tiles of a group are still quadratic in the number of its nodes if it falls into many parts; the key kinds above are there to
+keep such groups small.
 
 Edge cases: null texts and texts without words have the empty set and no links. Texts with fewer words than a shingle have the
-whole sequence as their one shingle. Rows with a null id count shingles but have no component (null). Rows with the same id
-are one document for links: what any of them links with, all are. Other columns are not read. An empty table gives no rows.
+whole sequence as their one shingle. A very long text is held whole by the task that reads it, with 8 bytes a word. Rows with
+a null id count shingles but have no component (null). Rows with the same id are one document for links: what any of them
+links with, all are. Other columns are not read. An empty table gives no rows. Sets are known by 64 bits of hash: of 10**10
+different ones about three pairs would be taken for one.
 """
 
 from __future__ import annotations
@@ -31,7 +43,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, Staging, documents
@@ -39,10 +50,17 @@ from .components import connected_components
 from .hashing import Words, mix
 
 _U = np.uint64
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 300_000
+#: Elements that one slice of the counting pass holds.
+SLICE_ELEMENTS = 4_000_000
+#: Elements of a common order that go to all tasks, at most.
+FREQUENT = 1 << 20
 RICH = 2
 TILE_SETS = 2000
 TILE_ELEMENTS = 1_000_000
+#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+FEW = 250_000
+MAX_BITS = 1 << 16
 _GROWTH = 1.5
 _WEIGHTS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9E6C63D0676A9A99)
 
@@ -55,6 +73,11 @@ class Join:
     num: int
     den: int
 
+    @property
+    def segmented(self) -> bool:
+        """Whether a segment of a set holds 8 elements or more in the mean, counted at the largest allowed difference."""
+        return self.num + self.den >= 16 * (self.den - self.num)
+
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         """Sorted distinct shingle hashes of each text. ASCII capitals are lowered."""
         w = Words([t.lower() for t in texts])
@@ -89,12 +112,19 @@ class Join:
         """Most elements in which two linked sets of the band differ."""
         return 2 * (band_end(band) - 1) * (self.den - self.num) // (self.den + self.num)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """All candidate keys of a set."""
+    def own(self, n: int) -> int:
+        """Elements in which a set of n can differ from a partner of its size or more; if none, only equal sets link."""
+        return n * (self.den - self.num) // self.num
+
+    def prefix(self, n: int) -> int:
+        """Two linked sets share one of so many first elements."""
+        return n - -(-self.num * n // self.den) + 1
+
+    def segment_keys(self, s: np.ndarray) -> np.ndarray:
+        """All keys of a set by segments."""
         n, out = len(s), []
-        own = n * (self.den - self.num) // self.num  # elements in which it can differ from a partner
-        if not own:
-            return np.zeros(0, _U)  # only equal sets link with it
+        if not self.own(n):
+            return np.zeros(0, _U)
         sums = np.concatenate([[_U(0)], np.cumsum(mix(s ^ _U(0x5851F42D4C957F2D)), dtype=_U)])
         for band in self.bands(n):
             m = self.segments(band)
@@ -103,13 +133,26 @@ class Join:
             count = np.diff(at)
             key = mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(m, dtype=_U) + (_U(band) << _U(32))))
             # equal rich segments beyond the first; if each of two sets leaves out half of its own surplus, one that they share stays
-            surplus = m - min(own, self.differ(band)) - int((count < RICH).sum()) - 1
+            surplus = m - min(self.own(n), self.differ(band)) - int((count < RICH).sum()) - 1
             out.append(key[count >= RICH][max(surplus, 0) // 2 :])
             if surplus < 0:
-                prefix = n - -(-self.num * n // self.den) + 1
-                out.append(mix(s[:prefix] + mix(np.array([band + (1 << 40)], _U))))
+                out.append(mix(s[: self.prefix(n)] + mix(np.array([band + (1 << 40)], _U))))
         return np.concatenate(out)
 
+    def prefix_keys(self, sets: list[np.ndarray], common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of many sets by prefixes, and the place of the set that each belongs to. common: sorted elements; counts: theirs."""
+        size = np.array([len(s) for s in sets], np.int64)
+        owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate([*sets, np.zeros(0, _U)])
+        seen = np.zeros(len(flat), np.float32)
+        if len(common) and len(flat):
+            at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+            seen = np.where(common[at] == flat, counts[at], 0).astype(np.float32)
+        order = np.lexsort((mix(flat), seen, owner))
+        rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        length = np.array([self.prefix(n) if self.own(n) else 0 for n in size.tolist()], np.int64)
+        taken = rank < np.repeat(length, size)
+        return flat[order][taken], owner[taken]
+
 
 def band_end(band: int) -> int:
     """First size beyond a band; bands grow by about a half each and start at size 1."""
@@ -126,121 +169,310 @@ def band_of(size: int) -> int:
     return band
 
 
-_ROWS = "kind int, key long, doc long, other long, n long"
+def node_of(s: np.ndarray) -> int:
+    """The hash by which a set is known (signed)."""
+    return int(mix(np.array([mix(s).sum(dtype=_U) + _U(len(s))], _U)).view(np.int64)[0])
+
+
+# --- bitmaps ---------------------------------------------------------------------------------------------------------------
+def bitmap(s: np.ndarray) -> bytes:
+    """Hashed elements as bits, 2 to 4 for each element up to ``MAX_BITS``."""
+    bits = 1 << min(MAX_BITS.bit_length() - 1, max(6, (2 * len(s) - 1).bit_length()))
+    out = np.zeros(bits, bool)
+    out[(s & _U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def stacked(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of words, the wider ones folded to the narrowest."""
+    narrow = min(map(len, maps)) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, "<u8").reshape(-1, narrow), axis=0) for m in maps])
+
+
+def within_bound(join: Join, size: np.ndarray, words: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """Those of js whose bits allow a link with i."""
+    own, theirs = words[i], words[js]
+    bound = np.minimum(size[i] - np.bitwise_count(own & ~theirs).sum(1, dtype=np.int64), size[js] - np.bitwise_count(theirs & ~own).sum(1, dtype=np.int64))
+    return js[join.den * bound >= join.num * (size[i] + size[js] - bound)]
+
+
+@dataclass
+class Tile:
+    """Sets of one tile in the order of their sizes. Pairs of one part, pairs with a leader (tested before) and, between two
+    blocks, pairs of one block don't count."""
+
+    size: np.ndarray
+    words: np.ndarray
+    part: np.ndarray
+    block: np.ndarray
+    tested: np.ndarray
+    crossing: bool
+
+    def partners(self, join: Join, i: int) -> np.ndarray:
+        """Later ones that may link with i and are not connected with it."""
+        js = np.arange(i + 1, np.searchsorted(self.size, self.size[i] * join.den // join.num, "right"))
+        js = js[(self.part[js] != self.part[i]) & ~(self.tested[js] | self.tested[i])]
+        if self.crossing:
+            js = js[self.block[js] != self.block[i]]
+        return within_bound(join, self.size, self.words, i, js) if len(js) else js
+
+
+def hopeful(join: Join, tile: Tile) -> np.ndarray:
+    """Which sets of the tile have a partner within the bound."""
+    out = np.zeros(len(tile.size), bool)
+    for i in range(len(tile.size) - 1):
+        js = tile.partners(join, i)
+        out[js] = True
+        out[i] |= len(js) > 0
+    return out
+
+
+def forest(join: Join, tile: Tile, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links between parts, as places of sets; joins the parts."""
+    out = []
+    for i in range(len(sets) - 1):
+        for j in tile.partners(join, i):
+            if tile.part[i] != tile.part[j] and join.linked(len(np.intersect1d(sets[i], sets[j], True)), len(sets[i]), len(sets[j])):
+                tile.part[tile.part == tile.part[j]] = tile.part[i]
+                out.append((i, int(j)))
+    return out
 
 
-def _pass_one(join: Join):
-    """Rows of kind 0: a row's set hash and size; 1: a key and the first document of the batch with it (n: 1 if the sets are
-    equal, else 0); 2: a document and the one that stands for it in the batch (n as before)."""
+# --- the passes over the texts ---------------------------------------------------------------------------------------------
+def _slices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids (with the text's mark) and texts in slices of about so many words."""
+    ids, texts, held = [], [], 0
+    for b in batches:
+        for i, t in zip(zip(*(c.to_pylist() for c in (b.column(0), b.column(2))), strict=True), b.column(1), strict=True):
+            ids.append(i)
+            texts.append((t.as_py() or "").encode())
+            held += len(texts[-1])
+            if held >= 6 * words:
+                yield ids, texts
+                ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def _common(staging: Staging, narrow: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest elements, sorted, and how often a slice of documents repeats them (``FREQUENT`` at most)."""
+
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(held)
+        h.sort()
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(np.append(first, len(h)))
+        return pa.record_batch([pa.array(h[first[n > 1]].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, texts in _slices(batches, BATCH_WORDS):
+            held.append(np.concatenate(join.sets(texts)))
+            size += len(held[-1])
+            if size >= SLICE_ELEMENTS:
+                yield repeated(held)
+                held, size = [], 0
+        if held:
+            yield repeated(held)
+
+    times = staging.put(narrow.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
+    by_power = {r["p"]: r["c"] for r in times.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("c")).collect()}  # 64 rows at most
+    least, held = 64, 0
+    while least > 1 and held + by_power.get(least - 1, 0) <= FREQUENT:
+        least -= 1
+        held += by_power.get(least, 0)
+    found = times.where(F.floor(F.log2("n")) >= least).toArrow()
+    staging.drop(times)
+    h, n = found.column("h").to_numpy().view(_U), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order].astype(np.float32)
+
+
+_ROWS = "kind int, key long, node long, doc long, mark long, n long, bits binary"
+
+
+def _pass_one(join: Join, common):
+    """Rows of kind 0: a document with its node and size (bitmap: at the node's first in the slice); 1: a key of a node."""
 
     def flush(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         sets = join.sets(texts)
-        whole = np.array([mix(np.array([mix(s).sum(dtype=_U) + _U(len(s))], _U))[0] for s in sets], _U)
-        yield _record(0, whole, ids, ids, np.array([len(s) for s in sets], np.int64))
-        live = [i for i, s in enumerate(sets) if len(s) and ids[i] is not None]
-        doc = np.array([ids[i] for i in live], np.int64)
-        each = [join.keys(sets[i]) for i in live]
-        same = mix(whole[live] ^ _U(0x2545F4914F6CDD1D)) if live else np.zeros(0, _U)
-        key = np.concatenate([same, *each])
-        owner = np.concatenate([np.arange(len(live)), np.repeat(np.arange(len(live)), [len(e) for e in each])]).astype(np.int64)
-        equal = np.arange(len(key)) < len(live)
-        order = np.lexsort((doc[owner], key))
-        key, owner, equal = key[order], owner[order], equal[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-        yield _record(1, key[first], doc[owner[first]], doc[owner[first]], equal[first].astype(np.int64))
-        lead = owner[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(key) else owner
-        local = np.unique(np.stack([doc[owner[~first]], doc[lead[~first]], equal[~first].astype(np.int64)], 1), axis=0) if (~first).any() else np.zeros((0, 3), np.int64)
-        yield _record(2, np.zeros(len(local), _U), local[:, 0], local[:, 1], local[:, 2])
+        node = np.array([node_of(s) for s in sets], np.int64)
+        n = np.array([len(s) for s in sets], np.int64)
+        live = np.array([i for i, (d, _) in enumerate(ids) if d is not None and n[i]], np.int64)
+        first = live[np.unique(node[live], return_index=True)[1]]
+        first.sort()
+        chosen = set(first.tolist())
+        maps = [bitmap(s) if i in chosen else None for i, s in enumerate(sets)]
+        yield _record(0, None, [int(x) if k else None for x, k in zip(node, n, strict=True)], *zip(*ids, strict=True), n, maps)
+        mine = [sets[i] for i in first]
+        if join.segmented:
+            each = [join.segment_keys(s) for s in mine]
+            key, owner = np.concatenate([*each, np.zeros(0, _U)]), np.repeat(np.arange(len(mine)), [len(e) for e in each])
+        else:
+            key, owner = join.prefix_keys(mine, *common.value)
+        if len(key):
+            yield _record(1, key.view(np.int64), node[first][owner], None, None, None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, held = [], [], 0
-        for b in batches:
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                ids.append(i.as_py())
-                texts.append((t.as_py() or "").encode())
-                held += len(texts[-1])
-                if held >= 6 * BATCH_WORDS:
-                    yield from flush(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
+        for ids, texts in _slices(batches, BATCH_WORDS):
             yield from flush(ids, texts)
 
     return run
 
 
-def _record(kind: int, key: np.ndarray, doc, other, n: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(len(n), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(other, pa.int64()), pa.array(n)], names=["kind", "key", "doc", "other", "n"])
+def _record(kind: int, key, node, doc, mark, n, bits) -> pa.RecordBatch:
+    size = len(node)
+    column = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
+    return pa.record_batch([pa.array(np.full(size, kind, np.int32)), column(key, pa.int64()), column(node, pa.int64()), column(doc, pa.int64()), column(mark, pa.int64()), column(n, pa.int64()), column(bits, pa.binary())], names=["kind", "key", "node", "doc", "mark", "n", "bits"])
 
 
-def link_tile(join: Join, sets: list[np.ndarray], block: np.ndarray, crossing: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets (between the two blocks only, if crossing), as index pairs."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sets, block = [sets[i] for i in order], block[order]
-    size = np.array([len(s) for s in sets])
-    bits = 1 << min(13, max(6, int(size[-1] - 1).bit_length()))
-    maps = np.zeros((len(sets), bits), bool)
-    for i, s in enumerate(sets):
-        maps[i, (s & _U(bits - 1)).astype(np.int64)] = True
-    words = np.packbits(maps, axis=1).view(_U)
-    del maps
-    part, out = np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
-        last = np.searchsorted(size, size[i] * join.den // join.num, "right")
-        js = np.arange(i + 1, last)
-        js = js[(part[js] != part[i]) & ((block[js] != block[i]) if crossing else True)]
-        if not len(js):
-            continue
-        own, theirs = words[i], words[js]
-        bound = np.minimum(size[i] - np.bitwise_count(own & ~theirs).sum(1, dtype=np.int64), size[js] - np.bitwise_count(theirs & ~own).sum(1, dtype=np.int64))
-        for j in js[join.den * bound >= join.num * (size[i] + size[js] - bound)]:
-            if part[i] != part[j] and join.linked(len(np.intersect1d(sets[i], sets[j], True)), size[i], size[j]):
-                part[part == part[j]] = part[i]
-                out.append((int(order[i]), int(order[j])))
-    return out
+# --- checking --------------------------------------------------------------------------------------------------------------
+class _Check:
+    """Exact checks of pairs of nodes. nodes: node, n, bits, doc and mark (of a text with that set); texts: doc, text, mark."""
 
+    def __init__(self, staging: Staging, join: Join, nodes: DataFrame, texts: DataFrame):
+        self.staging, self.join, self.nodes, self.texts = staging, join, nodes, texts
 
-def _tile(join: Join):
-    def run(t: pa.Table) -> pa.Table:
-        docs = t.column("doc").to_numpy()
-        sets = join.sets([x.encode() for x in t.column("text").to_pylist()])
-        crossing = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-        pairs = link_tile(join, sets, t.column("block").to_numpy(), crossing)
-        return pa.table([pa.array([docs[i] for i, _ in pairs], pa.int64()), pa.array([docs[j] for _, j in pairs], pa.int64())], names=["u", "v"])
+    def with_texts(self, members: DataFrame) -> DataFrame:
+        """members (staged, with a column node) and a text of each node. A text is known by id and mark, so a repeated id brings no others."""
+        members = members.join(self.nodes.select("node", "doc", "mark"), "node")
+        wanted = self.staging.put(members.select("doc", "mark").distinct(), "wanted")
+        found = self.texts.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge"), ["doc", "mark"], "left_semi")
+        return members.join(found.dropDuplicates(["doc", "mark"]).hint("merge"), ["doc", "mark"])
 
-    return run
+    def star(self, pairs: DataFrame) -> DataFrame:
+        """pairs: u, v (v: the leader). Those that link, as a staged table."""
+        join = self.join
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                a, x, na, nx = b.column("bits_u").to_pylist(), b.column("bits_v").to_pylist(), b.column("n_u").to_pylist(), b.column("n_v").to_pylist()
+                ok = [join.num * max(s, t) <= join.den * min(s, t) and len(within_bound(join, np.array([s, t]), stacked([p, q]), 0, np.array([1]))) > 0 for p, q, s, t in zip(a, x, na, nx, strict=True)]
+                yield b.select(["u", "v", "n_u"]).filter(pa.array(ok, pa.bool_()))
+
+        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+        both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+        near = self.staging.put(both.mapInArrow(bound, "u long, v long, n_u long"), "near")
+        blocks = near.groupBy("v").agg(_blocks(F.count("*"), F.sum("n_u")).alias("blocks"))
+        placed = near.join(blocks, "v").select(F.col("v").alias("cell"), F.pmod(F.xxhash64("u"), "blocks").alias("block"), F.col("u").alias("node"))
+        members = self.staging.put(placed.union(placed.select("cell", "block", F.col("cell").alias("node")).distinct()), "members")
+
+        def exact(t: pa.Table) -> pa.Table:
+            sets = _sets_of(join, t)
+            lead = t.column("cell")[0].as_py()
+            own = sets.pop(lead)
+            hits = [u for u, s in sets.items() if join.linked(len(np.intersect1d(own, s, True)), len(own), len(s))]
+            return pa.table([pa.array(hits, pa.int64()), pa.array([lead] * len(hits), pa.int64())], names=["u", "v"])
+
+        links = self.staging.put(self.with_texts(members).groupBy("cell", "block").applyInArrow(exact, "u long, v long"), "links")
+        self.staging.drop(near, members)
+        return links
+
+    def tiles(self, members: DataFrame) -> DataFrame:
+        """members: key, node, part, tested. Links between parts of a key's group, a spanning forest of each tile."""
+        join, staging = self.join, self.staging
+        bands = F.sequence(_band(F.col("n")), _band(F.expr(f"(n * {join.den}) div {join.num}")))
+        banded = members.join(self.nodes.select("node", "n"), "node").withColumn("band", F.explode(bands))
+        banded = staging.put(banded, "banded")
+        cells = banded.groupBy("key", "band").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").drop("a", "b")
+        placed = banded.join(cells, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        tiled = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "part", "tested", "n")
+        schema = "key long, band int, lo int, hi int, block int, node long, part long, tested boolean"
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def select(t: pa.Table) -> pa.Table:
+            t = t.take(pa.array(np.argsort(t.column("n").to_numpy(), kind="stable")))
+            return t.select(names).filter(pa.array(hopeful(join, _tile(t, stacked(t.column("bits").to_pylist())))))
+
+        whole = tiled.join(self.nodes.select("node", "bits"), "node")
+        chosen = staging.put(whole.groupBy("key", "band", "lo", "hi").applyInArrow(select, schema), "hopeful")
+
+        def exact(t: pa.Table) -> pa.Table:
+            sets = _sets_of(join, t)
+            place = {x: i for i, x in enumerate(t.column("node").to_pylist())}
+            nodes = sorted(sets, key=lambda x: len(sets[x]))
+            t = t.take(pa.array([place[x] for x in nodes], pa.int64()))
+            own = [sets[x] for x in nodes]
+            t = t.append_column("n", pa.array([len(s) for s in own], pa.int64()))
+            pairs = forest(join, _tile(t, stacked([bitmap(s) for s in own])), own) if own else []
+            return pa.table([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], names=["u", "v"])
+
+        links = staging.put(self.with_texts(chosen).groupBy("key", "band", "lo", "hi").applyInArrow(exact, "u long, v long"), "links")
+        staging.drop(banded, chosen)
+        return links
+
+
+def _blocks(sets: Column, elements: Column) -> Column:
+    return F.greatest(F.ceil(sets / TILE_SETS), F.ceil(elements / TILE_ELEMENTS)).cast("int")
+
+
+def _sets_of(join: Join, t: pa.Table) -> dict[int, np.ndarray]:
+    """Node -> set."""
+    return dict(zip(t.column("node").to_pylist(), join.sets([x.encode() for x in t.column("text").to_pylist()]), strict=True))
+
+
+def _tile(t: pa.Table, words: np.ndarray) -> Tile:
+    return Tile(t.column("n").to_numpy(), words, np.unique(t.column("part").to_numpy(), return_inverse=True)[1], t.column("block").to_numpy(), t.column("tested").to_numpy(zero_copy_only=False), t.column("lo")[0].as_py() != t.column("hi")[0].as_py())
+
+
+def _with_parts(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """groups (key, node) with part: the component so far, or the node itself."""
+    return groups.join(parts.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+
+
+def _open_groups(divided: DataFrame) -> DataFrame:
+    """key, lead, second (the leaders) of groups that hold several parts beyond a pair; of those with the same nodes one."""
+    seen = divided.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"), F.min("node").alias("lead"), F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("h"), "node"))["node"].alias("second"))
+    return seen.where("a <> b AND c > 2").groupBy("c", "x", "y", "lead", "second").agg(F.min("key").alias("key")).select("key", "lead", "second")
 
 
 def similar_components(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles (size of the set) and component_id (smallest id reachable by links, itself included) of every row."""
     spark = docs.sparkSession
     staging = Staging(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = staging.put(narrow.mapInArrow(_pass_one(join), _ROWS), "keys")
-    sets = rows.where("kind = 0").select("doc", "key", "n")
-
-    met = rows.where("kind = 1").select("doc", F.min("doc").over(W.partitionBy("key")).alias("other"), "n")
-    stars = staging.put(met.union(rows.where("kind = 2").select("doc", "other", "n")).where("doc <> other").distinct(), "stars")
-    sets = staging.put(sets, "sets")
-    staging.drop(rows)  # the keys are as large as the texts and not needed any more
-    cells = connected_components(staging, stars.select(F.col("doc").alias("u"), F.col("other").alias("v")))
-
-    # one document for each set of a component
-    known = sets.where("doc IS NOT NULL AND n > 0").join(cells.withColumnRenamed("node", "doc"), "doc")
-    one = known.groupBy("component", "key", "n").agg(F.min("doc").alias("doc"))
-    bands = F.sequence(_band(F.col("n")), _band(F.expr(f"(n * {join.den}) div {join.num}")))
-    banded = staging.put(one.select("component", "doc", "n", F.explode(bands).alias("band")), "banded")
-    sizes = banded.groupBy("component", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1")
-    blocks = sizes.select("component", "band", F.greatest(F.ceil(F.col("c") / TILE_SETS), F.ceil(F.col("s") / TILE_ELEMENTS)).cast("int").alias("blocks"))
-    placed = banded.join(staging.put(blocks, "blocks"), ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    tiled = placed.select("component", "band", "doc", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    tiled = staging.put(tiled.select("component", "band", "doc", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")), "tiled")
-    # the tiles' documents grow with the table, so they are never broadcast
-    texts = narrow.where("doc IS NOT NULL AND text IS NOT NULL").join(tiled.hint("merge"), "doc")
-    links = texts.groupBy("component", "band", "lo", "hi").applyInArrow(_tile(join), "u long, v long")
-    equal = stars.where("n = 1").select(F.col("doc").alias("u"), F.col("other").alias("v"))
-    linked = connected_components(staging, links.union(equal))
-    out = sets.join(linked.withColumnRenamed("node", "doc"), "doc", "left")
-    staging.drop(stars, cells, banded, tiled)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    common = None if join.segmented else spark.sparkContext.broadcast(_common(staging, narrow, join))
+    rows = staging.put(narrow.mapInArrow(_pass_one(join, common), _ROWS), "keys")
+
+    sets = staging.put(rows.where("kind = 0").select("doc", "node", "n"), "sets")
+    nodes = staging.put(rows.where("kind = 0 AND bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc", "mark")).alias("from")).select("node", "n", "bits", "from.doc", "from.mark"), "nodes")
+    keys = rows.where("kind = 1").select("key", "node")
+    repeated = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    groups = staging.put(keys.join(repeated, "key").distinct(), "groups")
+    staging.drop(rows)  # most keys stand alone and are not needed any more
+
+    check = _Check(staging, join, nodes, narrow.where("doc IS NOT NULL AND text IS NOT NULL"))
+    # rows of one id are one document
+    known = sets.where("doc IS NOT NULL AND node IS NOT NULL")
+    several = known.groupBy("doc").agg(F.min("node").alias("v"), F.max("node").alias("b")).where("v <> b").select("doc", "v")
+    links = staging.put(known.join(several, "doc").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "same")
+
+    leads = groups.groupBy("key").agg(F.min("node").alias("v"))
+    star = check.star(groups.join(leads, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct())
+    links = links.union(star)
+    parts = connected_components(staging, links)
+    divided = _with_parts(groups, parts)
+    left = staging.put(divided.join(_open_groups(divided), "key"), "left")
+    if not left.isEmpty():
+        seconds = left.groupBy("key").agg(F.min(F.when(F.col("node") == F.col("second"), F.col("part"))).alias("own"))
+        star = check.star(left.join(seconds, "key").where("part <> own").select(F.col("node").alias("u"), F.col("second").alias("v")).distinct())
+        links = links.union(star)
+        parts = connected_components(staging, links)
+        divided = _with_parts(left.select("key", "node"), parts)
+        still = divided.join(_open_groups(divided), "key")
+        members = staging.put(still.select("key", "node", "part", F.col("node").isin(F.col("lead"), F.col("second")).alias("tested")), "open")
+        if not members.isEmpty():
+            found = check.tiles(members)
+            if not found.isEmpty():
+                links = links.union(found)
+                parts = connected_components(staging, links)
+
+    labelled = known.select("doc", "node").join(parts, "node", "left").select("doc", F.coalesce("component", "node").alias("label"))
+    labelled = staging.put(labelled.distinct(), "labelled")
+    staging.drop_all_but(sets, labelled)
+    smallest = labelled.groupBy("label").agg(F.min("doc").alias("component"))
+    by_doc = labelled.join(smallest, "label").groupBy("doc").agg(F.min("component").alias("component"))
+    out = sets.join(by_doc, "doc", "left")
     kind = docs.schema[id_col].dataType
     return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(kind).alias("component_id"))
 
@@ -261,23 +493,28 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one row, that of the smallest id, of each group of near copies (5-word shingles, similarity 0.8).
 
-    Each row is a document of its own, known by a hash of all its columns: repeated rows are copies, rows with one id are
-    linked by their texts only, and null ids take part and come after all others. Of rows with one id the smallest hash stays.
-    Rows without words have no copies and all stay.
+    Each row is a document of its own, known by 64 bits of a hash of all its columns: repeated rows are copies, rows with one
+    id are linked by their texts only, and null ids take part and come after all others. Of rows with one id the smallest hash
+    stays. Rows without words have no copies and all stay.
     """
     staging = Staging(spark)
     row = F.xxhash64(*(F.col(c) for c in docs.columns))
     found = similar_components(docs.select(row.alias("row"), "text"), NEAR, "row")
-    found = found.groupBy("row").agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"), F.count("*").alias("times"))
-    member = found.join(docs.select(row.alias("row"), "doc_id").groupBy("row").agg(F.min("doc_id").alias("doc_id")), "row")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "times")).alias("best")
-    grouped = member.where("n > 0").groupBy("component").agg(best).select("best.row", (F.col("best.times") > 1).alias("again"))
-    keep = staging.put(grouped.union(member.where("n = 0").select("row", F.lit(False))), "keep")
-    names = docs.columns
-    kept = lambda k: docs.withColumn("_row", row).join(k.select(F.col("row").alias("_row")), "_row", "left_semi").select(*names)
-    if keep.where("again").isEmpty():
-        return kept(keep)
-    return kept(keep.where("NOT again")).union(kept(keep.where("again")).dropDuplicates())
+    found = staging.put(found.groupBy("row").agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"), F.count("*").alias("times")).where("n > 0"), "found")
+    copies = found.groupBy("component").agg(F.count("*").alias("rows"), F.sum("times").alias("times")).where("times > 1")
+    member = found.join(copies.select("component"), "component").join(docs.select(row.alias("row"), "doc_id").groupBy("row").agg(F.min("doc_id").alias("doc_id")), "row")
+    member = staging.put(member, "member")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")
+    judged = member.join(member.groupBy("component").agg(best).select("component", "best.row").withColumnRenamed("row", "first"), "component")
+    # rows that go, and rows that stay once of several equal ones
+    marked = staging.put(judged.select("row", (F.col("row") == F.col("first")).alias("stays"), "times").where("NOT stays OR times > 1").select("row", "stays"), "marked")
+    tag = f"row_{staging.token}"
+    side = marked.select(F.col("row").alias(tag), "stays")
+    hint = F.broadcast if marked.count() <= FEW else (lambda x: x.hint("merge"))
+    tagged, names = docs.withColumn(tag, row), docs.columns
+    kept = tagged.join(hint(side), tag, "left_anti").select(*names)
+    again = side.where("stays")
+    return kept if again.isEmpty() else kept.union(tagged.join(hint(again), tag, "left_semi").select(*names).dropDuplicates())
 
 
 ORACLE = f"""
