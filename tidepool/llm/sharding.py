@@ -9,6 +9,8 @@ even by construction, and the counts of the buckets before are added. The number
 
 Edge cases: null sources are a source of their own; null ids and repeated rows are rows like others (ties in hash and
 fraction break on id, then checksum; rows equal in all of these are interchangeable). Fewer rows than shards leave shards empty.
+An empty table gives no rows; op4_sharding reads null texts as empty and texts of any length whole. Further columns may have any
+name and stay; columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Staging, crc32_sql, documents, hash_bucket, utf8
+from .common import Staging, crc32_sql, documents, hash_bucket, row_fields, utf8, whole_row
 
 #: Rows per ranking bucket, in the mean.
 BUCKET_ROWS = 200_000
@@ -32,8 +34,8 @@ def interleave(rows: DataFrame, shards: int, seed: str, source_col: str = "sourc
     total = rows.count()
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_ROWS))
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))  # null is a source like others
-    tied = [F.col("_h"), F.col(id_col), F.col(tie_col)]
-    hashed = rows.select("*", key.alias("_s"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(tie_col).cast("string"))).alias("_h")).withColumn("_b", hash_bucket(F.col("_h"), F.lit(float(buckets))))
+    tied = [F.col("_h"), F.col("_id"), F.col("_tie")]
+    hashed = rows.select(whole_row(rows).alias("_row"), F.col(id_col).alias("_id"), F.col(tie_col).alias("_tie"), key.alias("_s"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(tie_col).cast("string"))).alias("_h")).withColumn("_b", hash_bucket(F.col("_h"), F.lit(float(buckets))))
     before = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     counts = hashed.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
     offsets = counts.select("_s", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(W.partitionBy("_s")).alias("_n"))
@@ -44,7 +46,7 @@ def interleave(rows: DataFrame, shards: int, seed: str, source_col: str = "sourc
     placed = fraction.join(starts, "_g").withColumn("_p", F.col("_p") + F.row_number().over(W.partitionBy("_g").orderBy("_f", "_s", *tied)) - 1)
     shard = F.expr(f"CAST((_p * {shards}L) DIV {max(total, 1)}L AS INT)")
     first = F.expr(f"((shard * {max(total, 1)}L) + {shards - 1}L) DIV {shards}L")
-    return placed.withColumn("shard", shard).withColumn("slot", F.col("_p") - first).select(*rows.columns, "shard", "slot")
+    return placed.withColumn("shard", shard).withColumn("slot", F.col("_p") - first).select(*row_fields(rows, "_row", "shard", "slot"), "shard", "slot")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
