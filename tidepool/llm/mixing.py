@@ -8,13 +8,16 @@ all blocks for each whole epoch, then blocks in a permuted order while they fit,
 permuted order while they fit (the last document counts if at least half of it does). The quotas are parted among output
 shards by a splitting tree: at each node the copies of all sources are shuffled and cut in two halves, so the counts that go
 left are multivariate hypergeometric and the quotas stay exact. Each shard then draws its quota from the source's
-permuted copies, disjoint from the other shards' draws, and its documents are ordered by a hash within the shard.
+permuted copies, disjoint from the other shards' draws, and shuffles locally: ``place`` orders a shard's documents.
 
 Everything random is an MD5 of a seed and ids, so reruns agree. Tables of blocks have ``BLOCKS`` rows plus a few per source
-whatever the input's size; documents meet them on (source, block), which splits a hot source.
+whatever the input's size, so the windows over them stay small as long as sources are not counted in millions; documents meet
+them on (source, block), which splits a hot source.
 
 Edge cases: null sources are one source, last in order; null ids and repeated rows are rows like others (rows equal in id and
-size in one block may be taken in either order); documents without words have size 0 and are taken 0 times; an empty table gives no rows.
+size in one block may be taken in either order); documents without words (null or empty texts) have size 0 and are taken 0
+times; texts of any length count whole; an empty table gives no rows. Further columns may have any name and stay; columns named
+source_size, target, copies, shards or place are replaced by mix, and none by mix_documents.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Staging, documents, hash_bucket, word_count
+from .common import WORD, Staging, documents, hash_bucket, row_fields, whole_row, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -75,8 +78,8 @@ def split(copies: DataFrame, shards: int) -> DataFrame:
 def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", shards: int = SHARDS) -> DataFrame:
     """rows (narrow: id, source, size) with source_size, target, copies int, shards (array<int>, one entry per copy) and place (hash that orders a shard)."""
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))
-    keyed = rows.select("*", key.alias("_s"), _md5("doc", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_h"))
-    sizes = targets(keyed.groupBy("_s").agg(F.first(source_col).alias("source"), F.sum(size_col).alias("source_size")))
+    keyed = rows.select(whole_row(rows).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(size_col).alias("_size"), key.alias("_s"), _md5("doc", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_h"))
+    sizes = targets(keyed.groupBy("_s").agg(F.first("_source").alias("source"), F.sum("_size").alias("source_size")))
     per_block = F.greatest(F.ceil(F.sum("source_size").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) / F.lit(float(BLOCKS))), F.lit(1))
     sizes = sizes.withColumn("_blocks", F.greatest(F.ceil(F.col("source_size") / per_block.cast("double")), F.lit(1)).cast("long"))
     plan = sizes.select("_s", "source_size", "target", "_blocks", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long").alias("_epochs"))
@@ -85,7 +88,7 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     located = keyed.withColumn("_salt", hash_bucket(F.col("_h"), F.lit(float(SALTS)))).join(salted, ["_s", "_salt"]).drop("_salt").withColumn("_b", hash_bucket(F.col("_h"), F.col("_blocks").cast("double")))
 
-    blocks = located.groupBy("_s", "_b").agg(F.sum(size_col).alias("_words"), F.first("_epochs").alias("_epochs"), F.first("_rest").alias("_rest"))
+    blocks = located.groupBy("_s", "_b").agg(F.sum("_size").alias("_words"), F.first("_epochs").alias("_epochs"), F.first("_rest").alias("_rest"))
     permuted = W.partitionBy("_s").orderBy(_md5("block", F.col("_s"), F.col("_b").cast("string")), "_b")
     drawn = blocks.withColumn("_i", F.row_number().over(permuted) - 1).withColumn("_upto", F.sum("_words").over(permuted.rowsBetween(W.unboundedPreceding, W.currentRow)))
     left = F.col("_rest") - (F.col("_upto") - F.col("_words"))  # words that the last epoch still wants when it comes to this block
@@ -97,18 +100,19 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     table = drawn.select("_s", "_b", "_part", "_left").join(dealt, ["_s", "_b"], "left")
 
     # a block is about 1/BLOCKS of all words, so no window holds more than that
-    inside = W.partitionBy("_s", "_b").orderBy(_md5("pick", F.col("_h")), F.col(size_col), F.col(id_col)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = located.join(table, ["_s", "_b"]).withColumn("_run", F.sum(size_col).over(inside))
-    out = out.withColumn("_more", F.when(F.col("_part") == 1, (F.col("_run") - F.col(size_col) / 2.0 <= F.col("_left")).cast("int")).otherwise((F.col("_part") == 2).cast("int")))
-    n = F.when(F.col(size_col) > 0, F.least(F.col("_epochs") + F.col("_more"), F.lit(MAX_EPOCHS))).otherwise(0).cast("int")
+    inside = W.partitionBy("_s", "_b").orderBy(_md5("pick", F.col("_h")), "_size", "_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = located.join(table, ["_s", "_b"]).withColumn("_run", F.sum("_size").over(inside))
+    out = out.withColumn("_more", F.when(F.col("_part") == 1, (F.col("_run") - F.col("_size") / 2.0 <= F.col("_left")).cast("int")).otherwise((F.col("_part") == 2).cast("int")))
+    n = F.when(F.col("_size") > 0, F.least(F.col("_epochs") + F.col("_more"), F.lit(MAX_EPOCHS))).otherwise(0).cast("int")
     chosen = F.slice(F.transform(F.coalesce(F.col("_deal"), F.array().cast("array<struct<_epoch:bigint,shard:int>>")), lambda x: x["shard"]), F.lit(1), n)
-    return out.withColumn("copies", n).select(*rows.columns, "source_size", "target", "copies", chosen.alias("shards"), _md5("place", F.col("_h")).alias("place"))
+    new = {"source_size": F.col("source_size"), "target": F.col("target"), "copies": n, "shards": chosen, "place": _md5("place", F.col("_h"))}
+    return out.select(*row_fields(rows, "_row", *new), *(c.alias(name) for name, c in new.items()))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mix(Staging(spark).put(rows, "sizes"))  # narrow: the texts are read once
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", F.array_join(F.transform("shards", lambda s: s.cast("string")), ",").alias("shards"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", F.array_join(F.transform("shards", lambda s: s.cast("string")), ",").alias("shards"), "place")
 
 
 _WORDS = f"CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT)"
@@ -139,15 +143,16 @@ d AS (SELECT c.s, c.b, list(g.shard ORDER BY c.e) AS deal FROM c JOIN g ON c.s =
 x AS (SELECT l.*, part, remain, deal FROM l JOIN b2 USING (s, b) LEFT JOIN d USING (s, b)),
 y AS (SELECT *, CASE part WHEN 2 THEN 1 WHEN 0 THEN 0 ELSE CASE WHEN sum(size) OVER (PARTITION BY s, b ORDER BY md5('{SEED}|pick|' || h), size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0 <= remain THEN 1 ELSE 0 END END AS more FROM x),
 n AS (SELECT *, CASE WHEN size > 0 THEN least(ep + more, {MAX_EPOCHS}) ELSE 0 END AS copies FROM y)
-SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, source, coalesce(array_to_string(coalesce(deal, [])[1:copies], ','), '') AS shards FROM n
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, source, coalesce(array_to_string(coalesce(deal, [])[1:copies], ','), '') AS shards, md5('{SEED}|place|' || h) AS place FROM n
 """
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as the mixture takes them: a row appears as often as it is taken, and the columns stay. Rows equal in id, source
-    and text are taken together."""
-    tag = F.xxhash64("doc_id", "source", "text")
-    sizes = docs.select(tag.alias("tag"), "source", word_count(F.col("text")).alias("size"))
-    units = Staging(spark).put(sizes.groupBy("tag", "source").agg(F.sum("size").alias("size")), "sizes")
-    taken = mix(units, id_col="tag").where("copies > 0").select(F.col("tag").alias("_tag"), "copies")
-    return docs.withColumn("_tag", tag).join(taken, "_tag").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    and text (128 bits of hash) are taken together. Each task writes its rows shard by shard in their places."""
+    tags = [F.xxhash64("doc_id", "source", "text").alias("tag"), F.xxhash64(F.lit(1), "text", "source", "doc_id").alias("other")]
+    sizes = docs.select(*tags, "source", word_count(F.col("text")).alias("size"))
+    units = sizes.groupBy("tag", "other", "source").agg(F.sum("size").alias("size")).withColumn("id", F.concat_ws(":", "tag", "other"))
+    taken = mix(Staging(spark).put(units, "sizes"), id_col="id").where("copies > 0").select("tag", "other", "shards", "place")
+    placed = docs.select(whole_row(docs).alias("row"), *tags).join(taken, ["tag", "other"]).select("row", "place", F.explode("shards").alias("shard"))
+    return placed.sortWithinPartitions("shard", "place").select(*row_fields(docs, "row"))
