@@ -1,9 +1,10 @@
 """Media columns: texts as lossless 8-bit images in archives, read back by a custom Spark data source.
 
-Write: each task appends its members to one archive of its own (a tar file, and beside it an index of member offsets) and
-the commit names the archives that count in a manifest; what a failed or repeated attempt wrote is never read.
-Read: the planner cuts each archive into byte ranges (from the manifest alone: one size per archive). The reader of a range
-looks up the members that start in it, reads them one after another by offset and yields Arrow batches of bounded size. A
+Write: each task appends its members to archives of its own, ``ARCHIVE_BYTES`` each (tar files, and beside each an index of
+member offsets), and the commit names the archives that count in a manifest, with the members that start every ``RANGE_BYTES``;
+what a failed or repeated attempt wrote is never read.
+Read: the planner cuts archives into byte ranges at these marks. The reader of a range reads its own slice of the index,
+then the members one after another by offset, and yields Arrow batches of bounded size. A
 member that can't be read or whose checksum is wrong is fetched again from its offset, with a new file handle, without the
 others being read anew; after ``RETRIES`` times the task fails and Spark repeats it elsewhere. No row is given up.
 
@@ -13,7 +14,8 @@ The medium is an 8-bit greyscale PNG, 64 samples wide, whose samples are the pay
 multiple of 64. Equal payloads give equal media. Features are taken from the samples that were read back.
 
 Edge cases: null and empty texts are 64 zeros. Repeated rows become a member each. Null ids stay null. An empty table writes
-an empty manifest and reads as no rows. Only the id and text columns are read.
+an empty manifest and reads as no rows. Only the id and text columns are read, so others may have any name. A text must fit
+into a task's memory about five times (text, bytes, payload, filtered and packed samples).
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from .common import Staging, documents
 
 WIDTH = 64
 RANGE_BYTES = 8 << 20
+ARCHIVE_BYTES = 256 << 20
 BATCH_BYTES = 4 << 20
 RETRIES = 4
 _MAGIC = b"\x89PNG\r\n\x1a\n"  # fixed value: the format's signature
@@ -86,16 +89,19 @@ def payload_of(data: bytes) -> bytes:
 
 
 @dataclass
-class _Archive(WriterCommitMessage):
-    name: str | None
-    size: int
+class _Archives(WriterCommitMessage):
+    marks: dict[str, list[list[int]]]  # of each archive: offset and number of the member that starts a range, and the ends
 
 
 @dataclass
 class _Range(InputPartition):
+    """Bytes start..stop of an archive, which hold the members first..last."""
+
     archive: str
     start: int
     stop: int
+    first: int
+    last: int
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -116,50 +122,67 @@ class MediaArchive(DataSource):
         return MediaReader(self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES)), int(self.options.get("retries", RETRIES)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return MediaWriter(self.options["path"])
+        return MediaWriter(self.options["path"], int(self.options.get("rangebytes", RANGE_BYTES)), int(self.options.get("archivebytes", ARCHIVE_BYTES)))
+
+
+class _Growing:
+    """An archive that is being written."""
+
+    def __init__(self, files: fs.FileSystem, root: str, range_bytes: int):
+        files.create_dir(root, recursive=True)
+        self.files, self.name, self.range_bytes = files, f"{uuid.uuid4().hex}.tar", range_bytes
+        self.path = f"{root}/{self.name}"
+        self.out, self.at, self.index, self.marks = files.open_output_stream(self.path), 0, bytearray(), [[0, 0]]
+
+    def add(self, doc_id: int | None, n: int, media: bytes) -> None:
+        members = len(self.index) // _ENTRY.itemsize
+        if self.at >= self.marks[-1][0] + self.range_bytes:
+            self.marks.append([self.at, members])
+        info = tarfile.TarInfo(f"{doc_id}.{n}.png")
+        info.size = len(media)
+        block = info.tobuf(tarfile.USTAR_FORMAT) + media + bytes(-len(media) % tarfile.BLOCKSIZE)
+        self.out.write(block)
+        self.index += struct.pack("<6q", self.at, len(media), doc_id or 0, doc_id is None, n, zlib.crc32(media))
+        self.at += len(block)
+
+    def close(self) -> list[list[int]]:
+        self.out.write(bytes(2 * tarfile.BLOCKSIZE))
+        self.out.close()
+        with self.files.open_output_stream(f"{self.path}.index") as f:
+            f.write(bytes(self.index))
+        return [*self.marks, [self.at, len(self.index) // _ENTRY.itemsize]]
 
 
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, range_bytes: int = RANGE_BYTES, archive_bytes: int = ARCHIVE_BYTES):
+        self.path, self.range_bytes, self.archive_bytes = path, range_bytes, archive_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, root = _open(self.path)
-        name, index, at, out = f"{uuid.uuid4().hex}.tar", [], 0, None
-        try:
-            for b in iterator:
-                if out is None:
-                    files.create_dir(root, recursive=True)
-                    out = files.open_output_stream(f"{root}/{name}")
-                for doc_id, n, media in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    info = tarfile.TarInfo(f"{doc_id}.{n}.png")
-                    info.size = len(media)
-                    block = info.tobuf(tarfile.USTAR_FORMAT) + media + bytes(-len(media) % 512)
-                    out.write(block)
-                    index.append((at, len(media), doc_id or 0, doc_id is None, n, zlib.crc32(media)))
-                    at += len(block)
-            if out is None:
-                return _Archive(None, 0)
-            out.write(bytes(1024))
-        finally:
-            if out is not None:
-                out.close()
-        with files.open_output_stream(f"{root}/{name}.index") as f:
-            f.write(np.array(index, _ENTRY).tobytes())
-        return _Archive(name, at)
-
-    def commit(self, messages: list[_Archive | None]) -> None:
+        done, archive = {}, None
+        for b in iterator:
+            for member in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                archive = archive or _Growing(files, root, self.range_bytes)
+                archive.add(*member)
+                if archive.at >= self.archive_bytes:
+                    done[archive.name] = archive.close()
+                    archive = None
+        if archive:
+            done[archive.name] = archive.close()
+        return _Archives(done)
+
+    def commit(self, messages: list[_Archives | None]) -> None:
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
         with files.open_output_stream(f"{root}/manifest.json") as f:
-            f.write(json.dumps({m.name: m.size for m in messages if m and m.name}).encode())
+            f.write(json.dumps({name: marks for m in messages if m for name, marks in m.marks.items()}).encode())
 
-    def abort(self, messages: list[_Archive | None]) -> None:
+    def abort(self, messages: list[_Archives | None]) -> None:
         files, root = _open(self.path)
         for m in messages:
-            if m and m.name:
-                for name in (m.name, f"{m.name}.index"):
-                    files.delete_file(f"{root}/{name}")
+            for name in m.marks if m else ():
+                files.delete_file(f"{root}/{name}")
+                files.delete_file(f"{root}/{name}.index")
 
 
 class MediaReader(DataSourceReader):
@@ -170,8 +193,14 @@ class MediaReader(DataSourceReader):
         files, root = _open(self.path)
         with files.open_input_stream(f"{root}/manifest.json") as f:
             archives = json.loads(f.read())
-        ranges = [_Range(name, a, min(a + self.range_bytes, size)) for name, size in sorted(archives.items()) for a in range(0, size, self.range_bytes)]
-        return ranges or [_Range("", 0, 0)]
+        ranges = []
+        for name, marks in sorted(archives.items()):
+            (start, first), *later = marks
+            for at, member in later:
+                if at - start >= self.range_bytes or [at, member] == later[-1]:
+                    ranges.append(_Range(name, start, at, first, member))
+                    start, first = at, member
+        return ranges or [_Range("", 0, 0, 0, 0)]
 
     def fetch(self, files: fs.FileSystem, path: str, handle, offset: int, size: int, crc: int):
         """The member at an offset and the handle to go on with. Each attempt after the first opens the archive anew."""
@@ -197,10 +226,9 @@ class MediaReader(DataSourceReader):
         files, root = _open(self.path)
         path, handle = f"{root}/{partition.archive}", None
         with files.open_input_file(f"{path}.index") as f:
-            index = np.frombuffer(f.read(), _ENTRY)
-        first, last = np.searchsorted(index["offset"], [partition.start, partition.stop])
+            index = np.frombuffer(f.read_at((partition.last - partition.first) * _ENTRY.itemsize, partition.first * _ENTRY.itemsize), _ENTRY)
         rows, held = [], 0
-        for e in index[first:last]:
+        for e in index:
             media, handle = self.fetch(files, path, handle, int(e["offset"]), int(e["size"]), int(e["crc"]))
             rows.append((None if e["null"] else int(e["id"]), int(e["bytes"]), media))
             held += len(media)
