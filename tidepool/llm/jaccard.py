@@ -18,7 +18,8 @@ Candidate keys, of two kinds; neither loses a link.
 Checking. Nodes that share a key make a group.
 
 1. Stars: each node of a group is paired with one leader of the group, so a group of any size gives as many pairs as nodes. Pairs
-   whose bitmaps allow it are intersected exactly. Two leaders in turn are tried. What is linked is one part from then on.
+   whose bitmaps allow it are intersected exactly. What is linked is one part from then on. Groups of more than one tile that
+   still hold several parts try a second leader.
 2. Tiles: groups that still hold several parts are cut by size bands, and large ones into blocks, every two blocks a tile. A
    tile gets ids and bitmaps only: a bit of A that B lacks proves an element of A outside B, so bit counts bound the overlap
    from above. Nodes with a partner of another part within the bound are fetched with their texts and intersected exactly
@@ -452,20 +453,20 @@ def similar_components(docs: DataFrame, join: Join, id_col: str = "doc_id", text
     links = links.union(star)
     parts = connected_components(staging, links)
     divided = _with_parts(groups, parts)
-    left = staging.put(divided.join(_open_groups(divided), "key"), "left")
-    if not left.isEmpty():
+    left = staging.put(divided.join(_open_groups(divided), "key").withColumn("tested", F.col("node") == F.col("lead")), "left")
+    most = left.groupBy("key").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    if most > TILE_SETS:
         seconds = left.groupBy("key").agg(F.min(F.when(F.col("node") == F.col("second"), F.col("part"))).alias("own"))
         star = check.star(left.join(seconds, "key").where("part <> own").select(F.col("node").alias("u"), F.col("second").alias("v")).distinct())
         links = links.union(star)
         parts = connected_components(staging, links)
         divided = _with_parts(left.select("key", "node"), parts)
         still = divided.join(_open_groups(divided), "key")
-        members = staging.put(still.select("key", "node", "part", F.col("node").isin(F.col("lead"), F.col("second")).alias("tested")), "open")
-        if not members.isEmpty():
-            found = check.tiles(members)
-            if not found.isEmpty():
-                links = links.union(found)
-                parts = connected_components(staging, links)
+        left = staging.put(still.withColumn("tested", F.col("node").isin(F.col("lead"), F.col("second"))), "left")
+    if not left.isEmpty():
+        found = check.tiles(left.select("key", "node", "part", "tested"))
+        if not found.isEmpty():
+            parts = connected_components(staging, links.union(found))
 
     labelled = known.select("doc", "node").join(parts, "node", "left").select("doc", F.coalesce("component", "node").alias("label"))
     labelled = staging.put(labelled.distinct(), "labelled")
