@@ -10,8 +10,9 @@ each position is closed once at most, time is linear in the piece's length. Comp
 Tokens are never trained here; ``ranks_path`` is a parameter. Each Python worker builds its tables once and keeps the
 pieces it has met, ``CACHE`` at most.
 
-Edge cases: null texts count as empty (0 tokens, hashes of the empty string). Repeated rows are encoded alike. Other
-columns are not read.
+Edge cases: null texts count as empty (0 tokens, hashes of the empty string). Very long texts are encoded whole, and time stays
+linear within a piece of any length. Repeated rows are encoded alike. An empty table gives no rows. Other columns are not read,
+so they may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import documents
+from .common import documents, in_slices
 
 CACHE = 500_000
 CACHED_LENGTH = 64
@@ -142,7 +143,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         names = [str(i) for i in range(max(bpe.bytes_of) + 1)]
-        for b in batches:
+        for b in in_slices(batches):
             n, all_ids, ids_sha, text_sha = [], [], [], []
             for text in b.column(1):
                 ids = bpe.encode(text.as_py() or "")

@@ -6,7 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,13 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of few rows, so that a task holds the Python values of no more than that."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of a row in one struct, so that their names meet no inner ones."""
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))

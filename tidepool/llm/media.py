@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import Staging, documents
+from .common import Staging, documents, in_slices
 
 WIDTH = 64
 RANGE_BYTES = 8 << 20
@@ -250,7 +250,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_bytes, media of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             rows, held = [], 0
             for doc_id, text in zip(b.column(0), b.column(1), strict=True):
                 data = (text.as_py() or "").encode()
@@ -278,7 +278,7 @@ def describe(media: DataFrame) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             rows = []
             for m in b.column(2):
                 m = m.as_py()

@@ -7,12 +7,13 @@ A dictionary helps only where a text has little context of its own, so texts are
 with the fresh dictionary, and sizes are summed over all pieces: the feature does not shrink as a text grows.
 
 Fitting uses a bounded sample: per class ``SAMPLE_DOCS`` documents at most, those with the smallest MD5 of the id, and of
-their texts ``SAMPLE_BYTES`` in all (later ones are left out once that is reached). Even ones train, odd ones calibrate.
+their texts ``SAMPLE_BYTES`` in all (a text that no longer fits is left out). Even ones train, odd ones calibrate.
 Scoring reads every whole text; each text is compressed in a task and nothing else is kept.
 
 Edge cases: null and empty texts get the score of an empty text; labels with a null id or quality are not used; of repeated
 labels for an id the smallest quality counts; with no sample of either class every score is the share of good labels (0.5
-without any). Repeated rows are scored alike. Only the id and text columns are read.
+without any). Very long texts are scored whole, piece by piece. Repeated rows are scored alike. An empty table of documents gives
+no rows. Only the id and text columns are read, so others may have any name (keep_good keeps them).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_slices
 
 SAMPLE_DOCS = 3000
 SAMPLE_BYTES = 8_000_000
@@ -126,7 +127,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = model.sizer()
-        for b in batches:
+        for b in in_slices(batches):
             scores = [model.score(features((t or "").encode())) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
@@ -145,7 +146,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = model.sizer()
-        for b in batches:
+        for b in in_slices(batches):
             good = [model.score(features((t or "").encode())) >= THRESHOLD for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(good, pa.bool_()))
 

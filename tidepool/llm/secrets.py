@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import documents
+from .common import documents, in_slices
 
 #: A query is True (no demand), a trigram, ("and", ...) or ("or", ...).
 Query = object
@@ -215,7 +215,7 @@ def _in_slices(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
 
 def scan_batches(batches: Iterator[pa.RecordBatch], text_col: str, rules: list[Rule]) -> Iterator[tuple[pa.RecordBatch, list[str], list]]:
     index = Index(set().union(*(trigrams_of(r.query) for r in rules)))
-    for b in batches:
+    for b in in_slices(batches):
         texts = [t or "" for t in b.column(text_col).to_pylist()]
         yield b, texts, [f for part in _in_slices(texts) for f in scan(part, index, rules)]
 
