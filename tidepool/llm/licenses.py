@@ -9,8 +9,9 @@ either of them knows is kept, and the lines that make up a joined sentence do no
 with and without a cut at colons, and "v." before a number ends none. ``ORACLE`` still takes the reading with more known
 sentences and always cuts there, so it differs on texts in which only the other readings know a sentence.
 
-Edge cases: null or empty texts have no sentences (empty strings, counts 0). Repeated rows are scanned row by row and stay.
-Null ids stay. Only the id and text columns are read; other columns may have any name.
+Edge cases: null or empty texts have no sentences (empty strings, counts 0). A very long text is cut and matched whole within
+its row. Repeated rows are scanned row by row and stay. Null ids stay. An empty table gives no rows. Only the id and text columns
+are read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -59,7 +60,62 @@ SENTENCES: dict[str, str] = {
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CC-BY-SA4-REF",
     "this is free and unencumbered software released into the public domain": "UNLICENSE-GRANT",
     "distributed under the boost software license version 1 0": "BSL1-REF",
+    "boost software license version 1 0 august 17th 2003": "BSL1-TITLE",
+    "apache license version 2 0 january 2004": "APACHE2-TITLE",
+    "apache license version 2 0 january 2004 http www apache org licenses": "APACHE2-TITLE",
+    "apache license version 2 0 january 2004 https www apache org licenses": "APACHE2-TITLE",
+    "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document": "APACHE2-DEFINE",
+    "all additions and alterations are licensed under the apache 2 0 license": "APACHE2-REF",
+    "apache software license 2 0": "APACHE2-REF",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0BSD-GRANT",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "NCSA-GRANT",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT-NOTICE",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "MIT0-GRANT",
+    "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation": "HPND-GRANT",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers": "NCSA-SOURCE",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimers in the documentation and or other materials provided with the distribution": "NCSA-BINARY",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the disclaimer that follows these conditions in the documentation and or other materials provided with the distribution": "BSD-BINARY",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSD-GRANT-SOURCE",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSD-ASIS",
+    "gnu general public license version 1 february 1989": "GPL1-TITLE",
+    "gnu general public license version 2 june 1991": "GPL2-TITLE",
+    "gnu general public license version 3 29 june 2007": "GPL3-TITLE",
+    "gnu lesser general public license version 2 1 february 1999": "LGPL21-TITLE",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL3-TITLE",
+    "gnu library general public license version 2 june 1991": "LGPL2-TITLE",
+    "gnu affero general public license version 3 19 november 2007": "AGPL3-TITLE",
+    "gnu free documentation license version 1 2 november 2002": "GFDL12-TITLE",
+    "gnu free documentation license version 1 3 3 november 2008": "GFDL13-TITLE",
+    "this license applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this general public license": "GPL2-APPLIES",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "GPL3-PREAMBLE",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "AGPL3-PREAMBLE",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below": "LGPL3-INCORPORATES",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3-LATER",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version": "LGPL2-LATER",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3-LATER",
+    "mozilla public license version 2 0": "MPL2-TITLE",
+    "mozilla public license version 1 1": "MPL11-TITLE",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MPL2-COPY",
+    "all code in this repository except where explicitly noted otherwise is released under the mozilla public license v 2 0": "MPL2-REF",
+    "cc0 1 0 universal": "CC0-TITLE",
+    "creative commons cc0 1 0 universal": "CC0-TITLE",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0-DEDICATE",
+    "the artistic license": "ARTISTIC1-TITLE",
+    "the artistic license 2 0": "ARTISTIC2-TITLE",
+    "artistic license 2 0": "ARTISTIC2-TITLE",
+    "eclipse public license v 1 0": "EPL1-TITLE",
+    "eclipse public license v 2 0": "EPL2-TITLE",
+    "the accompanying program is provided under the terms of this eclipse public license agreement": "EPL-TERMS",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZLIB-GRANT",
+    "this software is provided as is without any express or implied warranty": "ZLIB-ASIS",
+    "this notice may not be removed or altered from any source distribution": "ZLIB-NOTICE",
+    "python software foundation license version 2": "PSF2-TITLE",
+    "this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using this software python in source or binary form and its associated documentation": "PSF2-BETWEEN",
+    "unicode license v3": "UNICODE3-TITLE",
+    "do what the fuck you want to public license": "WTFPL-TITLE",
 }
+#: Sentences that name a holder: how they begin and end (fixed values).
+NAMED = [("neither the name", "may be used to endorse or promote products derived from this software without specific prior written permission", "BSD-ENDORSE"), ("the name", "must not be used to endorse or promote products derived from this software without prior written permission", "BSD-ENDORSE"), ("nor the names of its contributors", "may be used to endorse or promote products derived from this software without specific prior written permission", "BSD-ENDORSE")]
 #: SPDX tag lines, normalised by rule.
 SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "MPL-2.0", "ISC", "Unlicense", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
 SENTENCES |= {"spdx license identifier " + s.lower().replace("-", " ").replace(".", " "): f"SPDX:{s}" for s in SPDX}
@@ -70,35 +126,77 @@ RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["APACHE2-REF", "APACHE2-COPY", "APACHE2-ASIS", "APACHE2-SEE"]),
     ("Apache-2.0", ["APACHE2-REF", "APACHE2-COPY"]),
     ("Apache-2.0", ["APACHE2-REF"]),
+    ("Apache-2.0", ["APACHE2-TITLE"]),
+    ("Apache-2.0", ["APACHE2-DEFINE"]),
     ("MIT", ["MIT-GRANT", "MIT-NOTICE", "MIT-ASIS", "MIT-LIABLE"]),
     ("MIT", ["MIT-GRANT", "MIT-NOTICE"]),
+    ("MIT", ["MIT-GRANT"]),
     ("MIT", ["MIT-REF"]),
     ("ISC", ["ISC-GRANT", "ISC-ASIS"]),
     ("ISC", ["ISC-GRANT"]),
+    ("MIT-0", ["MIT0-GRANT"]),
+    ("HPND", ["HPND-GRANT"]),
+    ("0BSD", ["0BSD-GRANT"]),
+    ("NCSA", ["NCSA-GRANT", "NCSA-SOURCE", "NCSA-BINARY"]),
+    ("NCSA", ["NCSA-GRANT"]),
     ("BSD-3-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE"]),
+    ("BSD-3-Clause", ["BSD-GRANT-SOURCE", "BSD-BINARY", "BSD-ENDORSE"]),
     ("BSD-2-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"]),
+    ("BSD-2-Clause", ["BSD-GRANT-SOURCE", "BSD-BINARY"]),
     ("GPL-2.0-or-later", ["GPL2-LATER", "GPL-HOPE", "GPL-SEE"]),
     ("GPL-2.0-or-later", ["GPL2-LATER"]),
     ("GPL-3.0-or-later", ["GPL3-LATER", "GPL-HOPE", "GPL-SEE"]),
     ("GPL-3.0-or-later", ["GPL3-LATER"]),
     ("LGPL-2.1-or-later", ["LGPL21-LATER"]),
+    ("LGPL-2.0-or-later", ["LGPL2-LATER"]),
+    ("LGPL-3.0-or-later", ["LGPL3-LATER"]),
+    ("AGPL-3.0-or-later", ["AGPL3-LATER"]),
+    ("AGPL-3.0", ["AGPL3-TITLE"]),
+    ("AGPL-3.0", ["AGPL3-PREAMBLE"]),
+    ("LGPL-3.0", ["LGPL3-TITLE"]),
+    ("LGPL-3.0", ["LGPL3-INCORPORATES"]),
+    ("LGPL-2.1", ["LGPL21-TITLE"]),
+    ("LGPL-2.0", ["LGPL2-TITLE"]),
+    ("GPL-3.0", ["GPL3-TITLE"]),
+    ("GPL-3.0", ["GPL3-PREAMBLE"]),
+    ("GPL-2.0", ["GPL2-TITLE"]),
+    ("GPL-2.0", ["GPL2-APPLIES"]),
+    ("GPL-1.0", ["GPL1-TITLE"]),
+    ("GFDL-1.3", ["GFDL13-TITLE"]),
+    ("GFDL-1.2", ["GFDL12-TITLE"]),
     ("GPL-3.0-only", ["GPL3-REF"]),
     ("GPL-2.0-only", ["GPL2-REF"]),
     ("MPL-2.0", ["MPL2-REF", "MPL2-COPY"]),
     ("MPL-2.0", ["MPL2-REF"]),
+    ("MPL-2.0", ["MPL2-TITLE"]),
+    ("MPL-1.1", ["MPL11-TITLE"]),
     ("CC-BY-NC-4.0", ["CC-BY-NC4-REF"]),
     ("CC-BY-SA-4.0", ["CC-BY-SA4-REF"]),
     ("CC-BY-4.0", ["CC-BY4-REF"]),
     ("Unlicense", ["UNLICENSE-GRANT"]),
     ("BSL-1.0", ["BSL1-REF"]),
+    ("BSL-1.0", ["BSL1-TITLE"]),
+    ("CC0-1.0", ["CC0-TITLE"]),
+    ("CC0-1.0", ["CC0-DEDICATE"]),
+    ("Artistic-1.0", ["ARTISTIC1-TITLE"]),
+    ("Artistic-2.0", ["ARTISTIC2-TITLE"]),
+    ("EPL-1.0", ["EPL1-TITLE"]),
+    ("EPL-2.0", ["EPL2-TITLE"]),
+    ("Zlib", ["ZLIB-GRANT"]),
+    ("PSF-2.0", ["PSF2-TITLE"]),
+    ("PSF-2.0", ["PSF2-BETWEEN"]),
+    ("Unicode-3.0", ["UNICODE3-TITLE"]),
+    ("WTFPL", ["WTFPL-TITLE"]),
     *((s, [f"SPDX:{s}"]) for s in SPDX),
 ]
 #: Each known sentence holds one of these within a word (a test proves it), so that a text without any of them needs no cutting.
-STEMS = ["licen", "permission", "warrant", "redistribut", "copyright", "unencumbered", "mozilla"]
+STEMS = ["licen", "permission", "warrant", "redistribut", "copyright", "unencumbered", "mozilla", "cc0", "altered", "endorse"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINES = r"[.!?]+[ \t\r\f\x0B]+|\n"
 _JOINED = r"[.!?:]+\s+|\n\s*\n"
+#: What may number an item of a list.
+_ITEM = "^[0-9a-z]{1,2} "
 #: Both readings cut here, so that they can be merged part by part.
 _PARTS = r"(?<!\b[vV])[.!?]+\s+|\n\s*\n"
 
@@ -110,7 +208,12 @@ def _norm(s: Column) -> Column:
 def _found(pieces: Column) -> Column:
     """Of each piece with an identifier: the identifier, the piece and its place among the pieces."""
     table = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
-    named = lambda s: F.when(s.startswith("copyright "), F.lit("COPYRIGHT")).otherwise(F.coalesce(F.try_element_at(table, s), F.when(s.contains("licen"), F.lit("UNKNOWN"))))
+
+    def named(s: Column) -> Column:
+        holders = [F.when(s.startswith(a) & s.endswith(z), F.lit(i)) for a, z, i in NAMED]
+        listed = F.try_element_at(table, F.regexp_replace(s, _ITEM, ""))
+        return F.when(s.startswith("copyright "), F.lit("COPYRIGHT")).otherwise(F.coalesce(F.try_element_at(table, s), listed, *holders, F.when(s.contains("licen"), F.lit("UNKNOWN"))))
+
     normed = F.transform(pieces, lambda s, k: F.struct(_norm(s).alias("norm"), s.alias("s"), k.alias("k")))
     return F.filter(F.transform(normed, lambda x: F.struct(named(x["norm"]).alias("id"), x["s"].alias("s"), x["k"].alias("k"))), lambda x: x["id"].isNotNull())
 
@@ -161,9 +264,11 @@ def _oracle() -> str:
     norm = f"trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
     table = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
 
+    holders = ", ".join(f"CASE WHEN starts_with(s, '{a}') AND ends_with(s, '{z}') THEN '{i}' END" for a, z, i in NAMED)
+
     def ids(cut: str) -> str:
         cut = cut.replace("\n", "\\n")
-        return f"list_filter(list_transform(list_transform(string_split_regex(coalesce(text, ''), '{cut}'), lambda s: {norm}), lambda s: CASE WHEN starts_with(s, 'copyright ') THEN 'COPYRIGHT' ELSE coalesce(({table})[s], CASE WHEN contains(s, 'licen') THEN 'UNKNOWN' END) END), lambda i: i IS NOT NULL)"
+        return f"list_filter(list_transform(list_transform(string_split_regex(coalesce(text, ''), '{cut}'), lambda s: {norm}), lambda s: CASE WHEN starts_with(s, 'copyright ') THEN 'COPYRIGHT' ELSE coalesce(({table})[s], ({table})[regexp_replace(s, '{_ITEM}', '')], {holders}, CASE WHEN contains(s, 'licen') THEN 'UNKNOWN' END) END), lambda i: i IS NOT NULL)"
 
     stems = " OR ".join(f"contains(translate(text, '{_UPPER}', '{_LOWER}'), '{s}')" for s in STEMS)
     known = "len(list_filter({c}, lambda i: i <> 'UNKNOWN'))"
