@@ -5,24 +5,29 @@ so every window holds a whole block. The blocks are the index; all rolling windo
 window therefore holds a position whose probe meets a block that stands elsewhere. Extension: around such hits the
 windows of full length are compared by 96 further bits of hash; a maximal exact repeat is the union of its windows.
 
-Exchange: documents are dealt into chunks by a hash of the id. A chunk sends each bucket of the hash space one row: its
+Exchange: documents are dealt into chunks by a hash of id and text. A chunk sends each bucket of the hash space one row: its
 distinct probes (32 bits beside the bucket's), packed, those it has twice, and its blocks. A bucket answers each
 chunk with its hits. So a passage that very many documents share is one probe per chunk, and no pair of its places is ever
 made. Documents are shuffled once (the three passes reuse that exchange).
 
-Numbers of chunks and buckets follow the total size of the texts, so that what one task holds stays bounded.
+Numbers of chunks and buckets follow the total size of the texts, so that what one task holds stays bounded. Rows equal in id
+and text (128 bits of hash) would share a chunk: where they are too many for one, all their windows repeat, so each is answered
+where it is read, and two of them stand for all in the chunks.
 
-Edge cases: null texts have no words; texts shorter than a window lose nothing. A row is a text of its own: of repeated rows
-all windows repeat. Null ids are allowed (they share a chunk). An empty table gives no rows. Other columns are not read.
+Edge cases: null texts have no words; texts shorter than a window lose nothing; a very long text is held whole by its chunk's
+task. A row is a text of its own: of repeated rows all windows repeat. Null ids are ids like others. An empty table gives no rows.
+Other columns are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ WINDOW = 35
 BLOCK = 18
 CHUNK_BYTES = 6 << 20
 BUCKET_WORDS = 2_000_000
+#: Marks of repeated rows that are broadcast at most (16 bytes each); more are joined by a shuffle.
+FEW = 250_000
 _PACKED = "bucket long, chunk long, once binary, twice binary, blocks binary"
 
 
@@ -51,7 +58,7 @@ def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _texts(t: pa.Table) -> list[bytes]:
+def _texts(t: pa.Table | pa.RecordBatch) -> list[bytes]:
     return [(x or "").encode() for x in t.column("text").to_pylist()]
 
 
@@ -178,9 +185,18 @@ def _removed(table: pa.Table, replies: pa.Table, repeats: pa.Table, window: int,
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """id, n_words, n_removed, kept (words left, joined by a space; if with_text), kept_sha256 of every row."""
     block = (window + 1) // 2
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("mark"), F.xxhash64(F.lit(1), text_col, id_col).alias("other"), F.lit(False).alias("stands_in"))
+    alike = marked.groupBy("mark", "other", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).agg(F.count("*").alias("c")).withColumn("weight", F.col("c") * F.col("size"))
+    total, heaviest = alike.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max(F.when(F.col("c") > 1, F.col("weight"))), F.lit(0))).first()
     chunks, buckets = max(1, -(-total // CHUNK_BYTES)), max(1, -(-total // (6 * BUCKET_WORDS)))
-    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(chunks)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    hot = None
+    if heaviest > CHUNK_BYTES:
+        many = alike.where((F.col("c") > 1) & (F.col("weight") > CHUNK_BYTES)).select("mark", "other")
+        many = F.broadcast(many) if many.count() <= FEW else many.hint("merge")
+        hot = marked.join(many, ["mark", "other"], "left_semi")
+        twice = hot.groupBy("mark", "other").agg(F.first("text").alias("text")).select(F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), "text", "mark", "other", F.explode(F.array(F.lit(True), F.lit(True))).alias("stands_in"))
+        marked = marked.join(many, ["mark", "other"], "left_anti").unionByName(twice)
+    rows = marked.select(F.pmod("mark", F.lit(chunks)).alias("chunk"), "id", "text", "stands_in")
     answers = "chunk long, bucket long, hits binary"
 
     asked = rows.groupBy("chunk").applyInArrow(lambda t: _ask(t, block, buckets), _PACKED)
@@ -191,21 +207,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     out = docs.select(F.col(id_col)).schema.add("n_words", "long").add("n_removed", "long")
     out = (out.add("kept", "string") if with_text else out).add("kept_sha256", "string")
 
-    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        confirmed = replies.column("a").is_valid()
-        w, gone = _removed(table, replies.filter(replies.column("hits").is_valid()), replies.filter(confirmed), window, block, buckets)
+    def rows_out(ids, texts: list[bytes], drops: list[np.ndarray]) -> list:
         n, cut, kept, sha = [], [], [], []
-        for i, text in enumerate(_texts(table)):
-            drop = gone[w.bounds[i] : w.bounds[i + 1]]
+        for text, drop in zip(texts, drops, strict=True):
             left = b" ".join(compress(text.split(), ~drop))
             n.append(len(drop))
             cut.append(int(drop.sum()))
             kept.append(left.decode() if with_text else None)
             sha.append(hashlib.sha256(left).hexdigest())
-        columns = [table.column("id"), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), *([pa.array(kept, pa.string())] if with_text else []), pa.array(sha, pa.string())]
-        return pa.table(columns, names=out.names)
+        return [ids, pa.array(n, pa.int64()), pa.array(cut, pa.int64()), *([pa.array(kept, pa.string())] if with_text else []), pa.array(sha, pa.string())]
 
-    return rows.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, out)
+    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
+        confirmed = replies.column("a").is_valid()
+        w, gone = _removed(table, replies.filter(replies.column("hits").is_valid()), replies.filter(confirmed), window, block, buckets)
+        drops = [gone[a:b] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
+        done = pa.table(rows_out(table.column("id"), _texts(table), drops), names=out.names)
+        return done.filter(pc.invert(table.column("stands_in")))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = _texts(b)
+            drops = [np.full(n, n >= window) for n in (len(t.split()) for t in texts)]
+            yield pa.record_batch(rows_out(b.column("id"), texts, drops), names=out.names)
+
+    done = rows.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, out)
+    return done if hot is None else done.union(hot.select("id", "text").mapInArrow(repeated, out))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
