@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Positions per piece of a chromosome in running sums.
-PIECE = 1_000_000
+from .pieces import scan
 
 
 def prune_duplicates(reads: DataFrame, cap: int, keys: tuple[str, ...] = ("sample", "replicate", "chrom")) -> DataFrame:
@@ -35,24 +34,10 @@ def events(fragments: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFram
     return fragments.select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("delta")).where("delta <> 0")
 
 
-def running(rows: DataFrame, keys: tuple[str, ...], value: str, out: str, piece: int = PIECE) -> DataFrame:
-    """Running sum of ``value`` by ``pos`` within the keys, and ``_before``: the position before.
-
-    A chromosome is summed in pieces by position and the totals of the pieces before are added, so a window holds a piece
-    and not a chromosome.
-    """
-    cut = rows.withColumn("_piece", F.floor(F.col("pos") / piece))
-    totals = cut.groupBy(*keys, "_piece").agg(F.sum(value).alias("_t"), F.max("pos").alias("_m"))
-    earlier = W.partitionBy(*keys).orderBy("_piece")
-    offsets = totals.select(*keys, "_piece", F.coalesce(F.sum("_t").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.lag("_m").over(earlier).alias("_p"))
-    inside = W.partitionBy(*keys, "_piece").orderBy("pos")
-    summed = cut.join(offsets, [*keys, "_piece"]).withColumn(out, F.col("_o") + F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0))).withColumn("_before", F.coalesce(F.lag("pos").over(inside), "_p"))
-    return summed.drop("_piece", "_o", "_p")
-
-
-def profile(events_: DataFrame, keys: tuple[str, ...] = ("chrom",), piece: int = PIECE) -> DataFrame:
+def profile(events_: DataFrame, keys: tuple[str, ...] = ("chrom",), piece: int | None = None) -> DataFrame:
     """The step function: from pos on the height is ``height``; ``prev_height`` before, ``prev_pos`` the event before."""
-    return running(events_, keys, "delta", "height", piece).select(*keys, "pos", "height", (F.col("height") - F.col("delta")).alias("prev_height"), F.col("_before").alias("prev_pos"))
+    run = scan(events_, keys, {"_before": ("sum", F.col("delta")), "prev_pos": ("max", F.col("pos"))}, itself=False, piece=piece)
+    return run.select(*keys, "pos", (F.col("_before") + F.col("delta")).alias("height"), F.col("_before").alias("prev_height"), "prev_pos")
 
 
 def segments(profile_: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .coverage import running
+from . import regions
+from .pieces import scan
 
 MAX_THRESHOLD = 1000
 
@@ -19,8 +20,7 @@ def all_threshold_peaks(profile: DataFrame, gap: int, max_threshold: int = MAX_T
     partitioned by stretch and stay short.
     """
     hole = (F.col("prev_height") == 0) & (F.col("prev_pos").isNull() | (F.col("pos") - F.col("prev_pos") >= gap))
-    marked = profile.withColumn("_hole", hole.cast("bigint"))
-    cut = running(marked, ("chrom",), "_hole", "_stretch").drop("_before", "_hole")
+    cut = scan(profile, ("chrom",), {"_stretch": ("sum", hole.cast("bigint"))})
     low, high = F.least("height", "prev_height"), F.greatest("height", "prev_height")
     up = F.col("height") > F.col("prev_height")
     crossings = cut.where(low < max_threshold).select("chrom", "_stretch", "pos", up.alias("up"), F.explode(F.sequence(low + 1, F.least(high, F.lit(max_threshold).cast("bigint")))).alias("thr"))
@@ -50,9 +50,8 @@ def peaks_in_range(peaks: DataFrame, low: int, high: int) -> DataFrame:
 def stitch(peaks: DataFrame, win_thr: DataFrame, gap: int, window: int) -> DataFrame:
     """Regions: in each window the peaks of its threshold, clipped to it, and joined over window borders by the gap rule.
 
-    Windows are joined on (chrom, thr, win); the pieces are merged per chromosome in stretches that windows without a
-    piece part.
+    Windows are joined on (chrom, thr, win); the clipped peaks are merged as regions are, piece by piece of a chromosome.
     """
     touched = peaks.select("*", F.explode(F.expr(f"sequence(start div {window}, end div {window})")).alias("win"))
-    pieces = touched.join(win_thr.where("thr > 0"), ["chrom", "thr", "win"]).select("chrom", F.greatest(F.col("start"), F.col("win") * window).alias("s"), F.least(F.col("end"), (F.col("win") + 1) * window - 1).alias("e"))
-    return merge_runs(pieces, ["chrom"], gap)
+    pieces = touched.join(win_thr.where("thr > 0"), ["chrom", "thr", "win"]).select("chrom", F.greatest(F.col("start"), F.col("win") * window).alias("start"), F.least(F.col("end"), (F.col("win") + 1) * window - 1).alias("end"))
+    return regions.merge(pieces, gap - 1)

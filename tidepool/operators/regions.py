@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .pieces import scan
+
 CELL = 10_000
 
 
@@ -23,21 +24,22 @@ def intersect(left: DataFrame, right: DataFrame, strands: bool = False) -> DataF
 
 
 def merge(regions: DataFrame, gap: int = 0) -> DataFrame:
-    """Regions joined where they overlap or lie at most ``gap`` apart (0: where they touch)."""
-    before = W.partitionBy("chrom").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
-    opened = regions.withColumn("_new", F.coalesce((F.col("start") > F.max("end").over(before) + 1 + gap).cast("int"), F.lit(1)))
-    numbered = opened.withColumn("_k", F.sum("_new").over(W.partitionBy("chrom").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("chrom", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_k")
+    """Regions joined where they overlap or lie at most ``gap`` apart (0: where they touch). Each belongs to the last one before
+    it that begins beyond all ends so far."""
+    order = {"pos": "start", "ties": ("end",)}
+    reach = scan(regions.select("chrom", "start", "end"), ("chrom",), {"_reach": ("max", F.col("end"))}, itself=False, **order)
+    opens = F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + 1 + gap)
+    opened = scan(reach, ("chrom",), {"_first": ("max", F.when(opens, F.col("start")))}, **order)
+    return opened.groupBy("chrom", F.col("_first").alias("start")).agg(F.max("end").alias("end"))
 
 
 def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     """The parts of the merged left regions that no right region covers (a sweep over both sides' borders)."""
     marks = lambda d, l, r: d.select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(l).alias("l"), F.lit(r).alias("r")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-l).alias("l"), F.lit(-r).alias("r")))).alias("m"))  # noqa: E731, E741
     net = marks(left, 1, 0).union(marks(right, 0, 1)).groupBy("chrom", "m.pos").agg(F.sum("m.l").alias("l"), F.sum("m.r").alias("r"))
-    by = W.partitionBy("chrom").orderBy("pos")
-    run = by.rowsBetween(W.unboundedPreceding, 0)
-    swept = net.select("chrom", "pos", F.sum("l").over(run).alias("l"), F.sum("r").over(run).alias("r"), F.lead("pos").over(by).alias("next"))
-    free = swept.where("l > 0 AND r = 0").select("chrom", F.col("pos").alias("start"), (F.col("next") - 1).alias("end"))
+    swept = scan(net, ("chrom",), {"_l": ("sum", F.col("l")), "_r": ("sum", F.col("r"))})
+    swept = scan(swept, ("chrom",), {"next": ("min", F.col("pos"))}, itself=False, after=True)
+    free = swept.where("_l > 0 AND _r = 0").select("chrom", F.col("pos").alias("start"), (F.col("next") - 1).alias("end"))
     return merge(free)
 
 
@@ -52,8 +54,8 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     own = left.select("chrom", "start", "end").distinct()
     points = own.select("chrom", F.col("start").alias("at"), F.lit(1).alias("side"), "start", "end", F.lit(None).cast("bigint").alias("rs"), F.lit(None).cast("bigint").alias("re"))
     others = right.select("chrom", F.col("start").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"), F.col("start").alias("rs"), F.col("end").alias("re"))
-    by = W.partitionBy("chrom").orderBy("at", "side")
-    seen = points.union(others).withColumn("_e", F.max("re").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("_s", F.min("rs").over(by.rowsBetween(1, W.unboundedFollowing)))
+    seen = scan(points.union(others), ("chrom",), {"_e": ("max", F.col("re"))}, pos="at", ties=("side",))
+    seen = scan(seen, ("chrom",), {"_s": ("min", F.col("rs"))}, pos="at", ties=("side",), itself=False, after=True)
     left_gap = F.when(F.col("_e").isNotNull(), F.greatest(F.col("start") - F.col("_e"), F.lit(0)))
     right_gap = F.when(F.col("_s").isNotNull(), F.greatest(F.col("_s") - F.col("end"), F.lit(0)))
     return seen.where("side = 1").select("chrom", "start", "end", F.least(left_gap, right_gap).alias("distance"))
@@ -66,8 +68,8 @@ def flanks(regions: DataFrame, size: int) -> DataFrame:
 
 def distances(regions: DataFrame) -> DataFrame:
     """From each region's end to the next one's start."""
-    by = W.partitionBy("chrom").orderBy("start", "end")
-    return regions.select("chrom", "start", "end", (F.lead("start").over(by) - F.col("end")).alias("distance"))
+    behind = scan(regions.select("chrom", "start", "end"), ("chrom",), {"_next": ("min", F.col("start"))}, pos="start", ties=("end",), itself=False, after=True)
+    return behind.select("chrom", "start", "end", (F.col("_next") - F.col("end")).alias("distance"))
 
 
 def exons(regions: DataFrame) -> DataFrame:

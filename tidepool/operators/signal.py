@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .pieces import scan
+
 
 def quantize(value: Column, thresholds: list[float]) -> Column:
     """The largest threshold not above the value; an error if there is none."""
@@ -25,7 +27,7 @@ def slice_(track: DataFrame, start: int, end: int) -> DataFrame:
 
 def renumber(track: DataFrame) -> DataFrame:
     """Positions 1.. without holes, per track."""
-    return track.withColumn("pos", F.row_number().over(W.partitionBy("track").orderBy("pos")).cast("bigint"))
+    return scan(track, ("track",), {"_n": ("sum", F.lit(1).cast("bigint"))}).withColumn("pos", F.col("_n")).drop("_n")
 
 
 def exclude(track: DataFrame, regions: DataFrame) -> DataFrame:
@@ -52,7 +54,10 @@ def shift(track: DataFrame, by: int, length: int) -> DataFrame:
 def permute_blocks(track: DataFrame, block: int, length: int, seed: int) -> DataFrame:
     """Whole blocks of the track in another order, by a hash of seed and block; a rest shorter than a block drops out."""
     n = length // block
-    order = track.sparkSession.range(n).select(F.col("id").alias("_b"), F.row_number().over(W.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), "id")).alias("_to"))
+    hashed = track.sparkSession.range(n).select(F.col("id").alias("_b"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))).alias("_h")).withColumn("_g", F.substring("_h", 1, 3))
+    # ranked in 4096 ranges of the hash, and the counts of the ranges before are added
+    before = hashed.groupBy("_g").agg(F.count("*").alias("_c")).select("_g", F.coalesce(F.sum("_c").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    order = hashed.join(before, "_g").select("_b", (F.col("_o") + F.row_number().over(W.partitionBy("_g").orderBy("_h", "_b"))).alias("_to"))
     at = track.withColumn("_b", F.expr(f"(pos - 1) div {block}"))
     return at.join(order, "_b").select("track", ((F.col("_to") - 1) * block + (F.col("pos") - 1) % block + 1).alias("pos"), "value")
 
@@ -65,7 +70,7 @@ def runs(track: DataFrame, keep: Column, keep_last: bool = False) -> DataFrame:
     """Maximal runs of neighbouring positions that ``keep`` (of value) holds for. One that reaches the track's last position is
     left out unless ``keep_last``."""
     last = track.groupBy("track").agg(F.max("pos").alias("_last"))
-    island = track.where(keep).withColumn("_k", F.col("pos") - F.row_number().over(W.partitionBy("track").orderBy("pos")))
+    island = scan(track.where(keep), ("track",), {"_n": ("sum", F.lit(1).cast("bigint"))}).withColumn("_k", F.col("pos") - F.col("_n"))
     found = island.groupBy("track", "_k").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).drop("_k")
     return found if keep_last else found.join(last, "track").where("end < _last").drop("_last")
 
@@ -80,7 +85,6 @@ def valleys(track: DataFrame, threshold: float) -> DataFrame:
 
 def run_lengths(track: DataFrame) -> DataFrame:
     """Runs of equal values (start, end, value)."""
-    by = W.partitionBy("track").orderBy("pos")
-    opened = track.withColumn("_new", F.coalesce((F.col("value") != F.lag("value").over(by)).cast("int"), F.lit(1)))
-    numbered = opened.withColumn("_k", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("track", "_k", "value").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).drop("_k")
+    last = scan(track.select("track", "pos", "value"), ("track",), {"_last": ("max", F.struct("pos", "value"))}, itself=False)
+    opens = F.coalesce(F.col("value") != F.col("_last.value"), F.lit(True))
+    return scan(last, ("track",), {"start": ("max", F.when(opens, F.col("pos")))}).groupBy("track", "start", "value").agg(F.max("pos").alias("end"))

@@ -41,25 +41,49 @@ class Run:
         self.chip = self.fragments.where("sample = 'chip'")
         self.mappability = mappability if mappability is not None else full_mappability(self.fragments, settings.window)
         self.events = coverage.events(self.chip)
-        self.profile = coverage.profile(self.events)
+        self._kept: list[DataFrame] = []
         self.slopes = normalize.scaling(normalize.bin_counts(self.fragments, compat=False))
-        self.all_peaks = peaks.all_threshold_peaks(self.profile, settings.gap)
-        self.counts = peaks.counts_per_window(self.all_peaks, settings.window)
         self.reads = coverage.reads_per_window(self.chip, settings.window).select("chrom", "win", "n")
 
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """Persisted until ``release``, as several stages read it (a lost executor's part is computed again)."""
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self) -> None:
+        """Gives up what the run has kept; what was computed of it stays valid, if slower."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        """Kept: a row per step of the height, read by the peaks and the summits."""
+        return self._keep(coverage.profile(self.events))
+
+    @cached_property
+    def all_peaks(self) -> DataFrame:
+        """Kept for a simulated background, which reads it twice."""
+        found = peaks.all_threshold_peaks(self.profile, self.s.gap)
+        return found if self.s.model == "Poisson" else self._keep(found)
+
+    @property
+    def counts(self) -> DataFrame:
+        return peaks.counts_per_window(self.all_peaks, self.s.window)
+
     @cached_property
     def thresholds(self) -> DataFrame:
-        """Kept: a row per window, which several stages read (a lost executor's part is computed again)."""
+        """Kept: a row per window, which several stages read."""
         s = self.s
         if s.model == "Poisson":
-            return background.poisson_thresholds(self.reads, self.mappability, s.ext, s.fdr).persist(StorageLevel.MEMORY_AND_DISK)
+            return self._keep(background.poisson_thresholds(self.reads, self.mappability, s.ext, s.fdr))
         simulated = background.simulate_windows(self.reads, self.mappability, s.ext, s.sims, s.seed, s.gap)
-        return background.simulated_thresholds(simulated, self.counts, self.mappability, s.sims, s.fdr).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._keep(background.simulated_thresholds(simulated, self.counts, self.mappability, s.sims, s.fdr))
 
     @cached_property
     def regions(self) -> DataFrame:
         """Kept like the thresholds: a row per region, read by both counts and the summits."""
-        return peaks.stitch(self.all_peaks, self.thresholds, self.s.gap, self.s.window).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._keep(peaks.stitch(self.all_peaks, self.thresholds, self.s.gap, self.s.window))
 
     def scored(self) -> DataFrame:
         starts = self.fragments.groupBy("sample", "chrom", "start").agg(F.count("*").alias("c"))
