@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import coverage
 from ..operators.simulate import simulate_fragments
 from ..sources import reads, sinks
 from .calls import Run, Settings
 
 #: Keys of the configuration and the fields they set.
 KEYS = {"Enrichment_mapped_fragment_length": ("ext", int), "target_FDR": ("fdr", float), "max_Qvalue": ("max_q", float), "N_Simulations": ("sims", int), "Minimum_interpeak_distance": ("gap", int), "Simulation_seed": ("seed", int), "Background_model": ("model", str)}
+#: Key of the folder for the peaks' profiles.
+PROFILES = "Peak_profile_output_dir"
 REQUIRED = [*[k for k in KEYS if k != "Simulation_seed"], "Mappability_map_file", "ChIP_Seq_reads_data_dirs", "Input_reads_data_dirs", "Experiment_id"]
 
 
@@ -36,12 +41,21 @@ def settings_of(config: dict[str, list[str]]) -> Settings:
 
 
 def call(spark: SparkSession, config: dict[str, list[str]], out: str) -> None:
+    """Writes the result text, the narrowPeak lines, the peaks' profiles if a folder for them is named, and a row about the run."""
+    began = time.time()
     both = [reads.read_pool(spark, config[k]).withColumn("sample", F.lit(s)) for k, s in (("ChIP_Seq_reads_data_dirs", "chip"), ("Input_reads_data_dirs", "control"))]
     given = spark.read.schema("chrom string, win bigint, n_mappable bigint").csv(config["Mappability_map_file"][0], sep=" ") if config["Mappability_map_file"][0] != "none" else None
-    run = Run(both[0].unionByName(both[1]), settings_of(config), reads.fill_mappability(given) if given is not None else None)
-    found = run.called().orderBy("q", "log_p", "chrom", "start")
-    sinks.write_lines(sinks.result_rows(found), f"{out}/{config['Experiment_id'][0]}")
-    sinks.write_tsv(sinks.narrowpeak_rows(found), config.get("narrowPeak_output_file_path", [f"{out}/{config['Experiment_id'][0]}_narrowPeak"])[0])
+    settings, name = settings_of(config), config["Experiment_id"][0]
+    run = Run(both[0].unionByName(both[1]), settings, reads.fill_mappability(given) if given is not None else None)
+    found = run.called().orderBy("q", "log_p", "chrom", "start").persist()
+    sinks.write_lines(sinks.result_lines(found), f"{out}/{name}", title=True)
+    sinks.write_lines(sinks.narrowpeak_lines(found), config.get("narrowPeak_output_file_path", [f"{out}/{name}_narrowPeak"])[0])
+    if PROFILES in config:
+        sinks.write_peak_profiles(sinks.peak_profiles(found, coverage.segments(run.profile)), config[PROFILES][0])
+    about = {"experiment": name, **dataclasses.asdict(settings), "peaks": found.count(), "seconds": round(time.time() - began, 3)}
+    spark.createDataFrame([about]).write.mode("append").json(f"{out}/{name}_runs")
+    found.unpersist()
+    run.release()
 
 
 def main(args: list[str] | None = None) -> None:

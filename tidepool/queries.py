@@ -293,6 +293,27 @@ def result_rows(spark, sf):
     return sinks.result_rows(_run(spark, sf).called())
 
 
+@query(_cte(*CALLED) + """SELECT printf('%-15s %-12d %-12d %-11d %-11d %-6d %-12.3f %-15.3f %-8.3f %-12d %-10d', chrom, start, "end", n_chip, n_ctrl_adj, excess, round(enrichment, 3), round(log_p, 3), round(q, 3), summit, max_height) AS line FROM cd WHERE q < 0.05""")
+def result_lines(spark, sf):
+    return sinks.result_lines(_run(spark, sf).called()).toDF("line")
+
+
+@query(_cte(*REGIONS, "sg") + 'SELECT rg.chrom, start, "end", greatest(p, start) AS pos, h AS height FROM rg JOIN sg ON sg.chrom = rg.chrom AND p <= "end" AND q > start')
+def peak_profiles(spark, sf):
+    run = _run(spark, sf)
+    return sinks.peak_profiles(run.regions, coverage.segments(run.profile))
+
+
+@query(_cte("r") + "SELECT chrom, count(*) AS n FROM r GROUP BY chrom")
+def reads_per_chromosome(spark, sf):
+    return sources.reads_per_chromosome(_reads(spark, sf))
+
+
+@query(_cte(*BASE) + "SELECT chrom, start, start + len - 1 AS \"end\", '.' AS name, 1000 AS score, CASE strand WHEN 'F' THEN '+' ELSE '-' END AS strand FROM (SELECT chrom, pos AS start, CAST(replace(cigar, 'M', '') AS BIGINT) AS len, strand FROM r)")
+def tagalign_rows(spark, sf):
+    return sinks.tagalign_rows(cigar.match_blocks(_reads(spark, sf).select("chrom", "strand", "pos", "cigar")))
+
+
 # --- regions --------------------------------------------------------------------------------------------------------------
 PART = "SELECT 'chr' || (1 + p_partkey % 2) AS chrom, p_partkey * 100 AS start, p_partkey * 100 + p_size * 5 AS \"end\", CASE WHEN p_partkey % 3 = 0 THEN '-' ELSE '+' END AS strand FROM part"
 SUPP = "SELECT 'chr' || (1 + s_suppkey % 2) AS chrom, s_suppkey * 1300 AS start, s_suppkey * 1300 + s_nationkey * 40 AS \"end\", CASE WHEN s_suppkey % 2 = 0 THEN '-' ELSE '+' END AS strand FROM supplier"
@@ -588,11 +609,106 @@ def parse_fastq(spark, sf):
     return sources.parse_fastq(lines)
 
 
+_BAD = "CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE CAST(p_partkey * 3 AS STRING) END"
+_PART_REGION = "CAST(1 + p_partkey % 2 AS VARCHAR) AS chrom, p_partkey * 3 + 1 AS start, p_partkey * 3 + 5 + p_size AS \"end\""
+
+
+def _part_lines(spark, sf, parts: list[str], sep: str = "\\t") -> DataFrame:
+    text = ", ".join(f"CAST({p} AS STRING)" for p in parts)
+    return spark.sql(f"SELECT concat_ws('{sep}', {text}) AS value FROM {{t}}", t=_part(spark, sf))
+
+
+_PART_CHR, _PART_END = "'chr' || (1 + p_partkey % 2)", "p_partkey * 3 + 5 + p_size"
+
+
+@query(f"SELECT {_PART_REGION}, p_size + 0.5::DOUBLE AS enrichment, 3.25::DOUBLE AS p, 1e-3::DOUBLE AS q, p_size % 5 + 0::BIGINT AS summit FROM part WHERE p_partkey % 7 <> 0")
+def parse_narrowpeak(spark, sf):
+    return sources.parse_narrowpeak(_part_lines(spark, sf, [_PART_CHR, _BAD, _PART_END, "'.'", "0", "'.'", "p_size || '.5'", "'3.25'", "'1.0e-3'", "p_size % 5"]))
+
+
+@query(f"SELECT {_PART_REGION}, p_size + 0.5::DOUBLE AS enrichment, 3.25::DOUBLE AS p, CASE WHEN p_partkey % 3 <> 0 THEN -1.0::DOUBLE END AS q FROM part WHERE p_partkey % 7 <> 0")
+def parse_broadpeak(spark, sf):
+    """A field that is no number is null; a line without a place is dropped."""
+    return sources.parse_broadpeak(_part_lines(spark, sf, [_PART_CHR, _BAD, _PART_END, "'.'", "0", "'.'", "p_size || '.5'", "'3.25'", "CASE WHEN p_partkey % 3 = 0 THEN 'n/a' ELSE '-1' END"]))
+
+
+@query("SELECT 'n' || p_partkey AS name, CAST(1 + p_partkey % 2 AS VARCHAR) AS chrom, p_partkey * 3 + 1 AS start, p_partkey * 3 + 2 AS \"end\" FROM part UNION ALL SELECT 'n' || p_partkey, CAST(1 + p_partkey % 2 AS VARCHAR), p_partkey * 3 + 5, p_partkey * 3 + 5 + p_size FROM part")
+def parse_interval(spark, sf):
+    parsed = sources.parse_interval(_part_lines(spark, sf, ["'n' || p_partkey", _PART_CHR, "'+'", "p_partkey * 3", _PART_END, "2", "concat_ws(',', p_partkey * 3, p_partkey * 3 + 4)", f"concat_ws(',', p_partkey * 3 + 2, {_PART_END})"]))
+    return regions.exons(parsed).select("name", "chrom", "start", "end")
+
+
+@query("SELECT 'n' || p_partkey AS name, CAST(1 + p_partkey % 2 AS VARCHAR) AS chrom, '+' AS strand, p_partkey * 3 AS start, p_partkey * 3 + 5 + p_size AS \"end\", 2 AS blocks, (p_partkey * 3) || ',' || (p_partkey * 3 + 4) AS starts, (p_partkey * 3 + 2) || ',' || (p_partkey * 3 + 5 + p_size) AS ends FROM part")
+def interval_rows(spark, sf):
+    return sinks.interval_rows(sources.parse_interval(_part_lines(spark, sf, ["'n' || p_partkey", _PART_CHR, "'+'", "p_partkey * 3", _PART_END, "2", "concat_ws(',', p_partkey * 3, p_partkey * 3 + 4)", f"concat_ws(',', p_partkey * 3 + 2, {_PART_END})"])))
+
+
+@query("SELECT CAST(1 + p_partkey % 2 AS VARCHAR) AS chrom, p_partkey * 3 AS pos, p_size / 4.0::DOUBLE AS value FROM part WHERE p_partkey % 7 <> 0")
+def parse_sgr(spark, sf):
+    return sources.parse_sgr(_part_lines(spark, sf, [_PART_CHR, _BAD, "p_size / 4.0D"], " "))
+
+
+@query("SELECT CAST(1 + p_partkey AS VARCHAR) AS chrom, p_partkey * 3 AS length FROM part WHERE p_partkey % 7 <> 0")
+def parse_lengths(spark, sf):
+    return sources.parse_lengths(_part_lines(spark, sf, ["'chr' || (1 + p_partkey)", _BAD]))
+
+
+@query(f"SELECT {_ID} AS id, {_SEQ} AS nucs, {_SEQ} AS quality FROM lineitem")
+def parse_sam_sequences(spark, sf):
+    return sources.parse_sam_sequences(_lines(spark, sf, [_ID, _FLAG, _CHR, _POS, "30", f"{_LEN} || 'M'", "'*'", "0", "0", _SEQ, _SEQ], "\\t"))
+
+
+@query(REG + """ SELECT chrom, start - 1 AS start, "end", '.' AS name, "end" - start AS score, strand FROM a""")
+def bed_rows(spark, sf):
+    return sinks.bed_rows(_a(spark, sf).withColumn("q", F.col("end") - F.col("start")), stranded=True, value="q").withColumnRenamed("q", "score")
+
+
+@query(REG + """ SELECT chrom, 'made' AS source, 'site' AS feature, start, "end", '.' AS score, '.' AS strand, '.' AS frame FROM a""")
+def gff_rows(spark, sf):
+    return sinks.gff_rows(_a(spark, sf), "made", "site")
+
+
+@query("""SELECT p_partkey AS start_1, p_partkey - 1 AS start_bed, p_partkey + p_size AS end_bed, p_partkey - 1 AS start_bowtie, p_partkey + p_size - 1 AS end_bowtie, p_partkey + 1 AS start_back FROM part""")
+def coordinates_translated(spark, sf):
+    start, end = F.col("p_partkey"), F.col("p_partkey") + F.col("p_size")
+    return _part(spark, sf).select(
+        sources.translate_start(start, "bed", "bed").alias("start_1"), sources.translate_start(start, "codebase", "bed").alias("start_bed"), sources.translate_end(end, "gff", "bed").alias("end_bed"), sources.translate_start(start, "sam", "bowtie").alias("start_bowtie"), sources.translate_end(end, "sam", "bowtie").alias("end_bowtie"), sources.translate_start(start, "bed", "codebase").alias("start_back")
+    )
+
+
+_RECORDS = "SELECT 'r' || p_partkey AS id, repeat('ACGT', p_size) AS nucs, repeat('I', p_size) || repeat('5', 3 * p_size) AS quality FROM {t}"
+
+
+@query("SELECT '@' || id || chr(10) || nucs || chr(10) || '+' || id || chr(10) || quality AS value FROM (" + _RECORDS.format(t="part") + ")")
+def fastq_lines(spark, sf):
+    return sinks.fastq_lines(spark.sql(_RECORDS, t=_part(spark, sf)))
+
+
+@query("SELECT i - 1 AS place, quality[i] AS letter, count(*) AS n FROM (SELECT quality, unnest(range(1, len(quality) + 1)) AS i FROM (" + _RECORDS.format(t="part") + ")) GROUP BY ALL")
+def phred_distribution(spark, sf):
+    return sinks.phred_distribution(spark.sql(_RECORDS, t=_part(spark, sf)))
+
+
+@query(DUCK_TRACK + """, f AS (SELECT track, pos, floor(value / 50) AS value FROM s), g AS (SELECT *, sum(o) OVER (PARTITION BY track ORDER BY pos) AS k FROM (SELECT *, CASE WHEN value <> lag(value) OVER (PARTITION BY track ORDER BY pos) THEN 1 ELSE 0 END AS o FROM f)) SELECT track, value, min(pos) - 1 AS start, max(pos) AS "end" FROM g GROUP BY track, k, value""")
+def bedgraph_rows(spark, sf):
+    return sinks.bedgraph_rows(signal.run_lengths(_track(spark, sf).withColumn("value", F.floor(F.col("value") / 50).cast("double"))))
+
+
+@query("SELECT p_partkey, array_to_string(CASE WHEN p_size % 2 = 0 THEN ['a', 'x', 'b', 'y', 'c'] ELSE ['x', 'a', 'y', 'b', 'c'] END, '') AS turns, array_to_string([string_split(p_name, ' ')[1:2], string_split(p_name, ' ')[3:4]][1 + p_partkey % 2], '|') AS part FROM (SELECT p_partkey, p_size, 'a b c ' || p_size AS p_name FROM part)")
+def str_interleave(spark, sf):
+    long, short = F.array(*map(F.lit, "abc")), F.array(*map(F.lit, "xy"))
+    words = F.split(F.concat(F.lit("a b c "), F.col("p_size").cast("string")), " ")
+    half = F.element_at(strings.batches(words, 2), (1 + F.col("p_partkey") % 2).cast("int"))
+    return _part(spark, sf).select("p_partkey", F.array_join(F.when(F.col("p_size") % 2 == 0, strings.interleave(long, short)).otherwise(strings.interleave(short, long)), "").alias("turns"), F.array_join(half, "|").alias("part"))
+
+
 @query(f"SELECT chrom, start + least(CAST(ceil((sqrt(8.0 * 100 * u + 1) - 1) / 2) AS BIGINT), 99) % w AS start, 100 AS len, CASE WHEN v > 1073741823 THEN 'F' ELSE 'R' END AS strand FROM (SELECT chrom, start, \"end\" - start + 1 AS w, {background.uniform(['key', 'read'], SET.seed)} / 2147483647.0::DOUBLE AS u, {background.uniform(['key', 'read'], SET.seed + 1)} AS v FROM (SELECT 'chr' || (1 + p_partkey % 2) AS chrom, p_partkey * 100 AS start, p_partkey * 100 + p_size * 5 AS \"end\", p_partkey AS key, unnest(range(1, 6)) AS read FROM part))")
 def simulate_control(spark, sf):
     return simulate.simulate_fragments(_a(spark, sf).withColumn("key", F.expr("start div 100")), 5, 100, SET.seed, chip=False)
 
 
-@query()
+@query(f"""WITH c AS (SELECT sum(w) OVER (ORDER BY i) / sum(w) OVER () AS c FROM (SELECT i, exp(-power(i - 50, 2) / 8.0) AS w FROM range(100) x(i))),
+d AS (SELECT chrom, start, "end" - start + 1 AS w, {background.uniform(['key', 'read'], SET.seed)} / 2147483647.0::DOUBLE AS u, {background.uniform(['key', 'read'], SET.seed + 1)} AS v FROM (SELECT 'chr' || (1 + p_partkey % 2) AS chrom, p_partkey * 100 AS start, p_partkey * 100 + p_size * 5 AS "end", p_partkey AS key, unnest(range(1, 6)) AS read FROM part))
+SELECT chrom, start + (SELECT count(*) FROM c WHERE c <= u) % 100 % w AS start, 100 AS len, CASE WHEN v > 1073741823 THEN 'F' ELSE 'R' END AS strand FROM d""")
 def simulate_fragments(spark, sf):
     return simulate.simulate_fragments(_a(spark, sf).withColumn("key", F.expr("start div 100")), 5, 100, SET.seed, chip=True)

@@ -27,23 +27,27 @@ def normalize_chrom(c: Column) -> Column:
     return F.regexp_replace(c, "^(chr|Chr|CHR)", "")
 
 
-def _fields(lines: DataFrame, sep: str, least: int) -> DataFrame:
+def _fields(lines: DataFrame, sep: str, least: int, make: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """The columns that ``make`` builds of a line's fields. The fields are bound once per line, and as a generator makes the
+    rows, no filter on the columns is pushed below it to split the line again."""
     value = F.col("value") if sep == "\t" else F.trim(F.col("value"))
-    return lines.withColumn("_f", F.split(value, sep)).where(F.size("_f") >= least)
+    whole = F.filter(F.array(F.split(value, sep)), lambda f: F.size(f) >= least)
+    made = F.transform(whole, lambda f: F.struct(*(c.alias(name) for name, c in make(f).items())))
+    return lines.select(*(c for c in lines.columns if c != "value"), F.inline(made))
 
 
-def _f(i: int) -> Column:
-    return F.col("_f")[i]
+def _long(c: Column) -> Column:
+    return c.try_cast("bigint")
 
 
-def _long(i: int) -> Column:
-    return _f(i).try_cast("bigint")
+def _reads(lines: DataFrame, sep: str, least: int, make: Callable[[Column], tuple[Column, Column, Column, Column]]) -> DataFrame:
+    """make: chromosome, strand, position and CIGAR of the fields."""
 
+    def columns(f: Column) -> dict[str, Column]:
+        chrom, strand, pos, cigar = make(f)
+        return {"chrom": normalize_chrom(chrom), "strand": strand, "pos": pos, "cigar": cigar}
 
-def _reads(lines: DataFrame, chrom: Column, strand: Column, pos: Column, cigar: Column) -> DataFrame:
-    rest = [c for c in lines.columns if c not in ("value", "_f")]
-    out = lines.select(*rest, normalize_chrom(chrom).alias("chrom"), strand.alias("strand"), pos.alias("pos"), cigar.alias("cigar"))
-    return out.where("pos >= 1 AND chrom <> '' AND strand IS NOT NULL AND cigar IS NOT NULL")
+    return _fields(lines, sep, least, columns).where("pos >= 1 AND chrom <> '' AND strand IS NOT NULL AND cigar IS NOT NULL")
 
 
 def _sign(c: Column) -> Column:
@@ -54,42 +58,41 @@ def _m(n: Column) -> Column:
     return F.concat(n.cast("string"), F.lit("M"))
 
 
+def _no_header(lines: DataFrame) -> DataFrame:
+    return lines.where(~F.col("value").startswith("@"))
+
+
 def parse_sam(lines: DataFrame) -> DataFrame:
     """Unmapped reads (flag 4) are dropped; flag 16 is the reverse strand."""
-    rows = _fields(lines.where(~F.col("value").startswith("@")), "\t", 11).where(_long(1).bitwiseAND(F.lit(4)) == 0)
-    return _reads(rows, _f(2), F.when(_long(1).bitwiseAND(F.lit(16)) != 0, "R").otherwise("F"), _long(3), _f(5))
+    bit = lambda f, n: _long(f[1]).bitwiseAND(F.lit(n)) != 0
+    strand = lambda f: F.when(~bit(f, 4), F.when(bit(f, 16), "R").otherwise("F"))
+    return _reads(_no_header(lines), "\t", 11, lambda f: (f[2], strand(f), _long(f[3]), f[5]))
 
 
 def parse_eland(lines: DataFrame) -> DataFrame:
     """A strand of ``-`` is reverse, anything else forward."""
-    rows = _fields(lines, r"\s+", 9)
-    return _reads(rows, _f(6), F.when(_f(8).startswith("-"), "R").otherwise("F"), _long(7), _m(F.length(_f(1))))
+    return _reads(lines, r"\s+", 9, lambda f: (f[6], F.when(f[8].startswith("-"), "R").otherwise("F"), _long(f[7]), _m(F.length(f[1]))))
 
 
 def parse_tagalign(lines: DataFrame) -> DataFrame:
-    rows = _fields(lines, r"\s+", 6)
-    return _reads(rows, _f(0), _sign(_f(5)), _long(1), _m(_long(2) - _long(1) + 1))
+    return _reads(lines, r"\s+", 6, lambda f: (f[0], _sign(f[5]), _long(f[1]), _m(_long(f[2]) - _long(f[1]) + 1)))
 
 
 def parse_bowtie(lines: DataFrame) -> DataFrame:
-    rows = _fields(lines, "\t", 5)
-    return _reads(rows, _f(2), _sign(_f(1)), _long(3) + 1, _m(F.length(_f(4))))
+    return _reads(lines, "\t", 5, lambda f: (f[2], _sign(f[1]), _long(f[3]) + 1, _m(F.length(f[4]))))
 
 
 def parse_bed4(lines: DataFrame) -> DataFrame:
-    rows = _fields(lines, r"\s+", 5)
-    return _reads(rows, _f(0), _sign(_f(4)), _long(1) + 1, _m(_long(2) - _long(1)))
+    return _reads(lines, r"\s+", 5, lambda f: (f[0], _sign(f[4]), _long(f[1]) + 1, _m(_long(f[2]) - _long(f[1]))))
 
 
 def parse_bed6(lines: DataFrame) -> DataFrame:
-    rows = _fields(lines, r"\s+", 6)
-    return _reads(rows, _f(0), _sign(_f(5)), _long(1) + 1, _m(_long(2) - _long(1)))
+    return _reads(lines, r"\s+", 6, lambda f: (f[0], _sign(f[5]), _long(f[1]) + 1, _m(_long(f[2]) - _long(f[1]))))
 
 
 def parse_preprocessed(lines: DataFrame) -> DataFrame:
     """chrom, pos, cigar, sign."""
-    rows = _fields(lines.where(~F.col("value").startswith("@")), r"\s+", 4)
-    return _reads(rows, _f(0), _sign(_f(3)), _long(1), _f(2))
+    return _reads(_no_header(lines), r"\s+", 4, lambda f: (f[0], _sign(f[3]), _long(f[1]), f[2]))
 
 
 #: Formats by name. A new format is one more entry.
@@ -106,39 +109,78 @@ def preprocess(spark: SparkSession, fmt: str, path: str, out_dir: str) -> None:
 
 
 def read_pool(spark: SparkSession, dirs: list[str]) -> DataFrame:
-    """Reads of several preprocessed folders with the folder as replicate; only chromosomes of the first count."""
+    """Reads of several preprocessed folders with the folder as replicate; only chromosomes of the first count. A folder that is
+    not there, or holds nothing, has no reads."""
     schema = "strand string, pos bigint, cigar string, chrom string"
-    each = [spark.read.schema(schema).parquet(d).withColumn("replicate", F.lit(str(i))) for i, d in enumerate(dirs)]
+    each = [(spark.read.schema(schema).parquet(d) if _exists(spark, d) else spark.createDataFrame([], schema)).withColumn("replicate", F.lit(str(i))) for i, d in enumerate(dirs)]
     out = each[0]
     for more in each[1:]:
         out = out.unionByName(more)
     return out.join(each[0].select("chrom").distinct(), "chrom", "left_semi")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def reads_per_chromosome(reads: DataFrame) -> DataFrame:
+    return reads.groupBy("chrom").agg(F.count("*").alias("n"))
+
+
+def _checked(regions: DataFrame) -> DataFrame:
+    return regions.withColumn("start", F.when(F.col("start") > F.col("end"), F.raise_error(F.lit("a region starts after its end"))).otherwise(F.col("start"))).where("start IS NOT NULL AND end IS NOT NULL")
+
+
+def _or(f: Column, i: int, default: str) -> Column:
+    return F.coalesce(F.get(f, F.lit(i)), F.lit(default))
+
+
 def parse_bed(lines: DataFrame) -> DataFrame:
     """Regions: tab fields chrom, start, end and perhaps name, score, strand; start above end is an error."""
-    rows = _fields(lines.where("value <> '' AND NOT startswith(value, '#') AND NOT startswith(value, 'track')"), "\t", 3)
-    at = lambda i, default: F.coalesce(F.get("_f", F.lit(i)), F.lit(default))
-    out = rows.select(normalize_chrom(_f(0)).alias("chrom"), (_long(1) + 1).alias("start"), _long(2).alias("end"), at(3, ".").alias("name"), at(4, "0").try_cast("int").alias("score"), at(5, "+").alias("strand"))
-    return out.withColumn("start", F.when(F.col("start") > F.col("end"), F.raise_error(F.lit("a region starts after its end"))).otherwise(F.col("start")))
+    told = lines.where("value <> '' AND NOT startswith(value, '#') AND NOT startswith(value, 'track')")
+    return _checked(_fields(told, "\t", 3, lambda f: {"chrom": normalize_chrom(f[0]), "start": _long(f[1]) + 1, "end": _long(f[2]), "name": _or(f, 3, "."), "score": _or(f, 4, "0").try_cast("int"), "strand": _or(f, 5, "+")}))
 
 
 def parse_bed12(lines: DataFrame) -> DataFrame:
     """Regions with their blocks as ``intervals``."""
-    rows = _fields(lines, "\t", 12)
-    numbers = lambda i: F.transform(F.filter(F.split(_f(i), ","), lambda x: x != ""), lambda x: x.cast("bigint"))
-    blocks = F.zip_with(numbers(11), numbers(10), lambda s, n: F.struct((_long(1) + 1 + s).alias("start"), (_long(1) + s + n).alias("end")))
-    return rows.select(normalize_chrom(_f(0)).alias("chrom"), (_long(1) + 1).alias("start"), _long(2).alias("end"), _f(3).alias("name"), _f(5).alias("strand"), blocks.alias("intervals"))
+    numbers = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), _long)
+    blocks = lambda f: F.zip_with(numbers(f[11]), numbers(f[10]), lambda s, n: F.struct((_long(f[1]) + 1 + s).alias("start"), (_long(f[1]) + s + n).alias("end")))
+    return _fields(lines, "\t", 12, lambda f: {"chrom": normalize_chrom(f[0]), "start": _long(f[1]) + 1, "end": _long(f[2]), "name": f[3], "strand": f[5], "intervals": blocks(f)}).where("start IS NOT NULL AND end IS NOT NULL")
+
+
+def parse_interval(lines: DataFrame) -> DataFrame:
+    """Regions with blocks: name, chrom, strand, start, end, number of blocks, their starts and ends (commas between)."""
+    numbers = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), _long)
+    blocks = lambda f: F.zip_with(numbers(f[6]), numbers(f[7]), lambda s, e: F.struct((s + 1).alias("start"), e.alias("end")))
+    return _fields(lines, r"\s+", 8, lambda f: {"chrom": normalize_chrom(f[1]), "start": _long(f[3]) + 1, "end": _long(f[4]), "name": f[0], "strand": f[2], "intervals": blocks(f)}).where("start IS NOT NULL AND end IS NOT NULL")
+
+
+def _double(c: Column) -> Column:
+    return c.try_cast("double")
+
+
+def parse_broadpeak(lines: DataFrame) -> DataFrame:
+    return _checked(_fields(lines, r"\s+", 9, lambda f: {"chrom": normalize_chrom(f[0]), "start": _long(f[1]) + 1, "end": _long(f[2]), "enrichment": _double(f[6]), "p": _double(f[7]), "q": _double(f[8])}))
 
 
 def parse_narrowpeak(lines: DataFrame) -> DataFrame:
-    rows = _fields(lines, r"\s+", 10)
-    return rows.select(_f(0).alias("chrom"), (_long(1) + 1).alias("start"), _long(2).alias("end"), _f(6).cast("double").alias("enrichment"), _f(7).cast("double").alias("p"), _f(8).cast("double").alias("q"), _long(9).alias("summit"))
+    return _checked(_fields(lines, r"\s+", 10, lambda f: {"chrom": normalize_chrom(f[0]), "start": _long(f[1]) + 1, "end": _long(f[2]), "enrichment": _double(f[6]), "p": _double(f[7]), "q": _double(f[8]), "summit": _long(f[9])}))
+
+
+def parse_lengths(lines: DataFrame) -> DataFrame:
+    """Chromosomes and their lengths."""
+    return _fields(lines, r"\s+", 2, lambda f: {"chrom": normalize_chrom(f[0]), "length": _long(f[1])}).where("length IS NOT NULL")
+
+
+def parse_sgr(lines: DataFrame) -> DataFrame:
+    """A height per position: chrom, pos, value."""
+    return _fields(lines, r"\s+", 3, lambda f: {"chrom": normalize_chrom(f[0]), "pos": _long(f[1]), "value": _double(f[2])}).where("pos IS NOT NULL AND value IS NOT NULL")
 
 
 def parse_bedgraph(lines: DataFrame) -> DataFrame:
     """A dense track (pos, value): later lines win. Needs a column ``line`` with the line's number."""
-    rows = _fields(lines, r"\s+", 4).select("line", _long(1).alias("s"), _long(2).alias("e"), _f(3).try_cast("double").alias("value")).where("e > s")
+    rows = _fields(lines, r"\s+", 4, lambda f: {"s": _long(f[1]), "e": _long(f[2]), "value": _double(f[3])}).where("e > s")
     return rows.select("line", "value", F.explode(F.sequence(F.col("s") + 1, F.col("e"))).alias("pos")).groupBy("pos").agg(F.max_by("value", "line").alias("value"))
 
 
@@ -149,8 +191,8 @@ def parse_fastq(lines: DataFrame) -> DataFrame:
 
 
 def parse_sam_sequences(lines: DataFrame) -> DataFrame:
-    rows = _fields(lines.where(~F.col("value").startswith("@")), "\t", 11)
-    return rows.select(_f(0).alias("id"), _f(9).alias("nucs"), _f(10).alias("quality"))
+    """Sequences and qualities as they stand, of mapped and unmapped reads."""
+    return _fields(_no_header(lines), "\t", 11, lambda f: {"id": f[0], "nucs": f[9], "quality": f[10]})
 
 
 def fill_mappability(given: DataFrame) -> DataFrame:

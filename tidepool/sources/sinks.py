@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CELL = 10_000
+
 
 def narrowpeak_rows(peaks: DataFrame) -> DataFrame:
     """narrowPeak: 0-based start, -log10 of p, the raw q, and the summit's offset."""
@@ -16,22 +20,63 @@ def result_rows(peaks: DataFrame) -> DataFrame:
     return peaks.select(F.col("chrom").alias("chromosome"), F.col("start").alias("begin"), "end", "n_chip", F.col("n_ctrl_adj").alias("n_control"), "excess", F.round("enrichment", 3).alias("enrichment"), F.round("log_p", 3).alias("log_p"), F.round("q", 3).alias("q"), F.col("summit").alias("max_position"), "max_height")
 
 
-def fixed_width(*columns: Column) -> Column:
-    """A line of cells padded to 15."""
-    return F.concat_ws(" ", *(F.rpad(c.cast("string"), 15, " ") for c in columns))
+#: Titles of the result text's columns, the cell of each (printf), and the cells of a narrowPeak line.
+TITLES = ["Chromosome", "Begin", "End", "#_ChIP_Reads", "#_Control_Reads", "Excess", "Enrichment", "Log_p-value", "Q-value", "Max_Position", "Max_Height"]
+CELLS = ["%-15s", "%-12d", "%-12d", "%-11d", "%-11d", "%-6d", "%-12.3f", "%-15.3f", "%-8.3f", "%-12d", "%-10d"]
+NARROWPEAK_CELLS = ["%-15s", "%-12d", "%-12d", "%s", "%d", "%s", "%-12.3f", "%e", "%e", "%d"]
+
+
+def title_line() -> str:
+    return " ".join(re.sub(r"(\.\d+)?[sdf]$", "s", cell) for cell in CELLS) % tuple(TITLES)
+
+
+def result_lines(peaks: DataFrame) -> DataFrame:
+    """One column, named by the title line, with the result text's lines."""
+    rows = result_rows(peaks)
+    return rows.select(F.format_string(" ".join(CELLS), *(F.col(c) for c in rows.columns)).alias(title_line()))
+
+
+def narrowpeak_lines(peaks: DataFrame) -> DataFrame:
+    rows = narrowpeak_rows(peaks)
+    return rows.select(F.format_string("\t".join(NARROWPEAK_CELLS), *(F.col(c) for c in rows.columns)).alias("value"))
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def write_lines(rows: DataFrame, path: str) -> None:
-    rows.select(fixed_width(*(F.col(c) for c in rows.columns)).alias("value")).write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, title: bool = False) -> None:
+    """Lines (one column) as text; with ``title`` each file begins with the column's name."""
+    plain = {"sep": "\x01", "quote": "", "escapeQuotes": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.write.mode("overwrite").options(header=title, **plain).csv(path)
+
+
+def peak_profiles(regions: DataFrame, segments: DataFrame) -> DataFrame:
+    """The steps of the height inside each region (pos: the region's start at least). A range join by cells."""
+    cells = lambda a, b: F.explode(F.expr(f"sequence(cast(floor({a} / {CELL}) as bigint), cast(floor({b} / {CELL}) as bigint))"))
+    left = regions.select("chrom", "start", "end", cells("start", "end").alias("_cell"))
+    right = segments.select("chrom", F.col("pos").alias("_p"), F.col("next_pos").alias("_q"), "height", cells("pos", "(next_pos - 1)").alias("_cell"))
+    first = F.greatest("_p", "start")
+    met = left.join(right, ["chrom", "_cell"]).where(F.expr("_p <= end AND _q > start") & (F.floor(first / CELL) == F.col("_cell")))
+    return met.select("chrom", "start", "end", first.alias("pos"), "height")
+
 
+def write_peak_profiles(profiles: DataFrame, path: str) -> None:
+    """A folder per chromosome; a peak's steps stand together and in order."""
+    profiles.repartition("chrom", "start").sortWithinPartitions("chrom", "start", "end", "pos").write.mode("overwrite").partitionBy("chrom").parquet(path)
 
-def bed_rows(regions: DataFrame, stranded: bool = False) -> DataFrame:
+
+def bed_rows(regions: DataFrame, stranded: bool = False, value: str | None = None) -> DataFrame:
+    """BED rows; with ``value`` that column (such as p or q) follows a name."""
     base = [F.col("chrom"), (F.col("start") - 1).alias("start"), F.col("end")]
-    return regions.select(*base, *([F.lit(".").alias("name"), F.lit(0).alias("score"), F.col("strand")] if stranded else []))
+    named = [F.lit(".").alias("name")] if stranded or value else []
+    return regions.select(*base, *named, *([F.col(value)] if value else [F.lit(0).alias("score")] if stranded else []), *([F.col("strand")] if stranded else []))
+
+
+def interval_rows(regions: DataFrame) -> DataFrame:
+    """Regions with ``intervals`` as lines' fields: starts 0-based, lists with commas."""
+    joined = lambda field, less: F.array_join(F.transform("intervals", lambda x: (x[field] - less).cast("string")), ",")
+    return regions.select("name", "chrom", "strand", (F.col("start") - 1).alias("start"), "end", F.size("intervals").alias("blocks"), joined("start", 1).alias("starts"), joined("end", 0).alias("ends"))
 
 
 def tagalign_rows(fragments: DataFrame) -> DataFrame:
