@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from tidepool.functions.cigar import match_blocks
-from tidepool.operators import background, coverage, peaks, regions, score
+from tidepool.operators import background, coverage, peaks, pieces, regions, score, signal
 from tidepool.plans.cli import read_config, settings_of
-from tidepool.sources import reads
+from tidepool.sources import reads, sinks
 from tidepool.streaming import ingest
 
 
@@ -99,6 +99,101 @@ def test_regions(spark):
     assert rows(regions.nearest(a, b), "start", "distance") == [(1, 0), (5, 0), (40, 10)]
 
 
+def random_regions(seed, n=60):
+    rng = random.Random(seed)
+    return [(rng.choice("12"), a, a + rng.randint(0, 40)) for a in (rng.randint(1, 900) for _ in range(n))]
+
+
+def covered(spans, chrom):
+    return {p for c, a, b in spans if c == chrom for p in range(a, b + 1)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_regions_in_many_pieces(spark, monkeypatch, seed):
+    monkeypatch.setattr(pieces, "PIECE", 50)
+    left, right = random_regions(seed), random_regions(seed + 10, 15)
+    schema = "chrom string, start long, end long"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    for c in "12":
+        merged = rows(regions.merge(a).where(f"chrom = '{c}'"), "chrom", "start", "end")
+        assert covered(merged, c) == covered(left, c) and all(x[2] + 1 < y[1] for x, y in zip(merged, merged[1:], strict=False))
+        assert covered(rows(regions.subtract(a, b), "chrom", "start", "end"), c) == covered(left, c) - covered(right, c)
+    near = {(c, s, e): min(max(s2 - e, s - e2, 0) for c2, s2, e2 in right if c2 == c) for c, s, e in left}
+    assert {x[:3]: x[3] for x in rows(regions.nearest(a, b), "chrom", "start", "end", "distance")} == near
+    wanted = []
+    for c in "12":
+        own = sorted(x for x in left if x[0] == c)
+        wanted += [(*x, y[1] - x[2]) for x, y in zip(own, own[1:], strict=False)] + [(*own[-1], None)]
+    assert sorted(map(str, rows_of(regions.distances(a)))) == sorted(map(str, wanted))
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_tracks_in_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "PIECE", 7)
+    rng = random.Random(8)
+    track = [("t", p, float(rng.choice([1, 1, 1, 2]))) for p in sorted(rng.sample(range(1, 200), 120))]
+    df = spark.createDataFrame(track, "track string, pos long, value double")
+    assert rows(signal.renumber(df), "pos", "value") == sorted((i, v) for i, (_, _, v) in enumerate(track, 1))
+    equal = []
+    for _, p, v in track:
+        if equal and equal[-1][2] == v:
+            equal[-1][1] = p
+        else:
+            equal.append([p, p, v])
+    assert rows(signal.run_lengths(df), "start", "end", "value") == sorted(map(tuple, equal))
+    high = {p for _, p, v in track if v == 2}
+    starts = sorted(p for p in high if p - 1 not in high)
+    wanted = [(s, next(e for e in range(s, 300) if e + 1 not in high)) for s in starts]
+    assert rows(signal.runs(df, F.col("value") >= 2, keep_last=True), "start", "end") == wanted
+    moved = signal.permute_blocks(df, 5, 200, 3)
+    assert moved.count() == df.where("pos <= 200").count() and moved.select("pos").distinct().count() == moved.count()
+
+
+def test_call_end_to_end(spark, tmp_path):
+    from tidepool.plans import cli
+
+    rng = random.Random(5)
+    line = lambda p: "\t".join(["r", "0", "chr1", str(p), "30", "36M", "*", "0", "0", "A", "I"]) + "\n"
+    spots = [20_000 * k + 500 for k in range(1, 30)]
+    ground = lambda n: [1 + int(600_000 * rng.random() ** 3) for _ in range(n)]
+    for name, reads_at in (("chip", [rng.choice(spots) + rng.randint(0, 300) for _ in range(1500)] + ground(3000)), ("input", ground(3000))):
+        (tmp_path / f"{name}.sam").write_text("".join(map(line, reads_at)))
+        cli.main(["preprocess", "SAM", str(tmp_path / f"{name}.sam"), str(tmp_path / name)])
+    config = {"Enrichment_mapped_fragment_length": 200, "target_FDR": 0.05, "max_Qvalue": 0.05, "N_Simulations": 2, "Minimum_interpeak_distance": 200, "Background_model": "Poisson", "Mappability_map_file": "none", "ChIP_Seq_reads_data_dirs": f"{tmp_path}/chip {tmp_path}/absent", "Input_reads_data_dirs": f"{tmp_path}/input", "Experiment_id": "e", "Peak_profile_output_dir": f"{tmp_path}/profiles"}
+    (tmp_path / "c.txt").write_text("".join(f"{k} {v}\n" for k, v in config.items()))
+    cli.main(["call", str(tmp_path / "c.txt"), str(tmp_path / "out")])
+    files = list((tmp_path / "out" / "e").glob("part-*.csv"))
+    lines = [f.read_text().splitlines() for f in files if f.stat().st_size]
+    assert all(x[0] == sinks.title_line() for x in lines) and sinks.title_line().startswith("Chromosome      Begin        End          #_ChIP_Reads")
+    found = [x.split() for y in lines for x in y[1:]]
+    assert len(found) > 20 and all(len(x) == 11 and float(x[8]) < 0.05 for x in found)
+    assert all(any(s - 400 <= (int(x[1]) + int(x[2])) / 2 <= s + 700 for s in spots) for x in found)
+    again = reads.parse_narrowpeak(spark.read.text(str(tmp_path / "out" / "e_narrowPeak")))
+    assert rows(again, "start", "end") == sorted((int(x[1]), int(x[2])) for x in found)
+    assert spark.read.json(str(tmp_path / "out" / "e_runs")).first()["peaks"] == len(found)
+    profiles = spark.read.parquet(str(tmp_path / "profiles"))
+    tops = {(r["start"], r["end"]): r["m"] for r in profiles.groupBy("start", "end").agg(F.max("height").alias("m")).collect()}
+    assert tops == {(int(x[1]), int(x[2])): int(x[10]) for x in found}
+    (tmp_path / "r.bed").write_text("chr1\t100\t900\n")
+    cli.main(["simulate", str(tmp_path / "r.bed"), "7", "5", "100", str(tmp_path / "s1"), str(tmp_path / "s2")])
+    assert reads.parse_tagalign(spark.read.text(str(tmp_path / "s1"))).count() == 7 and reads.parse_tagalign(spark.read.text(str(tmp_path / "s2"))).count() == 5
+
+
+def test_window_counts_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bed").write_text("chr1\t5\t9\tn\t0\t+\nchr1\t25\t29\tn\t0\t-\nchr1\t26\t29\tn\t0\t-\n")
+    counted = ingest.window_counts(ingest.stream_reads(spark, "BED6", str(tmp_path / "in")), 20)
+    counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.table("counted"), "chrom", "win", "n") == [("1", 0, 1), ("1", 1, 2)]
+
+
+def test_missing_folder_is_empty(spark, tmp_path):
+    assert reads.read_pool(spark, [str(tmp_path / "none")]).count() == 0
+
+
 def test_preprocess_and_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
