@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import documents, in_slices
+from .common import documents, in_slices, small_batches
 
 CACHE = 500_000
 CACHED_LENGTH = 64
@@ -155,7 +155,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             columns = [b.column(0), pa.array(n, pa.int64()), *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.record_batch(columns, names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,19 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 texts of a few KB takes hundreds of MB in the executor and its workers.
+BATCH_ROWS = "1000"
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after seeing to it that the session sends rows to Python in small batches (a size that the user chose is left alone)."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) == "10000":
+        conf.set(_BATCH_KEY, BATCH_ROWS)
+    return df
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of few rows, so that a task holds the Python values of no more than that."""
     for b in batches:

@@ -46,16 +46,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Staging, documents
+from .common import WORD, Staging, documents, small_batches
 from .components import connected_components
 from .hashing import Words, mix
 
 _U = np.uint64
 BATCH_WORDS = 300_000
 #: Elements that one slice of the counting pass holds.
-SLICE_ELEMENTS = 4_000_000
+SLICE_ELEMENTS = 3_000_000
 #: Elements of a common order that go to all tasks, at most.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 RICH = 2
 TILE_SETS = 2000
 TILE_ELEMENTS = 1_000_000
@@ -431,9 +431,11 @@ def similar_components(docs: DataFrame, join: Join, id_col: str = "doc_id", text
     """id, n_shingles (size of the set) and component_id (smallest id reachable by links, itself included) of every row."""
     spark = docs.sparkSession
     staging = Staging(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     common = None if join.segmented else spark.sparkContext.broadcast(_common(staging, narrow, join))
     rows = staging.put(narrow.mapInArrow(_pass_one(join, common), _ROWS), "keys")
+    if common:
+        common.unpersist()
 
     sets = staging.put(rows.where("kind = 0").select("doc", "node", "n"), "sets")
     nodes = staging.put(rows.where("kind = 0 AND bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc", "mark")).alias("from")).select("node", "n", "bits", "from.doc", "from.mark"), "nodes")

@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import Staging, documents, in_slices
+from .common import Staging, documents, in_slices, small_batches
 
 WIDTH = 64
 RANGE_BYTES = 8 << 20
@@ -262,7 +262,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if rows:
                 yield _batch(rows)
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, SCHEMA)
 
 
 def features(samples: np.ndarray) -> str:

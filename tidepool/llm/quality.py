@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_slices
+from .common import documents, in_slices, small_batches
 
 SAMPLE_DOCS = 3000
 SAMPLE_BYTES = 8_000_000
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores = [model.score(features((t or "").encode())) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,4 +150,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             good = [model.score(features((t or "").encode())) >= THRESHOLD for t in b.column("text").to_pylist()]
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

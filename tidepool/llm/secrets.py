@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import documents, in_slices
+from .common import documents, in_slices, small_batches
 
 #: A query is True (no demand), a trigram, ("and", ...) or ("or", ...).
 Query = object
@@ -234,7 +234,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b, _, found in scan_batches(batches, text_col, rules):
             yield pa.record_batch([b.column(0), pa.array([[{"kind": k, "start": a, "end": e} for a, _, e, k in f] for f in found], kind)], names=[id_col, "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +248,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
             shas = [hashlib.sha256(joined(f).encode()).hexdigest() for f in base]
             yield pa.record_batch([b.column(0), *counts, pa.array(shas, pa.string()), pa.array([joined(f) for f in found], pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def redact(text: str, spans: list[tuple[int, int, int, str]], mark: str = "<{}>") -> str:
@@ -276,4 +276,4 @@ def redact_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
                     b = b.set_column(i, b.schema.field(i), pa.array([v if f else o for v, f, o in zip(values, found, old, strict=True)], b.schema.field(i).type))
             yield b
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
