@@ -75,7 +75,6 @@ SENTENCES: dict[str, str] = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers": "NCSA-SOURCE",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimers in the documentation and or other materials provided with the distribution": "NCSA-BINARY",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the disclaimer that follows these conditions in the documentation and or other materials provided with the distribution": "BSD-BINARY",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSD-GRANT-SOURCE",
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSD-ASIS",
     "gnu general public license version 1 february 1989": "GPL1-TITLE",
     "gnu general public license version 2 june 1991": "GPL2-TITLE",
@@ -140,9 +139,7 @@ RULES: list[tuple[str, list[str]]] = [
     ("NCSA", ["NCSA-GRANT", "NCSA-SOURCE", "NCSA-BINARY"]),
     ("NCSA", ["NCSA-GRANT"]),
     ("BSD-3-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-ENDORSE"]),
-    ("BSD-3-Clause", ["BSD-GRANT-SOURCE", "BSD-BINARY", "BSD-ENDORSE"]),
     ("BSD-2-Clause", ["BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"]),
-    ("BSD-2-Clause", ["BSD-GRANT-SOURCE", "BSD-BINARY"]),
     ("GPL-2.0-or-later", ["GPL2-LATER", "GPL-HOPE", "GPL-SEE"]),
     ("GPL-2.0-or-later", ["GPL2-LATER"]),
     ("GPL-3.0-or-later", ["GPL3-LATER", "GPL-HOPE", "GPL-SEE"]),
