@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of code points other than ASCII white space (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a narrow table that are broadcast at most; more are joined by a shuffle.
+FEW = 250_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

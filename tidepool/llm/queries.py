@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard, licenses, media, mixing, passages, quality, secrets, sharding
+from . import bpe, fingerprint, jaccard, leaks, licenses, media, middle, mixing, passages, quality, secrets, sharding, vectors
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_secrets": secrets.op9_secrets,
     "op10_media": media.op10_media,
+    "op11_middle": middle.op11_middle,
+    "op12_leaks": leaks.op12_leaks,
+    "op13_vector_codes": vectors.op13_vector_codes,
 }
 ORACLES = {
     "op1_license_scans": licenses.ORACLE,
@@ -22,4 +25,7 @@ ORACLES = {
     "op3_jaccard": jaccard.ORACLE,
     "op4_sharding": sharding.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_middle": middle.ORACLE,
+    "op12_leaks": leaks.ORACLE,
+    "op13_vector_codes": vectors.ORACLE,
 }
