@@ -67,6 +67,17 @@ def hash_bucket(hex_hash: Column, buckets: Column) -> Column:
     return F.floor(F.conv(F.substring(hex_hash, 1, 8), 16, 10).cast("double") * buckets / F.lit(4294967296.0)).cast("long")
 
 
+def tasks_for(rows: int, each: int = 20_000) -> int:
+    """Tasks for a table of so many rows: a small one is not cut into as many parts as the session has for large ones."""
+    return max(1, -(-rows // each))
+
+
+def meet(df: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner", few: int | None = None) -> DataFrame:
+    """df joined with a narrow table that is cheap to count (staged): broadcast up to ``FEW`` rows, beyond that by a shuffle."""
+    few = FEW if few is None else few
+    return df.join(other.hint("broadcast" if other.limit(few + 1).count() <= few else "merge"), on, how)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset and all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -100,19 +111,19 @@ class Staging:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """df as a table. rows: how many there are at most, where that is known; a small table is made by few tasks."""
         path = self.path(name)
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(tasks_for(rows))).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_at = path
         self._live[path] = None
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            if t.staged_at in self._live:
-                remove(self.spark, t.staged_at)
-                del self._live[t.staged_at]
+        for path in {getattr(t, "staged_at", None) for t in tables} & self._live.keys():
+            remove(self.spark, path)
+            del self._live[path]
 
     def drop_all_but(self, *tables: DataFrame) -> None:
         for path in self._live.keys() - {t.staged_at for t in tables}:

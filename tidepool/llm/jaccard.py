@@ -40,13 +40,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from .common import WORD, Staging, documents, small_batches
+from .common import FEW, WORD, Staging, documents, meet, row_fields, small_batches, whole_row
 from .components import connected_components
 from .hashing import Words, mix
 
@@ -59,8 +62,6 @@ FREQUENT = 1 << 18
 RICH = 2
 TILE_SETS = 2000
 TILE_ELEMENTS = 1_000_000
-#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
-FEW = 250_000
 MAX_BITS = 1 << 16
 _GROWTH = 1.5
 _WEIGHTS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9E6C63D0676A9A99)
@@ -289,11 +290,9 @@ def _common(staging: Staging, narrow: DataFrame, join: Join) -> tuple[np.ndarray
     return h[order], n[order].astype(np.float32)
 
 
-_ROWS = "kind int, key long, node long, doc long, mark long, n long, bits binary"
-
-
-def _pass_one(join: Join, common):
-    """Rows of kind 0: a document with its node and size (bitmap: at the node's first in the slice); 1: a key of a node."""
+def _pass_one(join: Join, common, id_type: pa.DataType):
+    """Rows of kind 0: a document with its node and size (bitmap: at the node's first in the slice); 1: a key of a node, with its size."""
+    record = partial(_record, id_type)
 
     def flush(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         sets = join.sets(texts)
@@ -304,7 +303,7 @@ def _pass_one(join: Join, common):
         first.sort()
         chosen = set(first.tolist())
         maps = [bitmap(s) if i in chosen else None for i, s in enumerate(sets)]
-        yield _record(0, None, [int(x) if k else None for x, k in zip(node, n, strict=True)], *zip(*ids, strict=True), n, maps)
+        yield record(0, None, [int(x) if k else None for x, k in zip(node, n, strict=True)], *zip(*ids, strict=True), n, maps)
         mine = [sets[i] for i in first]
         if join.segmented:
             each = [join.segment_keys(s) for s in mine]
@@ -312,7 +311,7 @@ def _pass_one(join: Join, common):
         else:
             key, owner = join.prefix_keys(mine, *common.value)
         if len(key):
-            yield _record(1, key.view(np.int64), node[first][owner], None, None, None, None)
+            yield record(1, key.view(np.int64), node[first][owner], None, None, n[first][owner], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _slices(batches, BATCH_WORDS):
@@ -321,42 +320,54 @@ def _pass_one(join: Join, common):
     return run
 
 
-def _record(kind: int, key, node, doc, mark, n, bits) -> pa.RecordBatch:
+def _record(id_type: pa.DataType, kind: int, key, node, doc, mark, n, bits) -> pa.RecordBatch:
     size = len(node)
-    column = lambda x, t: pa.nulls(size, t) if x is None else pa.array(x, t)
-    return pa.record_batch([pa.array(np.full(size, kind, np.int32)), column(key, pa.int64()), column(node, pa.int64()), column(doc, pa.int64()), column(mark, pa.int64()), column(n, pa.int64()), column(bits, pa.binary())], names=["kind", "key", "node", "doc", "mark", "n", "bits"])
+    types = {"key": pa.int64(), "node": pa.int64(), "doc": id_type, "mark": pa.int64(), "n": pa.int64(), "bits": pa.binary()}
+    columns = [pa.nulls(size, t) if x is None else pa.array(x, t) for x, t in zip((key, node, doc, mark, n, bits), types.values(), strict=True)]
+    return pa.record_batch([pa.array(np.full(size, kind, np.int32)), *columns], names=["kind", *types])
 
 
 # --- checking --------------------------------------------------------------------------------------------------------------
 class _Check:
-    """Exact checks of pairs of nodes. nodes: node, n, bits, doc and mark (of a text with that set); texts: doc, text, mark."""
-
-    def __init__(self, staging: Staging, join: Join, nodes: DataFrame, texts: DataFrame):
-        self.staging, self.join, self.nodes, self.texts = staging, join, nodes, texts
-
-    def with_texts(self, members: DataFrame) -> DataFrame:
-        """members (staged, with a column node) and a text of each node. A text is known by id and mark, so a repeated id brings no others."""
-        members = members.join(self.nodes.select("node", "doc", "mark"), "node")
-        wanted = self.staging.put(members.select("doc", "mark").distinct(), "wanted")
-        found = self.texts.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge"), ["doc", "mark"], "left_semi")
-        return members.join(found.dropDuplicates(["doc", "mark"]).hint("merge"), ["doc", "mark"])
-
-    def star(self, pairs: DataFrame) -> DataFrame:
-        """pairs: u, v (v: the leader). Those that link, as a staged table."""
+    """Exact checks of pairs of nodes. nodes: node, n, bits, doc and mark (of a text with that set); texts: doc, text, mark;
+    repeated: whether several rows have one id and text."""
+
+    def __init__(self, staging: Staging, join: Join, nodes: DataFrame, texts: DataFrame, repeated: bool):
+        self.staging, self.join, self.nodes, self.texts, self.repeated = staging, join, nodes, texts, repeated
+
+    def with_texts(self, members: DataFrame, by: list[str], rows: int) -> DataFrame:
+        """members (staged, with the columns ``by`` and node) and a text of each node. A text is known by id and mark, so a repeated
+        id brings no others. Few members go to the texts where these are read; of many, the texts wanted are shuffled once."""
+        source = self.nodes.select("node", "doc", "mark")
+        if rows <= FEW:
+            placed = self.staging.put(source.join(F.broadcast(members), "node"), "placed", rows)
+            found = self.texts.join(F.broadcast(placed), ["doc", "mark"])
+            return found.dropDuplicates([*by, "node"]) if self.repeated else found
+        placed = members.join(source.hint("merge"), "node")
+        wanted = self.staging.put(placed.select("doc", "mark").distinct(), "wanted", rows)
+        found = meet(self.texts, wanted, ["doc", "mark"], "left_semi")
+        return placed.join(found.dropDuplicates(["doc", "mark"]).hint("merge"), ["doc", "mark"])
+
+    def star(self, pairs: DataFrame, rows: int) -> DataFrame:
+        """pairs: u, v (v: the leader), n_u, n_v; rows of them at most. Those that link, as a staged table."""
         join = self.join
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 a, x, na, nx = b.column("bits_u").to_pylist(), b.column("bits_v").to_pylist(), b.column("n_u").to_pylist(), b.column("n_v").to_pylist()
-                ok = [join.num * max(s, t) <= join.den * min(s, t) and len(within_bound(join, np.array([s, t]), stacked([p, q]), 0, np.array([1]))) > 0 for p, q, s, t in zip(a, x, na, nx, strict=True)]
+                ok = [len(within_bound(join, np.array([s, t]), stacked([p, q]), 0, np.array([1]))) > 0 for p, q, s, t in zip(a, x, na, nx, strict=True)]
                 yield b.select(["u", "v", "n_u"]).filter(pa.array(ok, pa.bool_()))
 
-        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-        both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
-        near = self.staging.put(both.mapInArrow(bound, "u long, v long, n_u long"), "near")
-        blocks = near.groupBy("v").agg(_blocks(F.count("*"), F.sum("n_u")).alias("blocks"))
-        placed = near.join(blocks, "v").select(F.col("v").alias("cell"), F.pmod(F.xxhash64("u"), "blocks").alias("block"), F.col("u").alias("node"))
-        members = self.staging.put(placed.union(placed.select("cell", "block", F.col("cell").alias("node")).distinct()), "members")
+        alike = F.col("n_u") * join.num <= F.col("n_v") * join.den
+        pairs = self.staging.put(pairs.where(alike & (F.col("n_v") * join.num <= F.col("n_u") * join.den)).distinct(), "pairs", rows)
+        rows = pairs.count()
+        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}"))
+        own = side("u").join(F.broadcast(pairs), "u") if rows <= FEW else pairs.join(side("u").hint("merge"), "u")
+        near = self.staging.put(own.join(side("v").hint("merge"), "v").mapInArrow(bound, "u long, v long, n_u long"), "near", 10 * rows)
+        left = near.count()
+        blocks = self.staging.put(near.groupBy("v").agg(_blocks(F.count("*"), F.sum("n_u")).alias("blocks")), "blocks", left)
+        placed = meet(near, blocks, "v").select(F.col("v").alias("cell"), F.pmod(F.xxhash64("u"), "blocks").alias("block"), F.col("u").alias("node"))
+        members = self.staging.put(placed.union(placed.select("cell", "block", F.col("cell").alias("node")).distinct()), "members", 2 * left)
 
         def exact(t: pa.Table) -> pa.Table:
             sets = _sets_of(join, t)
@@ -365,19 +376,22 @@ class _Check:
             hits = [u for u, s in sets.items() if join.linked(len(np.intersect1d(own, s, True)), len(own), len(s))]
             return pa.table([pa.array(hits, pa.int64()), pa.array([lead] * len(hits), pa.int64())], names=["u", "v"])
 
-        links = self.staging.put(self.with_texts(members).groupBy("cell", "block").applyInArrow(exact, "u long, v long"), "links")
-        self.staging.drop(near, members)
+        links = self.staging.put(self.with_texts(members, ["cell", "block"], 2 * left).groupBy("cell", "block").applyInArrow(exact, "u long, v long"), "links", 40 * left)
+        self.staging.drop(pairs, near, blocks, members)
         return links
 
     def tiles(self, members: DataFrame) -> DataFrame:
-        """members: key, node, part, tested. Links between parts of a key's group, a spanning forest of each tile."""
+        """members: key, node, n, part, tested. Links between parts of a key's group, a spanning forest of each tile."""
         join, staging = self.join, self.staging
         bands = F.sequence(_band(F.col("n")), _band(F.expr(f"(n * {join.den}) div {join.num}")))
-        banded = members.join(self.nodes.select("node", "n"), "node").withColumn("band", F.explode(bands))
-        banded = staging.put(banded, "banded")
+        banded = staging.put(members.withColumn("band", F.explode(bands)), "banded")
+        rows = banded.count()
         cells = banded.groupBy("key", "band").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"), F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").drop("a", "b")
-        placed = banded.join(cells, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        cells = staging.put(cells, "cells", rows)
+        placed = meet(banded, cells, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         tiled = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "part", "tested", "n")
+        tiled = staging.put(tiled, "tiled")
+        rows = tiled.count()
         schema = "key long, band int, lo int, hi int, block int, node long, part long, tested boolean"
         names = [c.split()[0] for c in schema.split(", ")]
 
@@ -385,8 +399,10 @@ class _Check:
             t = t.take(pa.array(np.argsort(t.column("n").to_numpy(), kind="stable")))
             return t.select(names).filter(pa.array(hopeful(join, _tile(t, stacked(t.column("bits").to_pylist())))))
 
-        whole = tiled.join(self.nodes.select("node", "bits"), "node")
-        chosen = staging.put(whole.groupBy("key", "band", "lo", "hi").applyInArrow(select, schema), "hopeful")
+        bits = self.nodes.select("node", "bits")
+        whole = bits.join(F.broadcast(tiled), "node") if rows <= FEW else tiled.join(bits.hint("merge"), "node")
+        chosen = staging.put(whole.groupBy("key", "band", "lo", "hi").applyInArrow(select, schema), "hopeful", 10 * rows)
+        left = chosen.count()
 
         def exact(t: pa.Table) -> pa.Table:
             sets = _sets_of(join, t)
@@ -398,8 +414,9 @@ class _Check:
             pairs = forest(join, _tile(t, stacked([bitmap(s) for s in own])), own) if own else []
             return pa.table([pa.array([nodes[i] for i, _ in pairs], pa.int64()), pa.array([nodes[j] for _, j in pairs], pa.int64())], names=["u", "v"])
 
-        links = staging.put(self.with_texts(chosen).groupBy("key", "band", "lo", "hi").applyInArrow(exact, "u long, v long"), "links")
-        staging.drop(banded, chosen)
+        by = ["key", "band", "lo", "hi"]
+        links = staging.put(self.with_texts(chosen, by, left).groupBy(*by).applyInArrow(exact, "u long, v long"), "links", 10 * left)
+        staging.drop(banded, cells, tiled, chosen)
         return links
 
 
@@ -417,67 +434,74 @@ def _tile(t: pa.Table, words: np.ndarray) -> Tile:
 
 
 def _with_parts(groups: DataFrame, parts: DataFrame) -> DataFrame:
-    """groups (key, node) with part: the component so far, or the node itself."""
-    return groups.join(parts.select("node", "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    """groups (key, node, n) with part: the component so far, or the node itself."""
+    return meet(groups, parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
 
 
-def _open_groups(divided: DataFrame) -> DataFrame:
-    """key, lead, second (the leaders) of groups that hold several parts beyond a pair; of those with the same nodes one."""
+def _open_groups(staging: Staging, divided: DataFrame, rows: int) -> DataFrame:
+    """key, c (nodes), lead, second (the leaders) of groups that hold several parts beyond a pair; of those with the same nodes one."""
     seen = divided.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"), F.min("node").alias("lead"), F.min(F.struct(F.xxhash64("node", F.lit(1)).alias("h"), "node"))["node"].alias("second"))
-    return seen.where("a <> b AND c > 2").groupBy("c", "x", "y", "lead", "second").agg(F.min("key").alias("key")).select("key", "lead", "second")
+    once = seen.where("a <> b AND c > 2").groupBy("c", "x", "y", "lead", "second").agg(F.min("key").alias("key"))
+    return staging.put(once.select("key", "c", "lead", "second"), "open", rows)
 
 
 def similar_components(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles (size of the set) and component_id (smallest id reachable by links, itself included) of every row."""
     spark = docs.sparkSession
     staging = Staging(spark)
-    narrow = small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     common = None if join.segmented else spark.sparkContext.broadcast(_common(staging, narrow, join))
-    rows = staging.put(narrow.mapInArrow(_pass_one(join, common), _ROWS), "keys")
+    kind = docs.select(id_col).schema[0].dataType
+    schema = StructType.fromDDL("kind int, key long, node long").add("doc", kind).add("mark", "long").add("n", "long").add("bits", "binary")
+    rows = staging.put(narrow.mapInArrow(_pass_one(join, common, to_arrow_type(kind)), schema), "keys")
     if common:
         common.unpersist()
 
     sets = staging.put(rows.where("kind = 0").select("doc", "node", "n"), "sets")
-    nodes = staging.put(rows.where("kind = 0 AND bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc", "mark")).alias("from")).select("node", "n", "bits", "from.doc", "from.mark"), "nodes")
-    keys = rows.where("kind = 1").select("key", "node")
-    repeated = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    groups = staging.put(keys.join(repeated, "key").distinct(), "groups")
-    staging.drop(rows)  # most keys stand alone and are not needed any more
+    size = sets.count()
+    nodes = staging.put(rows.where("kind = 0 AND bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc", "mark")).alias("from")).select("node", "n", "bits", "from.doc", "from.mark"), "nodes", 10 * size)
+    keys = rows.where("kind = 1").select("key", "node", "n")
+    every = keys.count()
+    shared = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("v"), F.max("node").alias("b")).where("v.node <> b")
+    shared = staging.put(shared.select("key", F.col("v.node").alias("v"), F.col("v.n").alias("n_v")), "shared", every)
+    groups = staging.put(meet(keys, shared, "key").distinct(), "groups", every)
+    many = groups.count()
+    staging.drop(rows, shared)  # most keys stand alone and are not needed any more
 
-    check = _Check(staging, join, nodes, narrow.where("doc IS NOT NULL AND text IS NOT NULL"))
     # rows of one id are one document
     known = sets.where("doc IS NOT NULL AND node IS NOT NULL")
-    several = known.groupBy("doc").agg(F.min("node").alias("v"), F.max("node").alias("b")).where("v <> b").select("doc", "v")
-    links = staging.put(known.join(several, "doc").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "same")
+    several = staging.put(known.groupBy("doc").agg(F.min("node").alias("v"), F.max("node").alias("b"), F.count("*").alias("c")).where("c > 1"), "several", size)
+    check = _Check(staging, join, nodes, narrow.where("doc IS NOT NULL AND text IS NOT NULL"), not several.isEmpty())
+    links = staging.put(meet(known, several.where("v <> b").select("doc", "v"), "doc").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "same", size)
 
-    leads = groups.groupBy("key").agg(F.min("node").alias("v"))
-    star = check.star(groups.join(leads, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct())
+    star = check.star(groups.where("node <> v").select(F.col("node").alias("u"), "v", F.col("n").alias("n_u"), "n_v"), many)
     links = links.union(star)
     parts = connected_components(staging, links)
     divided = _with_parts(groups, parts)
-    left = staging.put(divided.join(_open_groups(divided), "key").withColumn("tested", F.col("node") == F.col("lead")), "left")
-    most = left.groupBy("key").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    still = _open_groups(staging, divided, many)
+    left = staging.put(meet(divided, still, "key").withColumn("tested", F.col("node") == F.col("lead")), "left", many)
+    most = still.agg(F.max("c")).first()[0] or 0
     if most > TILE_SETS:
-        seconds = left.groupBy("key").agg(F.min(F.when(F.col("node") == F.col("second"), F.col("part"))).alias("own"))
-        star = check.star(left.join(seconds, "key").where("part <> own").select(F.col("node").alias("u"), F.col("second").alias("v")).distinct())
+        seconds = left.groupBy("key").agg(F.min(F.when(F.col("node") == F.col("second"), F.struct("part", "n"))).alias("own"))
+        seconds = staging.put(seconds.select("key", F.col("own.part").alias("own"), F.col("own.n").alias("n_v")), "seconds", many)
+        star = check.star(meet(left, seconds, "key").where("part <> own").select(F.col("node").alias("u"), F.col("second").alias("v"), F.col("n").alias("n_u"), "n_v"), many)
         links = links.union(star)
         parts = connected_components(staging, links)
-        divided = _with_parts(left.select("key", "node"), parts)
-        still = divided.join(_open_groups(divided), "key")
-        left = staging.put(still.withColumn("tested", F.col("node").isin(F.col("lead"), F.col("second"))), "left")
+        divided = _with_parts(left.select("key", "node", "n"), parts)
+        still = _open_groups(staging, divided, many)
+        left = staging.put(meet(divided, still, "key").withColumn("tested", F.col("node").isin(F.col("lead"), F.col("second"))), "left", many)
     if not left.isEmpty():
-        found = check.tiles(left.select("key", "node", "part", "tested"))
+        found = check.tiles(left.select("key", "node", "n", "part", "tested"))
         if not found.isEmpty():
             parts = connected_components(staging, links.union(found))
 
-    labelled = known.select("doc", "node").join(parts, "node", "left").select("doc", F.coalesce("component", "node").alias("label"))
-    labelled = staging.put(labelled.distinct(), "labelled")
+    labelled = meet(known.select("doc", "node"), parts, "node", "left").select("doc", F.coalesce("component", "node").alias("label"))
+    labelled = staging.put(labelled.distinct(), "labelled", size)
     staging.drop_all_but(sets, labelled)
-    smallest = labelled.groupBy("label").agg(F.min("doc").alias("component"))
-    by_doc = labelled.join(smallest, "label").groupBy("doc").agg(F.min("component").alias("component"))
-    out = sets.join(by_doc, "doc", "left")
-    kind = docs.schema[id_col].dataType
-    return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(kind).alias("component_id"))
+    smallest = staging.put(labelled.groupBy("label").agg(F.min("doc").alias("component"), F.count("*").alias("c")).where("c > 1").drop("c"), "smallest", size)
+    by_doc = staging.put(meet(labelled, smallest, "label").groupBy("doc").agg(F.min("component").alias("component")), "by_doc", size)
+    out = meet(sets, by_doc, "doc", "left")
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
 def _band(size: Column) -> Column:
@@ -496,28 +520,33 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one row, that of the smallest id, of each group of near copies (5-word shingles, similarity 0.8).
 
-    Each row is a document of its own, known by 64 bits of a hash of all its columns: repeated rows are copies, rows with one
-    id are linked by their texts only, and null ids take part and come after all others. Of rows with one id the smallest hash
-    stays. Rows without words have no copies and all stay.
+    Each row is a document of its own, known by 128 bits of hash of its id, text and source: rows equal in these are copies (the
+    one whose other columns come first as JSON stays), rows with one id are linked by their texts only, and null ids take part
+    and come after all others. Of rows with one id the smallest hash stays. Rows without words have no copies and all stay.
+    Columns of any name and type stay as they are. A table without the column source does without it.
     """
     staging = Staging(spark)
-    row = F.xxhash64(*(F.col(c) for c in docs.columns))
+    parts = [F.col(c) for c in ("doc_id", "text", "source") if c in docs.columns]
+    row = F.concat_ws(":", F.xxhash64(*parts), F.xxhash64(F.lit(1), *reversed(parts)))
     found = similar_components(docs.select(row.alias("row"), "text"), NEAR, "row")
-    found = staging.put(found.groupBy("row").agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"), F.count("*").alias("times")).where("n > 0"), "found")
-    copies = found.groupBy("component").agg(F.count("*").alias("rows"), F.sum("times").alias("times")).where("times > 1")
-    member = found.join(copies.select("component"), "component").join(docs.select(row.alias("row"), "doc_id").groupBy("row").agg(F.min("doc_id").alias("doc_id")), "row")
-    member = staging.put(member, "member")
+    found = staging.put(found.groupBy("row").agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("n"), F.count("*").alias("times")).where("n > 0"), "found", docs.count())
+    size = found.count()
+    copies = staging.put(found.groupBy("component").agg(F.count("*").alias("rows"), F.sum("times").alias("times")).where("times > 1").select("component"), "copies", size)
+    among = staging.put(meet(found, copies, "component"), "among", size)
+    member = staging.put(meet(docs.select(row.alias("row"), "doc_id"), among, "row").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.first("component").alias("component"), F.first("times").alias("times")), "member", size)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best")
-    judged = member.join(member.groupBy("component").agg(best).select("component", "best.row").withColumnRenamed("row", "first"), "component")
+    first = staging.put(member.groupBy("component").agg(best).select("component", F.col("best.row").alias("first")), "first", size)
     # rows that go, and rows that stay once of several equal ones
-    marked = staging.put(judged.select("row", (F.col("row") == F.col("first")).alias("stays"), "times").where("NOT stays OR times > 1").select("row", "stays"), "marked")
-    tag = f"row_{staging.token}"
-    side = marked.select(F.col("row").alias(tag), "stays")
-    hint = F.broadcast if marked.count() <= FEW else (lambda x: x.hint("merge"))
-    tagged, names = docs.withColumn(tag, row), docs.columns
-    kept = tagged.join(hint(side), tag, "left_anti").select(*names)
-    again = side.where("stays")
-    return kept if again.isEmpty() else kept.union(tagged.join(hint(again), tag, "left_semi").select(*names).dropDuplicates())
+    judged = meet(member, first, "component").select("row", (F.col("row") == F.col("first")).alias("stays"), "times").where("NOT stays OR times > 1")
+    marked = staging.put(judged.select("row", "stays"), "marked", size)
+    staging.drop_all_but(marked)
+    whole = docs.select(row.alias("row"), whole_row(docs).alias("all"))
+    kept = meet(whole, marked, "row", "left_anti").select(*row_fields(docs, "all"))
+    again = marked.where("stays").select("row")
+    if again.isEmpty():
+        return kept
+    once = meet(whole, again, "row", "left_semi").groupBy("row").agg(F.min_by("all", F.to_json("all")).alias("all"))
+    return kept.union(once.select(*row_fields(docs, "all")))
 
 
 ORACLE = f"""
