@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,8 +12,16 @@ from .coverage import events
 from .peaks import MAX_THRESHOLD, merge_runs
 
 
-def poisson_threshold(lam, fdr: float, most: int = MAX_THRESHOLD):
-    """Smallest t in 1..most with CDF(t) > 1 - fdr, else 0. Terms run in logarithms, so a large mean stays finite."""
+def too_high(most: int) -> Column:
+    """An error in place of a threshold beyond the range, as 0 would leave the window out without a word."""
+    return F.raise_error(F.lit(f"a window needs a threshold above {most}: raise Max_threshold")).cast("int")
+
+
+def poisson_threshold(lam: Column, fdr: float, most: int = MAX_THRESHOLD) -> Column:
+    """Smallest t from 1 on with CDF(t) > 1 - fdr; an error if it is above ``most``. Terms run in logarithms, so a large mean
+    stays finite. They end where Bernstein's bound leaves less than ``fdr`` of the tail, so no threshold lies further on."""
+    tail = -math.log(fdr)
+    last = F.ceil(lam + 2 / 3 * tail + F.sqrt(2 * tail * lam)).cast("int") + 2
     start = F.struct(F.exp(-lam).alias("c"), (-lam).alias("lt"), F.lit(0).alias("thr"))
 
     def step(acc, t):
@@ -19,14 +29,15 @@ def poisson_threshold(lam, fdr: float, most: int = MAX_THRESHOLD):
         c = acc["c"] + F.exp(lt)
         return F.when(acc["thr"] > 0, acc).otherwise(F.struct(c.alias("c"), lt.alias("lt"), F.when(c > 1 - fdr, t).otherwise(0).alias("thr")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["thr"]
+    found = F.aggregate(F.sequence(F.lit(1), F.least(last, F.lit(most))), start, step)["thr"]
+    return F.when(found > 0, found).otherwise(too_high(most))
 
 
-def poisson_thresholds(reads: DataFrame, mappability: DataFrame, ext: int, fdr: float) -> DataFrame:
-    """reads: chrom, win, n. Windows without mappable positions get threshold 0."""
+def poisson_thresholds(reads: DataFrame, mappability: DataFrame, ext: int, fdr: float, most: int = MAX_THRESHOLD) -> DataFrame:
+    """reads: chrom, win, n. Windows without mappable positions get threshold 0; one that needs more than ``most`` is an error."""
     joined = mappability.join(reads, ["chrom", "win"], "left")
     lam = (F.coalesce("n", F.lit(0)) * ext).cast("double") / F.col("n_mappable")
-    return joined.select("chrom", "win", F.when(F.col("n_mappable") > 0, poisson_threshold(lam, fdr)).otherwise(0).cast("bigint").alias("thr"))
+    return joined.select("chrom", "win", F.when(F.col("n_mappable") > 0, poisson_threshold(lam, fdr, most)).otherwise(0).cast("bigint").alias("thr"))
 
 
 def _minstd(x: str) -> str:
@@ -42,7 +53,7 @@ def uniform(parts: list[str], seed: int) -> str:
     return _minstd(_minstd(x))
 
 
-def simulate_windows(reads: DataFrame, mappability: DataFrame, ext: int, sims: int, seed: int, gap: int) -> DataFrame:
+def simulate_windows(reads: DataFrame, mappability: DataFrame, ext: int, sims: int, seed: int, gap: int, most: int = MAX_THRESHOLD) -> DataFrame:
     """chrom, win, thr, total: peaks at each threshold summed over the simulations (thresholds that occur).
 
     Each simulation of a window places its reads uniformly on the mappable positions; a counter-based generator stands for
@@ -58,7 +69,7 @@ def simulate_windows(reads: DataFrame, mappability: DataFrame, ext: int, sims: i
     by = W.partitionBy(*keys).orderBy("pos")
     heights = profile.withColumn("height", F.sum("delta").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("prev_height", F.col("height") - F.col("delta"))
     low, high = F.least("height", "prev_height"), F.greatest("height", "prev_height")
-    crossings = heights.where(low < MAX_THRESHOLD).select(*keys, "pos", (F.col("height") > F.col("prev_height")).alias("up"), F.explode(F.sequence(low + 1, F.least(high, F.lit(MAX_THRESHOLD).cast("bigint")))).alias("thr"))
+    crossings = heights.where(low < most).select(*keys, "pos", (F.col("height") > F.col("prev_height")).alias("up"), F.explode(F.sequence(low + 1, F.least(high, F.lit(most).cast("bigint")))).alias("thr"))
     runs = crossings.withColumn("e", F.lead("pos").over(W.partitionBy(*keys, "thr").orderBy("pos")) - 1).where("up")
     peaks = merge_runs(runs.select(*keys, "thr", F.col("pos").alias("s"), "e"), [*keys, "thr"], gap + 1)
     # a merged peak that starts at 0 does not count unless it is the only one
@@ -66,11 +77,12 @@ def simulate_windows(reads: DataFrame, mappability: DataFrame, ext: int, sims: i
     return each.groupBy("chrom", "win", "thr").agg(F.sum("c").alias("total"))
 
 
-def simulated_thresholds(simulated: DataFrame, counts: DataFrame, mappability: DataFrame, sims: int, fdr: float) -> DataFrame:
+def simulated_thresholds(simulated: DataFrame, counts: DataFrame, mappability: DataFrame, sims: int, fdr: float, most: int = MAX_THRESHOLD) -> DataFrame:
     """chrom, win, thr: the least threshold whose mean simulated count is at most ``fdr`` of the real one, from where the
-    means start to fall. counts: chrom, thr, win, n."""
+    means start to fall. counts: chrom, thr, win, n. A window that has peaks at ``most`` and finds none is an error."""
     both = simulated.select("chrom", "win", "thr").union(counts.select("chrom", "win", "thr"))
-    grid = both.groupBy("chrom", "win").agg(F.max("thr").alias("most")).select("chrom", "win", F.explode(F.expr(f"sequence(1L, least(most + 1, {MAX_THRESHOLD}L))")).alias("thr"))
+    highest = both.groupBy("chrom", "win").agg(F.max("thr").alias("_high"))
+    grid = highest.select("chrom", "win", F.explode(F.expr(f"sequence(1L, least(_high + 1, {most}L))")).alias("thr"))
     dense = grid.join(simulated, ["chrom", "win", "thr"], "left").join(counts, ["chrom", "win", "thr"], "left").na.fill(0, ["total", "n"])
     by = W.partitionBy("chrom", "win").orderBy("thr")
     near = dense.withColumn("before", F.lag("total").over(by)).withColumn("after", F.lead("total").over(by))
@@ -79,4 +91,5 @@ def simulated_thresholds(simulated: DataFrame, counts: DataFrame, mappability: D
     first = (F.col("thr") == 1) & enough & (F.col("total") > F.col("after"))
     later = (F.col("thr") >= F.col("from_thr")) & ((F.col("n") == 0) | enough)
     chosen = falls.where(first | later).groupBy("chrom", "win").agg(F.min("thr").alias("thr"))
-    return mappability.join(chosen, ["chrom", "win"], "left").select("chrom", "win", F.when(F.col("n_mappable") > 0, F.coalesce("thr", F.lit(0))).otherwise(0).cast("bigint").alias("thr"))
+    found = F.coalesce("thr", F.when(F.col("_high") >= most, too_high(most)), F.lit(0))
+    return mappability.join(chosen, ["chrom", "win"], "left").join(highest, ["chrom", "win"], "left").select("chrom", "win", F.when(F.col("n_mappable") > 0, found).otherwise(0).cast("bigint").alias("thr"))

@@ -10,11 +10,18 @@ from .pieces import scan
 
 
 def prune_duplicates(reads: DataFrame, cap: int, keys: tuple[str, ...] = ("sample", "replicate", "chrom")) -> DataFrame:
-    """At most ``cap`` reads of each replicate at one position, strands together (0: all)."""
+    """At most ``cap`` reads of each replicate at one position, strands together (0: all).
+
+    Equal reads are counted before they meet, so a position with millions of copies is a few rows with counts; a running sum of
+    the counts is cut at the cap, and what is kept becomes rows again.
+    """
     if not cap:
         return reads
-    order = W.partitionBy(*keys, "pos").orderBy("strand", "cigar")
-    return reads.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+    alike = reads.groupBy(*reads.columns).agg(F.count("*").alias("_c"))
+    order = W.partitionBy(*keys, "pos").orderBy("strand", "cigar", *(c for c in reads.columns if c not in (*keys, "pos", "strand", "cigar")))
+    upto = F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0))
+    kept = F.least(F.col("_c"), F.greatest(F.lit(cap) - (upto - F.col("_c")), F.lit(0)))
+    return alike.withColumn("_k", kept).where("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_k")))).select(*reads.columns)
 
 
 def extend(fragments: DataFrame, ext: int) -> DataFrame:

@@ -6,24 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .staged import staged
+
 #: Positions per piece.
 PIECE = 1_000_000
 #: Aggregates that can be put together from pieces, and how.
 _KINDS = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest), "min": (F.min, F.least)}
 
 
-def scan(rows: DataFrame, keys: tuple[str, ...], measures: dict[str, tuple[str, Column]], pos: str = "pos", ties: tuple[str, ...] = (), itself: bool = True, after: bool = False, piece: int | None = None) -> DataFrame:
+def scan(rows: DataFrame, keys: tuple[str, ...], measures: dict[str, tuple], pos: str = "pos", ties: tuple[str, ...] = (), itself: bool = True, after: bool = False, piece: int | None = None) -> DataFrame:
     """rows with running aggregates in the order of ``pos`` and ``ties`` within the keys.
 
-    measures: name -> (sum, max or min; what of). A row counts itself if ``itself``; with ``after`` the rows behind it count
-    instead of those before. Sums begin at 0, the others at null. Each piece of positions is aggregated once, a small window
-    over the pieces carries what came before, and a window inside each piece adds the rest.
+    measures: name -> (sum, max or min; what of), and perhaps a dict with an ``itself`` and an ``after`` of its own. A row counts
+    itself if ``itself``; with ``after`` the rows behind it count instead of those before. Sums begin at 0, the others at null.
+    The rows are written as a table once (unless they are one), as they are read twice: each piece of positions is aggregated,
+    a small window over the pieces carries what came before or behind, and a window inside each piece adds the rest.
     """
-    cut = rows.withColumn("_piece", F.floor(F.col(pos) / (piece or PIECE))).withColumns({f"_v_{name}": c for name, (_, c) in measures.items()})
-    totals = cut.groupBy(*keys, "_piece").agg(*(_KINDS[kind][0](f"_v_{name}").alias(f"_t_{name}") for name, (kind, _) in measures.items()))
-    turn = (lambda c: F.col(c).desc()) if after else F.col
-    earlier = W.partitionBy(*keys).orderBy(turn("_piece")).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_piece", *(_KINDS[kind][0](f"_t_{name}").over(earlier).alias(f"_o_{name}") for name, (kind, _) in measures.items()))
-    inside = W.partitionBy(*keys, "_piece").orderBy(*map(turn, (pos, *ties))).rowsBetween(W.unboundedPreceding, 0 if itself else -1)
-    found = {name: _KINDS[kind][1](F.col(f"_o_{name}"), _KINDS[kind][0](f"_v_{name}").over(inside)) for name, (kind, _) in measures.items()}
-    return cut.join(carried, [*keys, "_piece"]).withColumns(found).select(*rows.columns, *measures)
+    cut = staged(rows, "scan").withColumn("_piece", F.floor(F.col(pos) / (piece or PIECE))).withColumns({f"_v_{name}": c for name, (_, c, *_) in measures.items()})
+    totals = cut.groupBy(*keys, "_piece").agg(*(_KINDS[m[0]][0](f"_v_{name}").alias(f"_t_{name}") for name, m in measures.items()))
+    carried, found = [], {}
+    for name, (kind, _, *own) in measures.items():
+        how = {"itself": itself, "after": after} | (own[0] if own else {})
+        turn = (lambda c: F.col(c).desc()) if how["after"] else F.col
+        earlier = W.partitionBy(*keys).orderBy(turn("_piece")).rowsBetween(W.unboundedPreceding, -1)
+        inside = W.partitionBy(*keys, "_piece").orderBy(*map(turn, (pos, *ties))).rowsBetween(W.unboundedPreceding, 0 if how["itself"] else -1)
+        make, join = _KINDS[kind]
+        carried.append(make(f"_t_{name}").over(earlier).alias(f"_o_{name}"))
+        found[name] = join(F.col(f"_o_{name}"), make(f"_v_{name}").over(inside))
+    return cut.join(totals.select(*keys, "_piece", *carried), [*keys, "_piece"]).withColumns(found).select(*rows.columns, *measures)

@@ -6,22 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bins import overlap_join
+
 #: Copies that count per position, regions above this length are not widened, and the widening.
 COPIES, LONG_REGION, WIDEN = 3, 1000, 2000
-CELL = 10_000
 
 
 def count_in_regions(regions: DataFrame, starts: DataFrame, ext: int, widen: int = 0) -> DataFrame:
     """regions with n_chip and n_ctrl: reads (3 copies of a position at most) whose fragment of ``ext`` touches the region.
 
-    starts: sample, chrom, start, c (reads there). A range join by cells of positions: each region is sent to the cells that
-    its reads may start in, each read has one cell, so no pair is made twice.
+    starts: sample, chrom, start, c (reads there).
     """
     low = F.when(F.col("start") > widen, F.col("start") - widen).otherwise(F.lit(1)) if widen else F.col("start")
-    wide = regions.select("chrom", "start", "end", low.alias("_a"), (F.col("end") + widen).alias("_b"))
-    cells = wide.select("*", F.explode(F.expr(f"sequence(cast(floor((_a - {ext}) / {CELL}) as bigint), cast(floor(_b / {CELL}) as bigint))")).alias("_cell"))
-    reads = starts.select("chrom", F.col("start").alias("_s"), "sample", F.least("c", F.lit(COPIES)).alias("_c"), F.floor(F.col("start") / CELL).cast("bigint").alias("_cell"))
-    met = cells.join(reads, ["chrom", "_cell"]).where(f"_s <= _b AND _s + {ext} >= _a")
+    wide = regions.select("chrom", "start", "end", (low - ext).cast("bigint").alias("_a"), (F.col("end") + widen).cast("bigint").alias("_b"))
+    reads = starts.select("chrom", F.col("start").cast("bigint").alias("_s"), F.col("start").cast("bigint").alias("_e"), "sample", F.least("c", F.lit(COPIES)).alias("_c"))
+    met = overlap_join(wide, reads, ["chrom"], "_a", "_b", "_s", "_e")
     total = lambda s: F.sum(F.when(F.col("sample") == s, F.col("_c")).otherwise(0))
     counts = met.groupBy("chrom", "start", "end").agg(total("chip").alias("n_chip"), total("control").alias("n_ctrl"))
     return regions.join(counts, ["chrom", "start", "end"], "left").na.fill(0, ["n_chip", "n_ctrl"])
@@ -53,10 +52,9 @@ def score_regions(regions: DataFrame, starts: DataFrame, slopes: DataFrame, ext:
 
 
 def summits(regions: DataFrame, segments: DataFrame) -> DataFrame:
-    """regions with max_height, its first run's start and end (clipped to the region). A range join by cells."""
-    left = regions.select("chrom", "start", "end", F.explode(F.expr(f"sequence(cast(floor(start / {CELL}) as bigint), cast(floor(end / {CELL}) as bigint))")).alias("_cell"))
-    right = segments.select("chrom", F.col("pos").alias("_p"), F.col("next_pos").alias("_q"), "height", F.explode(F.expr(f"sequence(cast(floor(pos / {CELL}) as bigint), cast(floor((next_pos - 1) / {CELL}) as bigint))")).alias("_cell"))
-    met = left.join(right, ["chrom", "_cell"]).where("_p <= end AND _q > start")
+    """regions with max_height, its first run's start and end (clipped to the region)."""
+    right = segments.select("chrom", F.col("pos").alias("_p"), F.col("next_pos").alias("_q"), (F.col("next_pos") - 1).alias("_l"), "height")
+    met = overlap_join(regions.select("chrom", "start", "end"), right, ["chrom"], "start", "end", "_p", "_l")
     best = met.groupBy("chrom", "start", "end").agg(F.max_by(F.struct(F.greatest("_p", "start").alias("a"), F.least(F.col("_q") - 1, F.col("end")).alias("b"), F.col("height").alias("h")), F.struct(F.col("height"), -F.col("_p"))).alias("m"))
     return best.select("chrom", "start", "end", F.col("m.h").alias("max_height"), F.col("m.a").alias("summit_start"), F.col("m.b").alias("summit_end"))
 

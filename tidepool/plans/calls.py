@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cigar import match_blocks
 from ..operators import background, coverage, normalize, peaks, score
+from ..operators.staged import drop, staged
 from ..sources.reads import full_mappability
 
 
@@ -28,6 +28,7 @@ class Settings:
     cap: int = 10_000  # copies per position and replicate
     window: int = 1_000_000
     compat: bool = True
+    max_threshold: int = peaks.MAX_THRESHOLD  # Max_threshold; a window that needs more is an error
 
 
 class Run:
@@ -38,34 +39,48 @@ class Run:
         kept = coverage.prune_duplicates(reads, settings.cap)
         blocks = match_blocks(kept.select("sample", "chrom", "strand", "pos", "cigar"))
         self.fragments = coverage.extend(blocks, settings.ext)
-        self.chip = self.fragments.where("sample = 'chip'")
-        self.mappability = mappability if mappability is not None else full_mappability(self.fragments, settings.window)
-        self.events = coverage.events(self.chip)
+        self._map = mappability
         self._kept: list[DataFrame] = []
-        self.slopes = normalize.scaling(normalize.bin_counts(self.fragments, compat=False))
-        self.reads = coverage.reads_per_window(self.chip, settings.window).select("chrom", "win", "n")
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        """Persisted until ``release``, as several stages read it (a lost executor's part is computed again)."""
-        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
+    @property
+    def chip(self) -> DataFrame:
+        return self.fragments.where("sample = 'chip'")
+
+    @property
+    def mappability(self) -> DataFrame:
+        return self._map if self._map is not None else full_mappability(self.fragments, self.s.window)
+
+    @property
+    def events(self) -> DataFrame:
+        return coverage.events(self.chip)
+
+    @property
+    def slopes(self) -> DataFrame:
+        return normalize.scaling(normalize.bin_counts(self.fragments, compat=False))
+
+    @property
+    def reads(self) -> DataFrame:
+        return coverage.reads_per_window(self.chip, self.s.window).select("chrom", "win", "n")
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A table until ``release``, as several stages read it."""
+        self._kept.append(staged(df, name))
+        return self._kept[-1]
 
     def release(self) -> None:
-        """Gives up what the run has kept; what was computed of it stays valid, if slower."""
-        for df in self._kept:
-            df.unpersist()
+        """Deletes the run's tables: results that were not computed before can't be any more."""
+        drop(*self._kept)
         self._kept.clear()
 
     @cached_property
     def profile(self) -> DataFrame:
-        """Kept: a row per step of the height, read by the peaks and the summits."""
-        return self._keep(coverage.profile(self.events))
+        """A row per step of the height, read by the peaks and the summits."""
+        return self._keep(coverage.profile(self.events), "profile")
 
     @cached_property
     def all_peaks(self) -> DataFrame:
-        """Kept for a simulated background, which reads it twice."""
-        found = peaks.all_threshold_peaks(self.profile, self.s.gap)
-        return found if self.s.model == "Poisson" else self._keep(found)
+        """Read by the counts and the regions."""
+        return self._keep(peaks.all_threshold_peaks(self.profile, self.s.gap, self.s.max_threshold), "peaks")
 
     @property
     def counts(self) -> DataFrame:
@@ -73,21 +88,27 @@ class Run:
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        """Kept: a row per window, which several stages read."""
+        """A row per window, which several stages read."""
         s = self.s
         if s.model == "Poisson":
-            return self._keep(background.poisson_thresholds(self.reads, self.mappability, s.ext, s.fdr))
-        simulated = background.simulate_windows(self.reads, self.mappability, s.ext, s.sims, s.seed, s.gap)
-        return self._keep(background.simulated_thresholds(simulated, self.counts, self.mappability, s.sims, s.fdr))
+            return self._keep(background.poisson_thresholds(self.reads, self.mappability, s.ext, s.fdr, s.max_threshold), "thresholds")
+        simulated = background.simulate_windows(self.reads, self.mappability, s.ext, s.sims, s.seed, s.gap, s.max_threshold)
+        return self._keep(background.simulated_thresholds(simulated, self.counts, self.mappability, s.sims, s.fdr, s.max_threshold), "thresholds")
 
     @cached_property
     def regions(self) -> DataFrame:
-        """Kept like the thresholds: a row per region, read by both counts and the summits."""
-        return self._keep(peaks.stitch(self.all_peaks, self.thresholds, self.s.gap, self.s.window))
+        """A row per region, read by both counts and the summits."""
+        return self._keep(peaks.stitch(self.all_peaks, self.thresholds, self.s.gap, self.s.window), "regions")
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """Regions with their scores. From here on the fragments are a table, as coverage, windows, scaling and counts read them."""
+        self.fragments = self._keep(self.fragments, "fragments")
+        starts = self._keep(self.fragments.groupBy("sample", "chrom", "start").agg(F.count("*").alias("c")), "starts")
+        return self._keep(score.score_regions(self.regions, starts, self.slopes, self.s.ext), "scores")
 
     def scored(self) -> DataFrame:
-        starts = self.fragments.groupBy("sample", "chrom", "start").agg(F.count("*").alias("c"))
-        return score.score_regions(self.regions, starts, self.slopes, self.s.ext)
+        return self.scores
 
     def candidates(self) -> DataFrame:
         """All regions with q and summit."""

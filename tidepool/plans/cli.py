@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ..operators import coverage
 from ..operators.simulate import simulate_fragments
+from ..operators.staged import staged
 from ..sources import reads, sinks
 from .calls import Run, Settings
 
 #: Keys of the configuration and the fields they set.
-KEYS = {"Enrichment_mapped_fragment_length": ("ext", int), "target_FDR": ("fdr", float), "max_Qvalue": ("max_q", float), "N_Simulations": ("sims", int), "Minimum_interpeak_distance": ("gap", int), "Simulation_seed": ("seed", int), "Background_model": ("model", str)}
+KEYS = {"Enrichment_mapped_fragment_length": ("ext", int), "target_FDR": ("fdr", float), "max_Qvalue": ("max_q", float), "N_Simulations": ("sims", int), "Minimum_interpeak_distance": ("gap", int), "Simulation_seed": ("seed", int), "Background_model": ("model", str), "Max_threshold": ("max_threshold", int)}
 #: Key of the folder for the peaks' profiles.
 PROFILES = "Peak_profile_output_dir"
-REQUIRED = [*[k for k in KEYS if k != "Simulation_seed"], "Mappability_map_file", "ChIP_Seq_reads_data_dirs", "Input_reads_data_dirs", "Experiment_id"]
+REQUIRED = [*[k for k in KEYS if k not in ("Simulation_seed", "Max_threshold")], "Mappability_map_file", "ChIP_Seq_reads_data_dirs", "Input_reads_data_dirs", "Experiment_id"]
 
 
 def read_config(lines: list[str]) -> dict[str, list[str]]:
@@ -37,6 +38,8 @@ def settings_of(config: dict[str, list[str]]) -> Settings:
         raise ValueError(f"missing keys: {', '.join(missing)}")
     if config["Background_model"][0] not in ("Poisson", "Simulated"):
         raise ValueError("Background_model is Poisson or Simulated")
+    if not 0 < float(config["target_FDR"][0]) < 1:
+        raise ValueError("target_FDR lies between 0 and 1")
     return Settings(**{f: kind(config[k][0]) for k, (f, kind) in KEYS.items() if k in config})
 
 
@@ -47,14 +50,13 @@ def call(spark: SparkSession, config: dict[str, list[str]], out: str) -> None:
     given = spark.read.schema("chrom string, win bigint, n_mappable bigint").csv(config["Mappability_map_file"][0], sep=" ") if config["Mappability_map_file"][0] != "none" else None
     settings, name = settings_of(config), config["Experiment_id"][0]
     run = Run(both[0].unionByName(both[1]), settings, reads.fill_mappability(given) if given is not None else None)
-    found = run.called().orderBy("q", "log_p", "chrom", "start").persist()
+    found = staged(run.called(), "called").orderBy("q", "log_p", "chrom", "start")
     sinks.write_lines(sinks.result_lines(found), f"{out}/{name}", title=True)
     sinks.write_lines(sinks.narrowpeak_lines(found), config.get("narrowPeak_output_file_path", [f"{out}/{name}_narrowPeak"])[0])
     if PROFILES in config:
         sinks.write_peak_profiles(sinks.peak_profiles(found, coverage.segments(run.profile)), config[PROFILES][0])
     about = {"experiment": name, **dataclasses.asdict(settings), "peaks": found.count(), "seconds": round(time.time() - began, 3)}
     spark.createDataFrame([about]).write.mode("append").json(f"{out}/{name}_runs")
-    found.unpersist()
     run.release()
 
 

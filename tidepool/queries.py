@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cigar, logmath, strings
-from .operators import background, coverage, normalize, peaks, regions, score, signal, simulate
+from .operators import background, coverage, normalize, peaks, regions, score, segments, signal, simulate
+from .operators.staged import new_path
 from .plans.calls import Run, Settings
+from .sources import files, sinks
 from .sources import reads as sources
-from .sources import sinks
 
 SET = Settings()
 QUERIES, ORACLES = {}, {}
@@ -339,6 +340,27 @@ def region_intersect_stranded(spark, sf):
     return regions.intersect(_a(spark, sf), _b(spark, sf), strands=True)
 
 
+#: Every 40th of the first regions reaches over its chromosome.
+_LONG = 'SELECT chrom, CASE WHEN start % 4000 = 0 THEN 1 ELSE start END AS start, CASE WHEN start % 4000 = 0 THEN 1000000000 ELSE "end" END AS "end" FROM a'
+
+
+@query(REG + f', l AS ({_LONG}) SELECT l.chrom, l.start, l."end", b.start AS start2, b."end" AS end2, least(l."end", b."end") - greatest(l.start, b.start) + 1 AS l_overlap FROM l JOIN b ON l.chrom = b.chrom AND l.start <= b."end" AND b.start <= l."end"')
+def region_intersect_long(spark, sf):
+    long = F.col("start") % 4000 == 0
+    left = _a(spark, sf).withColumns({"start": F.when(long, F.lit(1)).otherwise(F.col("start")), "end": F.when(long, F.lit(1_000_000_000)).otherwise(F.col("end"))})
+    return regions.intersect(left.withColumns({c: F.col(c).cast("bigint") for c in ("start", "end")}), _b(spark, sf))
+
+
+@query(REG + 'SELECT chrom, start, "end", start2, end2, least("end", end2) - greatest(start, start2) + 1 AS l_overlap FROM (SELECT a.chrom, a.start, a."end", b.start AS start2, b."end" AS end2, row_number() OVER (PARTITION BY a.chrom, a.start, a."end" ORDER BY b.start, b."end") AS k FROM a JOIN b ON a.chrom = b.chrom AND a.start <= b."end" AND b.start <= a."end") WHERE k = 1')
+def region_intersect_first(spark, sf):
+    return regions.intersect(_a(spark, sf), _b(spark, sf), first_only=True)
+
+
+@query(REG + ' SELECT b.start // 1000 - a.start // 1000 AS distance, count(*) AS n FROM a JOIN b USING (chrom) WHERE abs(b.start // 1000 - a.start // 1000) <= 50 GROUP BY 1')
+def region_distance_histogram(spark, sf):
+    return regions.distance_histogram(_a(spark, sf), _b(spark, sf), 1000, 50)
+
+
 @query(REG + MERGED.format(t="a", gap=30))
 def region_merge(spark, sf):
     return regions.merge(_a(spark, sf), 30)
@@ -425,6 +447,43 @@ def track_slice(spark, sf):
     return signal.slice_(_track(spark, sf), 100, 300)
 
 
+#: Positions to segments of equal values.
+_PAINTED = """, f AS (SELECT *, sum(o) OVER (PARTITION BY track ORDER BY pos) AS k FROM (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(value) OVER w = value THEN 0 ELSE 1 END AS o FROM {t} WINDOW w AS (PARTITION BY track ORDER BY pos))) SELECT track, min(pos) AS start, max(pos) AS "end", value FROM f GROUP BY track, k, value"""
+#: The track in steps of 50, so that neighbours are often equal.
+_STEPS = DUCK_TRACK + ", v AS (SELECT track, pos, floor(value / 50) AS value FROM s)"
+
+
+def _segments(spark, sf):
+    return segments.from_dense(_track(spark, sf).withColumn("value", F.floor(F.col("value") / 50).cast("double")))
+
+
+@query(_STEPS + _PAINTED.format(t="v"))
+def segments_of_track(spark, sf):
+    return _segments(spark, sf)
+
+
+@query(_STEPS + ", d AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY pos) AS pos, value FROM v WHERE NOT (pos BETWEEN 10 AND 30 OR pos BETWEEN 100 AND 250))" + _PAINTED.format(t="d"))
+def segments_exclude(spark, sf):
+    areas = _track(spark, sf).select("track").distinct().select("track", F.inline(F.expr("array(struct(10L as start, 30L as end), struct(100L as start, 250L as end))")))
+    return segments.exclude(_segments(spark, sf), areas)
+
+
+@query(_STEPS + ", d AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY pos) AS pos, value FROM v WHERE track IN ('click', 'view', 'purchase') AND pos IN (SELECT pos FROM v WHERE track = 'click' AND value > 1 OR track = 'view' AND value > 2))" + _PAINTED.format(t="d"))
+def segments_prune_joint(spark, sf):
+    return segments.prune_joint(_segments(spark, sf), {"click": 1, "view": 2, "purchase": -1000})
+
+
+@query(_STEPS + f", d AS (SELECT track, (pos - 1 + 777) % {TRACK_LENGTH} + 1 AS pos, value FROM v)" + _PAINTED.format(t="d"))
+def segments_shift(spark, sf):
+    return segments.shift(_segments(spark, sf), 777, TRACK_LENGTH)
+
+
+@query(_STEPS + """, i AS (SELECT track, pos, pos - row_number() OVER (PARTITION BY track ORDER BY pos) AS k FROM v WHERE value >= 1), j AS (SELECT track, min(pos) AS start, max(pos) AS "end" FROM i GROUP BY track, k)
+ SELECT j.* FROM j WHERE "end" - start >= 1 AND "end" < (SELECT max(pos) FROM v WHERE v.track = j.track)""")
+def segments_peaks(spark, sf):
+    return segments.runs(_segments(spark, sf), F.col("value") >= 1, least=2)
+
+
 @query(DUCK_TRACK + "SELECT track, min(value) AS low, max(value) AS high FROM s GROUP BY track")
 def track_extrema(spark, sf):
     return signal.extrema(_track(spark, sf))
@@ -609,6 +668,37 @@ def parse_fastq(spark, sf):
     return sources.parse_fastq(lines)
 
 
+def _written(spark: SparkSession, lines: DataFrame, name: str, files: int = 4) -> str:
+    """The lines (value) as text files, dealt by ``key`` and each in the order of ``key``; read again by the file sources."""
+    path = new_path(spark, name)
+    lines.repartitionByRange(files, "key").sortWithinPartitions("key").select("value").write.text(path)
+    return path
+
+
+@query("SELECT 'r' || p_partkey AS id, repeat('ACGT', p_size) AS nucs, '@' || repeat('IIII', p_size - 1) || 'III' AS quality FROM part")
+def fastq_files(spark, sf):
+    """Several files, whose quality lines begin with @."""
+    text = spark.sql("SELECT p_partkey AS key, concat_ws('\\n', concat('@r', p_partkey), repeat('ACGT', p_size), '+', concat('@', repeat('IIII', p_size - 1), 'III')) AS value FROM {t}", t=_part(spark, sf))
+    return files.read_fastq(spark, _written(spark, text, "fastq")).select("id", "nucs", "quality")
+
+
+_GRAPH = "SELECT p_partkey AS key, '1' AS track, p_partkey * 3 AS s, p_partkey * 3 + 1 + p_size % 9 + CASE WHEN p_partkey % 50 = 0 THEN 400 ELSE 0 END AS e, CAST(p_size AS DOUBLE) AS value FROM part"
+
+
+@query(f"WITH l AS ({_GRAPH}), x AS (SELECT key, track, value, unnest(range(s + 1, e + 1)) AS pos FROM l), d AS (SELECT track, pos, arg_max(value, key) AS value FROM x GROUP BY track, pos)" + _PAINTED.format(t="d"))
+def bedgraph_files(spark, sf):
+    """Several files of overlapping lines; the order is that of the files' names and their lines."""
+    lines = spark.sql(f"SELECT key, concat_ws('\\t', concat('chr', track), s, e, value) AS value FROM ({_GRAPH.replace('FROM part', 'FROM {t}')})", t=_part(spark, sf))
+    return segments.paint(files.read_bedgraph(spark, _written(spark, lines, "bedgraph")), ["file", "line"])
+
+
+@query("SELECT CAST(1 + p_partkey % 2 AS VARCHAR) AS chrom, p_partkey * 3 + 1 AS start, p_partkey * 3 + 5 + p_size AS \"end\", '.' AS name, 0 AS score, '+' AS strand, row_number() OVER (ORDER BY p_partkey) - 1 AS line FROM part")
+def bed_lines(spark, sf):
+    """One file, so that the line numbers are those of the table's order."""
+    lines = spark.sql("SELECT p_partkey AS key, concat_ws('\\t', concat('chr', 1 + p_partkey % 2), p_partkey * 3, p_partkey * 3 + 5 + p_size) AS value FROM {t}", t=_part(spark, sf))
+    return files.read_bed(spark, _written(spark, lines, "bed", 1)).select("chrom", "start", "end", "name", "score", "strand", "line")
+
+
 _BAD = "CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE CAST(p_partkey * 3 AS STRING) END"
 _PART_REGION = "CAST(1 + p_partkey % 2 AS VARCHAR) AS chrom, p_partkey * 3 + 1 AS start, p_partkey * 3 + 5 + p_size AS \"end\""
 
@@ -665,7 +755,15 @@ def bed_rows(spark, sf):
 
 @query(REG + """ SELECT chrom, 'made' AS source, 'site' AS feature, start, "end", '.' AS score, '.' AS strand, '.' AS frame FROM a""")
 def gff_rows(spark, sf):
-    return sinks.gff_rows(_a(spark, sf), "made", "site")
+    return sinks.gff_rows(_a(spark, sf).drop("strand"), "made", "site")
+
+
+@query(REG + """, r AS (SELECT *, 'g' || start AS name FROM a WHERE "end" - start >= 10) SELECT chrom, 'made' AS source, 'gene' AS feature, start, "end", '.' AS score, strand, '.' AS frame, 'ID=' || name AS attributes FROM r
+ UNION ALL SELECT chrom, 'made', 'exon', CASE i WHEN 1 THEN start ELSE "end" - 4 END, CASE i WHEN 1 THEN start + 4 ELSE "end" END, '.', strand, '.', 'ID=' || name || '.' || i || ';Parent=' || name FROM r, (SELECT unnest([1, 2]) AS i)""")
+def gff_exons(spark, sf):
+    long = _a(spark, sf).where("end - start >= 10").withColumn("name", F.concat(F.lit("g"), "start"))
+    ends = F.array(F.struct("start", (F.col("start") + 4).alias("end")), F.struct((F.col("end") - 4).alias("start"), "end"))
+    return sinks.gff_rows(long.withColumn("intervals", ends), "made", "gene", child="exon")
 
 
 @query("""SELECT p_partkey AS start_1, p_partkey - 1 AS start_bed, p_partkey + p_size AS end_bed, p_partkey - 1 AS start_bowtie, p_partkey + p_size - 1 AS end_bowtie, p_partkey + 1 AS start_back FROM part""")

@@ -103,9 +103,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def preprocess(spark: SparkSession, fmt: str, path: str, out_dir: str) -> None:
-    """Parse a file of reads into Parquet by chromosome; a second run appends (pools)."""
-    PARSERS[fmt](read_lines(spark, path)).write.mode("append").partitionBy("chrom").parquet(out_dir)
+#: Formats whose lines name the read, and the field that does.
+READ_IDS = {"SAM": ("\t", 0), "ELAND": (r"\s+", 0), "bowtie": ("\t", 0), "BED4": (r"\s+", 3), "BED6": (r"\s+", 3), "tagAlign": (r"\s+", 3)}
+
+
+def with_read_ids(lines: DataFrame, fmt: str) -> DataFrame:
+    """lines with a column read_id, which every parser keeps."""
+    if fmt not in READ_IDS:
+        raise ValueError(f"{fmt} has no read ids")
+    sep, field = READ_IDS[fmt]
+    return lines.withColumn("read_id", F.get(F.split("value", sep), F.lit(field)))
+
+
+def preprocess(spark: SparkSession, fmt: str, path: str, out_dir: str, read_ids: bool = False) -> None:
+    """Parse a file of reads into Parquet by chromosome; a second run appends (pools).
+
+    Reads are dealt by ranges of chromosome and position and lie in order, so a file's statistics tell a query for a range of
+    positions which files and row groups it can leave out. ``read_ids`` keeps the reads' names.
+    """
+    lines = read_lines(spark, path)
+    parsed = PARSERS[fmt](with_read_ids(lines, fmt) if read_ids else lines)
+    parsed.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.mode("append").partitionBy("chrom").parquet(out_dir)
 
 
 def read_pool(spark: SparkSession, dirs: list[str]) -> DataFrame:
@@ -178,16 +196,25 @@ def parse_sgr(lines: DataFrame) -> DataFrame:
     return _fields(lines, r"\s+", 3, lambda f: {"chrom": normalize_chrom(f[0]), "pos": _long(f[1]), "value": _double(f[2])}).where("pos IS NOT NULL AND value IS NOT NULL")
 
 
+def bedgraph_lines(lines: DataFrame) -> DataFrame:
+    """track (chromosome), start, end (from 1, inclusive) and value of lines that have four fields; headers drop out."""
+    rows = _fields(lines, r"\s+", 4, lambda f: {"track": normalize_chrom(f[0]), "start": _long(f[1]) + 1, "end": _long(f[2]), "value": _double(f[3])})
+    return rows.where("end >= start AND value IS NOT NULL")
+
+
 def parse_bedgraph(lines: DataFrame) -> DataFrame:
-    """A dense track (pos, value): later lines win. Needs a column ``line`` with the line's number."""
+    """A dense track (pos, value): later lines win. Needs a column ``line`` with the line's number. ``files.read_bedgraph`` and
+    ``segments.paint`` do the same from files and without a row per position."""
     rows = _fields(lines, r"\s+", 4, lambda f: {"s": _long(f[1]), "e": _long(f[2]), "value": _double(f[3])}).where("e > s")
     return rows.select("line", "value", F.explode(F.sequence(F.col("s") + 1, F.col("e"))).alias("pos")).groupBy("pos").agg(F.max_by("value", "line").alias("value"))
 
 
 def parse_fastq(lines: DataFrame) -> DataFrame:
-    """Records of four lines. Needs a column ``line`` (from 0), contiguous per file."""
-    record = lines.groupBy(F.expr("line div 4").alias("record")).agg(*(F.max(F.when(F.col("line") % 4 == i, F.col("value"))).alias(n) for i, n in enumerate(("id", "nucs", "plus", "quality"))))
-    return record.where("startswith(id, '@')").select("record", F.expr("substring(id, 2)").alias("id"), "nucs", "quality")
+    """Records of four lines. Needs a column ``line`` (from 0), counted per file; all other columns, such as the file, tell the
+    files apart and stay. Records that are not whole, or do not begin with @, drop out."""
+    apart = [c for c in lines.columns if c not in ("line", "value")]
+    record = lines.groupBy(*apart, F.expr("line div 4").alias("record")).agg(*(F.max(F.when(F.col("line") % 4 == i, F.col("value"))).alias(n) for i, n in enumerate(("id", "nucs", "plus", "quality"))))
+    return record.where("startswith(id, '@') AND quality IS NOT NULL").select(*apart, "record", F.expr("substring(id, 2)").alias("id"), "nucs", "quality")
 
 
 def parse_sam_sequences(lines: DataFrame) -> DataFrame:

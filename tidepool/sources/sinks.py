@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELL = 10_000
+from ..operators.bins import overlap_join
 
 
 def narrowpeak_rows(peaks: DataFrame) -> DataFrame:
@@ -52,13 +52,10 @@ def write_lines(lines: DataFrame, path: str, title: bool = False) -> None:
 
 
 def peak_profiles(regions: DataFrame, segments: DataFrame) -> DataFrame:
-    """The steps of the height inside each region (pos: the region's start at least). A range join by cells."""
-    cells = lambda a, b: F.explode(F.expr(f"sequence(cast(floor({a} / {CELL}) as bigint), cast(floor({b} / {CELL}) as bigint))"))
-    left = regions.select("chrom", "start", "end", cells("start", "end").alias("_cell"))
-    right = segments.select("chrom", F.col("pos").alias("_p"), F.col("next_pos").alias("_q"), "height", cells("pos", "(next_pos - 1)").alias("_cell"))
-    first = F.greatest("_p", "start")
-    met = left.join(right, ["chrom", "_cell"]).where(F.expr("_p <= end AND _q > start") & (F.floor(first / CELL) == F.col("_cell")))
-    return met.select("chrom", "start", "end", first.alias("pos"), "height")
+    """The steps of the height inside each region (pos: the region's start at least)."""
+    right = segments.select("chrom", F.col("pos").alias("_p"), (F.col("next_pos") - 1).alias("_l"), "height")
+    met = overlap_join(regions.select("chrom", "start", "end"), right, ["chrom"], "start", "end", "_p", "_l")
+    return met.select("chrom", "start", "end", F.greatest("_p", "start").alias("pos"), "height")
 
 
 def write_peak_profiles(profiles: DataFrame, path: str) -> None:
@@ -83,8 +80,17 @@ def tagalign_rows(fragments: DataFrame) -> DataFrame:
     return fragments.select("chrom", "start", (F.col("start") + F.col("len") - 1).alias("end"), F.lit(".").alias("name"), F.lit(1000).alias("score"), F.when(F.col("strand") == "F", "+").otherwise("-").alias("strand"))
 
 
-def gff_rows(regions: DataFrame, source: str, feature: str) -> DataFrame:
-    return regions.select("chrom", F.lit(source).alias("source"), F.lit(feature).alias("feature"), "start", "end", F.lit(".").alias("score"), F.lit(".").alias("strand"), F.lit(".").alias("frame"))
+def gff_rows(regions: DataFrame, source: str, feature: str, child: str | None = None) -> DataFrame:
+    """GFF rows, positions from 1. With ``child`` a row for each of a region's ``intervals`` follows, and attributes tie parent and
+    children by the region's name. A table without strands has ``.``."""
+    strand = F.col("strand") if "strand" in regions.columns else F.lit(".")
+    row = lambda kind, a, b: [F.col("chrom"), F.lit(source).alias("source"), F.lit(kind).alias("feature"), F.col(a).alias("start"), F.col(b).alias("end"), F.lit(".").alias("score"), strand.alias("strand"), F.lit(".").alias("frame")]
+    if child is None:
+        return regions.select(*row(feature, "start", "end"))
+    parents = regions.select(*row(feature, "start", "end"), F.concat(F.lit("ID="), "name").alias("attributes"))
+    each = regions.select("*", F.posexplode("intervals").alias("_i", "_c"))
+    ids = F.concat(F.lit("ID="), "name", F.lit("."), (F.col("_i") + 1).cast("string"), F.lit(";Parent="), "name")
+    return parents.union(each.select(*row(child, "_c.start", "_c.end"), ids.alias("attributes")))
 
 
 def fastq_lines(records: DataFrame) -> DataFrame:
