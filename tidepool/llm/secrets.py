@@ -27,9 +27,10 @@ from re import _parser as parser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType, StructType
 
-from .common import documents, in_slices, small_batches
+from .common import documents, in_slices, small_batches, whole_row
 
 #: A query is True (no demand), a trigram, ("and", ...) or ("or", ...).
 Query = object
@@ -262,18 +263,20 @@ def redact(text: str, spans: list[tuple[int, int, int, str]], mark: str = "<{}>"
 
 
 def redact_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with every secret replaced by its kind, and n_chars of the new text; no row is dropped and the columns stay."""
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts, found in scan_batches(batches, "text", RULES):
-            whole = b.column("text").to_pylist()
-            new = [redact(t, f) if f else w for t, f, w in zip(texts, found, whole, strict=True)]
-            for name, values in (("text", new), ("n_chars", [None if n is None else len(n) for n in new])):
-                i = b.schema.get_field_index(name)
-                if i >= 0:
-                    old = b.column(i).to_pylist()
-                    b = b.set_column(i, b.schema.field(i), pa.array([v if f else o for v, f, o in zip(values, found, old, strict=True)], b.schema.field(i).type))
-            yield b
-
-    return small_batches(docs).mapInArrow(run, schema)
+    """docs with every secret replaced by its kind; no row is dropped. Of a changed text n_chars, if it is a number, is counted
+    anew. Only the text goes to Python, so columns of any name and type stay; null and empty texts stay as they are."""
+
+    @F.arrow_udf("string")
+    def redacted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            out = []
+            for _, known, found in scan_batches(iter([pa.record_batch([t], names=["text"])]), "text", RULES):
+                out += [redact(x, f) if f else None for x, f in zip(known, found, strict=True)]
+            yield pa.array(out, pa.string())  # null: nothing was found
+
+    made = small_batches(docs).select(whole_row(docs).alias("row"), redacted("text").alias("new"))
+    fields = {c: F.col("row")[c] for c in docs.columns}
+    fields["text"] = F.coalesce("new", fields["text"])
+    if "n_chars" in fields and isinstance(kind := docs.schema["n_chars"].dataType, NumericType):
+        fields["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new").cast(kind)).otherwise(fields["n_chars"])
+    return made.select(*(c.alias(name) for name, c in fields.items()))
