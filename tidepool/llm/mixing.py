@@ -78,7 +78,7 @@ def split(copies: DataFrame, shards: int) -> DataFrame:
 def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", shards: int = SHARDS) -> DataFrame:
     """rows (narrow: id, source, size) with source_size, target, copies int, shards (array<int>, one entry per copy) and place (hash that orders a shard)."""
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))
-    keyed = rows.select(whole_row(rows).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(size_col).alias("_size"), key.alias("_s"), _md5("doc", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_h"))
+    keyed = rows.select(whole_row(rows).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(size_col).alias("_size"), key.alias("_s"), _md5("doc", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(size_col).cast("string")).alias("_h"))
     sizes = targets(keyed.groupBy("_s").agg(F.first("_source").alias("source"), F.sum("_size").alias("source_size")))
     per_block = F.greatest(F.ceil(F.sum("source_size").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) / F.lit(float(BLOCKS))), F.lit(1))
     sizes = sizes.withColumn("_blocks", F.greatest(F.ceil(F.col("source_size") / per_block.cast("double")), F.lit(1)).cast("long"))
@@ -99,7 +99,7 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     dealt = split(copies, shards).groupBy("_s", "_b").agg(F.array_sort(F.collect_list(F.struct("_epoch", "shard"))).alias("_deal"))  # MAX_EPOCHS + 1 entries at most
     table = drawn.select("_s", "_b", "_part", "_left").join(dealt, ["_s", "_b"], "left")
 
-    # a block is about 1/BLOCKS of all words, so no window holds more than that
+    # a block is about 1/BLOCKS of all words, whatever the ids (blocks go by id and size), so no window holds more than that
     inside = W.partitionBy("_s", "_b").orderBy(_md5("pick", F.col("_h")), "_size", "_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = located.join(table, ["_s", "_b"]).withColumn("_run", F.sum("_size").over(inside))
     out = out.withColumn("_more", F.when(F.col("_part") == 1, (F.col("_run") - F.col("_size") / 2.0 <= F.col("_left")).cast("int")).otherwise((F.col("_part") == 2).cast("int")))
@@ -122,7 +122,7 @@ for _d in range((SHARDS - 1).bit_length()):
 t{_d + 1} AS (SELECT s, k, node * 2 + CASE WHEN l THEN 0 ELSE 1 END AS node, CASE WHEN l THEN lo ELSE (lo + hi) // 2 END AS lo, CASE WHEN l THEN (lo + hi) // 2 ELSE hi END AS hi FROM t{_d}a)""")
 _BUCKET = "CAST(floor(('0x' || substr({h}, 1, 8))::BIGINT::DOUBLE * {n} / 4294967296.0) AS BIGINT)"
 ORACLE = f"""
-WITH r AS (SELECT doc_id, source, {_WORDS} AS size, coalesce('=' || source, '-') AS s, md5('{SEED}|doc|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH r AS (SELECT doc_id, source, {_WORDS} AS size, coalesce('=' || source, '-') AS s, md5('{SEED}|doc|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST({_WORDS} AS VARCHAR)) AS h FROM documents),
 z0 AS (SELECT s, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY s),
 z1 AS (SELECT *, {MAX_EPOCHS} * source_size AS lim, [{', '.join(map(str, WEIGHTS))}][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(WEIGHTS)}] AS w FROM z0),
 z2 AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0) AS DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level, sum(source_size) OVER () AS words FROM z1 WINDOW o AS (ORDER BY lim / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -148,11 +148,14 @@ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs as the mixture takes them: a row appears as often as it is taken, and the columns stay. Rows equal in id, source
-    and text (128 bits of hash) are taken together. Each task writes its rows shard by shard in their places."""
+    """docs as the mixture takes them: a row appears as often as it is taken, and columns of any name and type stay.
+
+    Rows equal in id, source and text (128 bits of hash) are taken together. Null and empty texts and others without words have
+    size 0 and are not taken. Each task writes its rows shard by shard; within a shard each copy has a place of its own.
+    """
     tags = [F.xxhash64("doc_id", "source", "text").alias("tag"), F.xxhash64(F.lit(1), "text", "source", "doc_id").alias("other")]
     sizes = docs.select(*tags, "source", word_count(F.col("text")).alias("size"))
     units = sizes.groupBy("tag", "other", "source").agg(F.sum("size").alias("size")).withColumn("id", F.concat_ws(":", "tag", "other"))
     taken = mix(Staging(spark).put(units, "sizes"), id_col="id").where("copies > 0").select("tag", "other", "shards", "place")
-    placed = docs.select(whole_row(docs).alias("row"), *tags).join(taken, ["tag", "other"]).select("row", "place", F.explode("shards").alias("shard"))
-    return placed.sortWithinPartitions("shard", "place").select(*row_fields(docs, "row"))
+    placed = docs.select(whole_row(docs).alias("row"), *tags).join(taken, ["tag", "other"]).select("row", "place", F.posexplode("shards").alias("copy", "shard"))
+    return placed.sortWithinPartitions("shard", F.xxhash64("place", "shard", "copy"), "place", "copy").select(*row_fields(docs, "row"))
