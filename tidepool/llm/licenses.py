@@ -6,8 +6,8 @@ rule whose identifiers stand next to each other in the sequence names its licens
 
 Two readings are taken, line by line and with single line breaks joined (wrapped licenses), and merged by position: what
 either of them knows is kept, and the lines that make up a joined sentence do not count beside it. Joined sentences are read
-with and without a cut at colons, and "v." before a number ends none. ``ORACLE`` still takes the reading with more known
-sentences and always cuts there, so it differs on texts in which only the other readings know a sentence.
+with and without a cut at colons, and "v." before a number ends none. Marks of comments at the beginning of lines go first, so
+that a commented header has its blank lines. ``ORACLE`` is the same definition.
 
 Edge cases: null or empty texts have no sentences (empty strings, counts 0). A very long text is cut and matched whole within
 its row. Repeated rows are scanned row by row and stay. Null ids stay. An empty table gives no rows. Only the id and text columns
@@ -30,6 +30,8 @@ SENTENCES: dict[str, str] = {
     "you may not use this file except in compliance with the license": "APACHE2-COMPLY",
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "APACHE2-REF",
     "you may obtain a copy of the license at": "APACHE2-COPY",
+    "http www apache org licenses license 2 0": "APACHE2-URL",
+    "https www apache org licenses license 2 0": "APACHE2-URL",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "APACHE2-COPY",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APACHE2-ASIS",
     "see the license for the specific language governing permissions and limitations under the license": "APACHE2-SEE",
@@ -121,6 +123,7 @@ SENTENCES |= {"spdx license identifier " + s.lower().replace("-", " ").replace("
 
 #: Ordered rules: license, then the identifiers that must follow one another. Longer sequences stand before their parts.
 RULES: list[tuple[str, list[str]]] = [
+    ("Apache-2.0", ["APACHE2-REF", "APACHE2-COMPLY", "APACHE2-COPY", "APACHE2-URL", "APACHE2-ASIS", "APACHE2-SEE"]),
     ("Apache-2.0", ["APACHE2-REF", "APACHE2-COMPLY", "APACHE2-COPY", "APACHE2-ASIS", "APACHE2-SEE"]),
     ("Apache-2.0", ["APACHE2-REF", "APACHE2-COPY", "APACHE2-ASIS", "APACHE2-SEE"]),
     ("Apache-2.0", ["APACHE2-REF", "APACHE2-COPY"]),
@@ -190,12 +193,15 @@ RULES: list[tuple[str, list[str]]] = [
 STEMS = ["licen", "permission", "warrant", "redistribut", "copyright", "unencumbered", "mozilla", "cc0", "altered", "endorse"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WHITE = r"[ \t\n\x0B\f\r]"
 _LINES = r"[.!?]+[ \t\r\f\x0B]+|\n"
-_JOINED = r"[.!?:]+\s+|\n\s*\n"
+_JOINED = rf"[.!?:]+{_WHITE}+|\n{_WHITE}*\n"
+#: Marks of comments at the beginning of lines; with them a line between two paragraphs is a blank one.
+_COMMENT = r"(?m)^[ \t]*(?:/?\*+/?|//+|#+|;+|--+|%+)"
 #: What may number an item of a list.
 _ITEM = "^[0-9a-z]{1,2} "
 #: Both readings cut here, so that they can be merged part by part.
-_PARTS = r"(?<!\b[vV])[.!?]+\s+|\n\s*\n"
+_PARTS = rf"(?<!(?:^|[^A-Za-z0-9_])[vV])[.!?]+{_WHITE}+|\n{_WHITE}*\n"
 
 
 def _norm(s: Column) -> Column:
@@ -240,7 +246,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         hit = hit | lower.contains(stem)
     empty = F.array().cast("array<string>")
     per_row = docs.select(F.col(id_col), F.when(hit, text).alias("t"))
-    merged = per_row.select(F.col(id_col), F.when(F.col("t").isNull(), empty).otherwise(_known(F.col("t"))).alias("ids"))
+    merged = per_row.select(F.col(id_col), F.when(F.col("t").isNull(), empty).otherwise(_known(F.regexp_replace("t", _COMMENT, ""))).alias("ids"))
     # each identifier stands between commas of its own, so that consuming a sequence leaves its neighbours whole
     rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("," + ",,".join(ids) + ",").alias("seq")) for name, ids in RULES))
     start = F.struct(F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")).alias("rest"), empty.alias("found"))
@@ -258,21 +264,33 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The same definition for DuckDB, part by part. Its patterns know no look-behind, so what follows a "v" is set aside before the cut."""
     norm = f"trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
     table = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
-
-    holders = ", ".join(f"CASE WHEN starts_with(s, '{a}') AND ends_with(s, '{z}') THEN '{i}' END" for a, z, i in NAMED)
-
-    def ids(cut: str) -> str:
-        cut = cut.replace("\n", "\\n")
-        return f"list_filter(list_transform(list_transform(string_split_regex(coalesce(text, ''), '{cut}'), lambda s: {norm}), lambda s: CASE WHEN starts_with(s, 'copyright ') THEN 'COPYRIGHT' ELSE coalesce(({table})[s], ({table})[regexp_replace(s, '{_ITEM}', '')], {holders}, CASE WHEN contains(s, 'licen') THEN 'UNKNOWN' END) END), lambda i: i IS NOT NULL)"
-
+    holders = ", ".join(f"CASE WHEN starts_with(n, '{a}') AND ends_with(n, '{z}') THEN '{i}' END" for a, z, i in NAMED)
+    named = f"CASE WHEN starts_with(n, 'copyright ') THEN 'COPYRIGHT' ELSE coalesce(({table})[n], ({table})[regexp_replace(n, '{_ITEM}', '')], {holders}, CASE WHEN contains(n, 'licen') THEN 'UNKNOWN' END) END"
     stems = " OR ".join(f"contains(translate(text, '{_UPPER}', '{_LOWER}'), '{s}')" for s in STEMS)
     known = "len(list_filter({c}, lambda i: i <> 'UNKNOWN'))"
+    quoted = lambda pattern: pattern.replace("\n", "\\n")
+    aside, back = "regexp_replace(text, '{}', '', 'g')".format(_COMMENT), "p"
+    for mark, held in zip(".!?", "\uf8f1\uf8f2\uf8f3", strict=True):
+        aside = f"regexp_replace({aside}, '\\b([vV])[{mark}]', '\\1{held}', 'g')"
+        back = f"replace({back}, '{held}', '{mark}')"
+    cut = quoted(_PARTS[_PARTS.index("[vV])") + 5 :])
+    reading = lambda name, pieces: f"SELECT doc_id, part, '{name}' AS how, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, part, {pieces} AS l FROM p)"
     ctes = [
-        f"d AS (SELECT doc_id, CASE WHEN {stems} THEN text ELSE '' END AS text FROM documents)",
-        f"r AS (SELECT doc_id, {ids(_LINES)} AS a, {ids(_JOINED)} AS b FROM d)",
-        f"c0 AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS rest, []::VARCHAR[] AS found FROM (SELECT doc_id, CASE WHEN {known.format(c='b')} > {known.format(c='a')} THEN b ELSE a END AS ids FROM r))",
+        f"d AS (SELECT row_number() OVER () AS doc_id, doc_id AS id, CASE WHEN {stems} THEN text ELSE '' END AS text FROM documents)",
+        f"p0 AS (SELECT doc_id, string_split_regex({aside}, '{cut}') AS ps FROM d)",
+        f"p AS (SELECT doc_id, part, {back} AS text FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS part FROM p0))",
+        f"q AS (SELECT doc_id, part, how, s, {norm} AS n, k FROM ({reading('a', f"string_split_regex(text, '{quoted(_LINES)}')")} UNION ALL {reading('b', f"string_split_regex(text, '{quoted(_JOINED)}')")} UNION ALL {reading('c', '[text]')}))",
+        f"f AS (SELECT doc_id, part, how, s, k, {named} AS id FROM q)",
+        "n AS (SELECT * FROM f WHERE id IS NOT NULL)",
+        "new AS (SELECT * FROM n x WHERE how <> 'a' AND id <> 'UNKNOWN' AND NOT EXISTS (SELECT 1 FROM n y WHERE y.doc_id = x.doc_id AND y.part = x.part AND y.id = x.id AND y.how < x.how))",
+        "old AS (SELECT * FROM n x WHERE how = 'a' AND NOT (id IN ('UNKNOWN', 'COPYRIGHT') AND EXISTS (SELECT 1 FROM new y WHERE y.doc_id = x.doc_id AND y.part = x.part AND y.id <> 'COPYRIGHT' AND contains(y.s, x.s))))",
+        "m AS (SELECT n.doc_id, n.part, n.id, 0 AS place, 0 AS reading, n.k FROM n WHERE how = 'a' AND NOT EXISTS (SELECT 1 FROM new y WHERE y.doc_id = n.doc_id AND y.part = n.part) UNION ALL "
+        "SELECT o.doc_id, o.part, o.id, instr(p.text, o.s), CASE o.how WHEN 'a' THEN 0 ELSE 1 END, o.k FROM (SELECT * FROM old WHERE EXISTS (SELECT 1 FROM new y WHERE y.doc_id = old.doc_id AND y.part = old.part) UNION ALL SELECT * FROM new) o JOIN p ON p.doc_id = o.doc_id AND p.part = o.part)",
+        "g AS (SELECT doc_id, list(id ORDER BY part, place, reading, k, id) AS ids FROM m GROUP BY doc_id)",
+        "c0 AS (SELECT d.id AS doc_id, coalesce(ids, []) AS ids, ',' || array_to_string(coalesce(ids, []), ',,') || ',' AS rest, []::VARCHAR[] AS found FROM d LEFT JOIN g USING (doc_id))",
     ]
     for i, (name, seq) in enumerate(RULES):
         s = "," + ",,".join(seq) + ","
