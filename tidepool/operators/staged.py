@@ -10,11 +10,15 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of this process by application.
 _ROOTS: dict[str, str] = {}
+#: Tables of the scopes that are open.
+_SCOPES: list[list[DataFrame]] = []
 
 
 def _root(spark: SparkSession) -> str:
@@ -31,6 +35,11 @@ def _root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -56,9 +65,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    for scope in _SCOPES[-1:]:
+        scope.append(out)
     return out
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables made inside are deleted at its end; results must be written before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        drop(*_SCOPES.pop())
+
+
 def is_staged(df: DataFrame) -> bool:
     return "staged_at" in vars(df)
 

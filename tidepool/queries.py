@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cigar, logmath, strings
-from .operators import background, coverage, normalize, peaks, regions, score, segments, signal, simulate
-from .operators.staged import new_path
+from .operators import background, coverage, normalize, peaks, regions, sample, score, segments, signal, simulate, store
+from .operators.staged import new_path, staged
 from .plans.calls import Run, Settings
 from .sources import files, sinks
 from .sources import reads as sources
+from .streaming.coverage import CoverageStream
 
 SET = Settings()
 QUERIES, ORACLES = {}, {}
@@ -167,6 +168,38 @@ def coverage_profile(spark, sf):
     return _run(spark, sf).profile
 
 
+@query(_cte(*PROFILE) + "SELECT * FROM pr")
+def coverage_appended(spark, sf):
+    """Three appends, by a hash of the fragments, give the profile of all."""
+    chip = staged(_run(spark, sf).chip.select("chrom", "start", "len"), "chip")
+    stored = store.CoverageStore(new_path(spark, "store"))
+    for i in range(3):
+        stored.append(chip.where(F.pmod(F.xxhash64("chrom", "start", "len"), F.lit(3)) == i), i)
+    return stored.profile(spark)
+
+
+def _streamed(spark, sf, name):
+    """The chip fragments in three batches of rising positions, each read as it arrives, and the end."""
+    chip = staged(_run(spark, sf).chip.select("chrom", "start", "len"), "chip")
+    end = (chip.agg(F.max("start")).first()[0] or 0) + 1
+    stream, arriving = CoverageStream(new_path(spark, "stream"), late=2000, threshold=3), new_path(spark, "arriving")
+    for i in range(3):
+        chip.where(F.greatest(F.floor(F.col("start") * 3 / end), F.lit(0)) == i).write.mode("append").parquet(arriving)
+        stream.start(spark.readStream.schema(chip.schema).parquet(arriving), f"{arriving}-checkpoint").awaitTermination()
+    stream.finish(spark, 3)
+    return stream.result(spark, name, 4)
+
+
+@query(_cte(*PROFILE, "sg") + "SELECT chrom, p AS pos, q AS next_pos, h AS height FROM sg")
+def coverage_streamed(spark, sf):
+    return _streamed(spark, sf, "segments")
+
+
+@query(_cte(*PEAKS) + 'SELECT chrom, start, "end" FROM pk WHERE thr = 3')
+def peaks_streamed(spark, sf):
+    return _streamed(spark, sf, "peaks")
+
+
 @query(_cte(*PROFILE, "sg") + "SELECT chrom, p AS pos, q AS next_pos, h AS height FROM sg WHERE q >= 10000 AND p < 200000")
 def profile_slice(spark, sf):
     return coverage.profile_slice(coverage.segments(_run(spark, sf).profile), 10_000, 200_000)
@@ -442,6 +475,16 @@ def track_block_permute(spark, sf):
     return signal.permute_blocks(_track(spark, sf), 24, TRACK_LENGTH, 7)
 
 
+@query(DUCK_TRACK + f"SELECT track, {sample.permuted_sql('(pos - 1) // 24', TRACK_LENGTH // 24, 7, sample.DUCK_FOLD)} * 24 + (pos - 1) % 24 + 1 AS pos, value FROM s WHERE (pos - 1) // 24 < {TRACK_LENGTH // 24}")
+def track_block_shuffle(spark, sf):
+    return sample.shuffle_blocks(_track(spark, sf), 24, TRACK_LENGTH, 7)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (ORDER BY md5('11|' || l_orderkey || '|' || l_linenumber)) AS k FROM lineitem) WHERE k <= 1000")
+def subsample(spark, sf):
+    return sample.subsample(_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), 1000, ["l_orderkey", "l_linenumber"], 11)
+
+
 @query(DUCK_TRACK + "SELECT track, pos - 99 AS pos, value FROM s WHERE pos BETWEEN 100 AND 300")
 def track_slice(spark, sf):
     return signal.slice_(_track(spark, sf), 100, 300)
