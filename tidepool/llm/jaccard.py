@@ -462,11 +462,12 @@ def similar_components(docs: DataFrame, join: Join, id_col: str = "doc_id", text
     nodes = staging.put(rows.where("kind = 0 AND bits IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("doc", "mark")).alias("from")).select("node", "n", "bits", "from.doc", "from.mark"), "nodes", 10 * size)
     keys = rows.where("kind = 1").select("key", "node", "n")
     every = keys.count()
-    shared = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("v"), F.max("node").alias("b")).where("v.node <> b")
-    shared = staging.put(shared.select("key", F.col("v.node").alias("v"), F.col("v.n").alias("n_v")), "shared", every)
-    groups = staging.put(meet(keys, shared, "key").distinct(), "groups", every)
+    repeated = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    groups = staging.put(keys.join(repeated.hint("merge"), "key").distinct(), "groups", every)
     many = groups.count()
-    staging.drop(rows, shared)  # most keys stand alone and are not needed any more
+    leads = groups.groupBy("key").agg(F.min(F.struct("node", "n")).alias("v"), F.max("node").alias("b")).where("v.node <> b")
+    leads = staging.put(leads.select("key", F.col("v.node").alias("v"), F.col("v.n").alias("n_v")), "leads", many)
+    staging.drop(rows)  # most keys stand alone and are not needed any more
 
     # rows of one id are one document
     known = sets.where("doc IS NOT NULL AND node IS NOT NULL")
@@ -474,7 +475,7 @@ def similar_components(docs: DataFrame, join: Join, id_col: str = "doc_id", text
     check = _Check(staging, join, nodes, narrow.where("doc IS NOT NULL AND text IS NOT NULL"), not several.isEmpty())
     links = staging.put(meet(known, several.where("v <> b").select("doc", "v"), "doc").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "same", size)
 
-    star = check.star(groups.where("node <> v").select(F.col("node").alias("u"), "v", F.col("n").alias("n_u"), "n_v"), many)
+    star = check.star(meet(groups, leads, "key").where("node <> v").select(F.col("node").alias("u"), "v", F.col("n").alias("n_u"), "n_v"), many)
     links = links.union(star)
     parts = connected_components(staging, links)
     divided = _with_parts(groups, parts)
