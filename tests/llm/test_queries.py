@@ -39,12 +39,17 @@ def make(seed=4):
 
 
 def write(spark, folder, rows):
-    """documents and labels; the further columns hold texts."""
+    """documents, labels, benchmark (passages of the texts) and embeddings (a vector a row); the further columns hold texts."""
     schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` string" for c in CLASHING)
     data = [(i, t, "en", s, None if t is None else len(t), *(["kept"] * len(CLASHING))) for i, t, s in rows]
     spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, int(i % 4 != 3), 0) for i, _, _ in rows if i is not None and i < 160]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    more, kept = "".join(f", `{c}` string" for c in CLASHING), ["kept"] * len(CLASHING)
+    items = [(n, " ".join((t or "").split()[n % 5 : n % 5 + 14]), *kept) for n, (_, t, _) in enumerate(rows[::9])]
+    spark.createDataFrame(items, f"item_id long, text string{more}").write.parquet(f"{folder}/benchmark.parquet")
+    vectors = [(i, None if s is None else len(s), [math.sin(len(t or "") * k + k) for k in range(32)], *kept) for i, t, s in rows]
+    spark.createDataFrame(vectors, f"vec_id long, label int, embedding array<float>{more}").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -70,7 +75,7 @@ def sha(x):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, small, name):
     con = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{small[1]}/{table}.parquet/*.parquet')")
     got = run(spark, name, small[1])
     columns = sorted(got[0])
@@ -87,7 +92,7 @@ def test_empty_tables(spark, empty, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_null_and_repeated_ids(spark, tmp_path, name):
     rows = [(None, "a b c d", "s"), (None, None, None), (5, "x y z", "s"), (5, "x y z", "s"), (5, "other words", None)]
-    got = Counter(r["doc_id"] for r in run(spark, name, write(spark, tmp_path, rows)))
+    got = Counter(r["vec_id" if "vec_id" in r else "doc_id"] for r in run(spark, name, write(spark, tmp_path, rows)))
     assert got == Counter(i for i, _, _ in rows)
 
 
