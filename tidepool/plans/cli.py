@@ -67,10 +67,11 @@ def main(args: list[str] | None = None) -> None:
         sub = commands.add_parser(name)
         for p in params:
             sub.add_argument(p)
+    commands.choices["preprocess"].add_argument("--read-ids", action="store_true", help="keep the reads' names")
     a = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "preprocess":
-        reads.preprocess(spark, a.format, a.path, a.out)
+        reads.preprocess(spark, a.format, a.path, a.out, a.read_ids)
     elif a.command == "call":
         call(spark, read_config([r["value"] for r in spark.read.text(a.config).collect()]), a.out)
     else:
