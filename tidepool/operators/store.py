@@ -1,9 +1,9 @@
-"""A store of coverage that grows by appends: event deltas per chromosome and piece of positions.
+"""A store of coverage that grows by appends: event deltas, a folder per append.
 
-A piece keeps the net changes of the height at its positions, so what lies before it does not change it. An append rewrites the
-pieces that the new fragments touch and no others; the height at a piece's beginning is the sum of the changes in the pieces
-before, taken when the store is read. Each piece knows the last append that it holds, so an append that failed halfway is run
-again under its number and changes only the pieces that it had not reached.
+The store keeps net changes of the height at positions, so what lies before a position does not change them. An append writes its
+own changes and no others, and a folder however many pieces of positions it touches; changes are summed when the store is read. A
+folder tells which pieces its append has reached, so an append that failed halfway is run again under its number and adds only the
+pieces that are missing.
 """
 
 from __future__ import annotations
@@ -17,10 +17,8 @@ from . import coverage
 from .pieces import PIECE
 from .staged import exists, scope, staged
 
-_SCHEMA = "pos bigint, delta bigint, batch bigint, chrom string, piece bigint"
+_SCHEMA = "pos bigint, delta bigint, chrom string, piece bigint, batch bigint"
 _KEYS = ["chrom", "piece"]
-#: Touched pieces that are named in a filter on the store's folders, at most; more are found by the join alone.
-NAMED = 10_000
 
 
 @dataclass(frozen=True)
@@ -29,34 +27,23 @@ class CoverageStore:
     piece: int = PIECE
 
     def deltas(self, spark: SparkSession) -> DataFrame:
-        """pos, delta, batch, chrom, piece."""
+        """pos, delta, chrom, piece, batch: the changes of each append."""
         return spark.read.schema(_SCHEMA).parquet(self.path) if exists(spark, self.path) else spark.createDataFrame([], _SCHEMA)
 
-    def _named(self, touched: DataFrame) -> DataFrame:
-        """The store without folders of other pieces, as far as up to ``NAMED`` keys can say that in a filter."""
-        stored = self.deltas(touched.sparkSession)
-        keys = touched.limit(NAMED + 1).collect()
-        if len(keys) > NAMED:
-            return stored
-        return stored.where(F.col("chrom").isin(*{k["chrom"] for k in keys}) & F.col("piece").isin(*{k["piece"] for k in keys}))
-
     def append(self, fragments: DataFrame, number: int) -> int:
-        """Adds fragments (chrom, start, len) as append ``number`` (numbers rise). The number of pieces that were rewritten."""
+        """Adds fragments (chrom, start, len) as append ``number`` (numbers rise). The number of pieces that were written."""
         spark = fragments.sparkSession
         with scope():
             at = F.floor(F.col("pos") / self.piece).cast("bigint").alias("piece")
-            fresh = staged(coverage.events(fragments).select("pos", "delta", F.lit(number).cast("bigint").alias("batch"), "chrom", at), "fresh")
-            touched = staged(fresh.select(*_KEYS).distinct(), "touched")
-            old = staged(self._named(touched).join(touched, _KEYS, "left_semi"), "old")
-            done = old.where(F.col("batch") >= number).select(*_KEYS).distinct()
-            rows = old.unionByName(fresh).join(done, _KEYS, "left_anti")
-            # a piece whose changes cancel out keeps its rows of 0, so that it knows its last append
-            summed = rows.groupBy(*_KEYS, "pos").agg(F.sum("delta").alias("delta"), F.lit(number).cast("bigint").alias("batch"))
-            new = staged(summed.select("pos", "delta", "batch", *_KEYS), "new")
-            rewritten = new.select(*_KEYS).distinct().count()
-            new.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "pos").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_KEYS).parquet(self.path)
-        return rewritten
+            fresh = coverage.events(fragments).select("pos", "delta", "chrom", at)
+            if exists(spark, self.path):
+                done = self.deltas(spark).where(F.col("batch") >= number).select(*_KEYS).distinct()
+                fresh = fresh.join(done, _KEYS, "left_anti")
+            fresh = staged(fresh, "fresh")
+            fresh.sortWithinPartitions("chrom", "pos").write.mode("append").parquet(f"{self.path}/batch={number}")
+            return fresh.select(*_KEYS).distinct().count()
 
     def profile(self, spark: SparkSession) -> DataFrame:
         """The step function of all that was appended, as ``coverage.profile`` gives it."""
-        return coverage.profile(self.deltas(spark).where("delta <> 0").select("chrom", "pos", "delta"), piece=self.piece)
+        changes = self.deltas(spark).groupBy("chrom", "pos").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+        return coverage.profile(changes, piece=self.piece)
