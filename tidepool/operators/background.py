@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .coverage import events
-from .peaks import MAX_THRESHOLD, merge_runs
+from .peaks import MAX_THRESHOLD
+from .staged import staged, tasks_for
 
 
 def too_high(most: int) -> Column:
@@ -59,21 +60,24 @@ def simulate_windows(reads: DataFrame, mappability: DataFrame, ext: int, sims: i
     Each simulation of a window places its reads uniformly on the mappable positions; a counter-based generator stands for
     a sequential one, so the numbers do not depend on the order of tasks. Peaks merge over a gap one larger than real ones.
     """
-    joined = reads.join(mappability, ["chrom", "win"]).where("n > 0 AND n_mappable > 0")
-    drawn = joined.select("chrom", "win", "n_mappable", F.col("n"), F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-    placed = drawn.select("chrom", "win", "sim", "n_mappable", F.explode(F.expr("sequence(1L, n)")).alias("read"))
+    joined = staged(reads.join(mappability, ["chrom", "win"]).where("n > 0 AND n_mappable > 0"), "drawn")
+    # a window is a short row that becomes many: tasks are cut by what will be drawn, not by the size of these rows
+    parts = tasks_for(joined.sparkSession, (joined.agg(F.sum("n")).first()[0] or 0) * sims)
+    drawn = joined.select("chrom", "n_mappable", "n", "win", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
+    keys = ("win", "sim", "chrom")  # numbers first, as sorts compare these at once
+    placed = drawn.repartition(parts, *keys).select(*keys, "n_mappable", F.explode(F.expr("sequence(1L, n)")).alias("read"))
     code = "(ascii(chrom) * 31 + length(chrom))"
     at = F.expr(f"({uniform([code, 'win', 'sim', 'read'], seed)} * (n_mappable + 1)) div 2147483647").cast("bigint")
-    keys = ("chrom", "win", "sim")
     profile = events(placed.select(*keys, at.alias("start"), F.lit(ext).cast("bigint").alias("len")), keys)
     by = W.partitionBy(*keys).orderBy("pos")
     heights = profile.withColumn("height", F.sum("delta").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("prev_height", F.col("height") - F.col("delta"))
     low, high = F.least("height", "prev_height"), F.greatest("height", "prev_height")
     crossings = heights.where(low < most).select(*keys, "pos", (F.col("height") > F.col("prev_height")).alias("up"), F.explode(F.sequence(low + 1, F.least(high, F.lit(most).cast("bigint")))).alias("thr"))
-    runs = crossings.withColumn("e", F.lead("pos").over(W.partitionBy(*keys, "thr").orderBy("pos")) - 1).where("up")
-    peaks = merge_runs(runs.select(*keys, "thr", F.col("pos").alias("s"), "e"), [*keys, "thr"], gap + 1)
+    # ups and downs of a threshold take turns: a run opens a peak unless the fall before it lies within the gap
+    fall = F.lag("pos").over(W.partitionBy(*keys, "thr").orderBy("pos"))
+    opened = crossings.withColumn("_new", F.coalesce((F.col("pos") > fall + gap).cast("int"), F.lit(1))).where("up")
     # a merged peak that starts at 0 does not count unless it is the only one
-    each = peaks.groupBy(*keys, "thr").agg((F.count("*") - F.when((F.count("*") > 1) & (F.min("start") <= 0), 1).otherwise(0)).alias("c"))
+    each = opened.groupBy(*keys, "thr").agg((F.sum("_new") - F.when((F.sum("_new") > 1) & (F.min("pos") <= 0), 1).otherwise(0)).alias("c"))
     return each.groupBy("chrom", "win", "thr").agg(F.sum("c").alias("total"))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of this process by application.
 _ROOTS: dict[str, str] = {}
+#: Rows that one task makes at most where they come of few, and rows that one task makes alone.
+PER_TASK, SMALL = 1_000_000, 20_000
 #: Tables of the scopes that are open.
 _SCOPES: list[list[DataFrame]] = []
 
@@ -70,6 +72,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for work that makes so many rows of few: a million a task at most, and enough to keep every core busy."""
+    return max(3 * spark.sparkContext.defaultParallelism if rows > SMALL else 1, -(-rows // PER_TASK))
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """Tables made inside are deleted at its end; results must be written before."""

@@ -42,6 +42,10 @@ class Run:
         self._map = mappability
         self._kept: list[DataFrame] = []
 
+    def _tabled(self) -> None:
+        """From here on the fragments are a table, as coverage, windows, scaling and counts read them."""
+        self.fragments = self._keep(self.fragments, "fragments")
+
     @property
     def chip(self) -> DataFrame:
         return self.fragments.where("sample = 'chip'")
@@ -88,22 +92,37 @@ class Run:
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        """A row per window, which several stages read."""
-        s = self.s
+        """A row per window up to each chromosome's end."""
+        self._tabled()
+        return self._thresholds(self.mappability)
+
+    def _thresholds(self, windows: DataFrame) -> DataFrame:
+        s, reads = self.s, self._keep(self.reads, "reads")
         if s.model == "Poisson":
-            return self._keep(background.poisson_thresholds(self.reads, self.mappability, s.ext, s.fdr, s.max_threshold), "thresholds")
-        simulated = background.simulate_windows(self.reads, self.mappability, s.ext, s.sims, s.seed, s.gap, s.max_threshold)
-        return self._keep(background.simulated_thresholds(simulated, self.counts, self.mappability, s.sims, s.fdr, s.max_threshold), "thresholds")
+            return self._keep(background.poisson_thresholds(reads, windows, s.ext, s.fdr, s.max_threshold), "thresholds")
+        simulated = self._keep(background.simulate_windows(reads, windows, s.ext, s.sims, s.seed, s.gap, s.max_threshold), "simulated")
+        return self._keep(background.simulated_thresholds(simulated, self._keep(self.counts, "counts"), windows, s.sims, s.fdr, s.max_threshold), "thresholds")
+
+    @property
+    def touched(self) -> DataFrame:
+        """The windows that a peak touches, and so all that hold reads of the signal: no other takes part in a region. The peaks at
+        1 hold all others. Their number follows the reads, not the length of the chromosomes."""
+        s = self.s
+        at = self.all_peaks.where("thr = 1").select("chrom", F.explode(F.expr(f"sequence(start div {s.window}, end div {s.window})")).alias("win")).distinct()
+        if self._map is not None:
+            return self._map.join(at, ["chrom", "win"], "left_semi")
+        return at.where("win >= 0").withColumn("n_mappable", F.lit(s.window).cast("bigint"))
 
     @cached_property
     def regions(self) -> DataFrame:
         """A row per region, read by both counts and the summits."""
-        return self._keep(peaks.stitch(self.all_peaks, self.thresholds, self.s.gap, self.s.window), "regions")
+        self._tabled()
+        return self._keep(peaks.stitch(self.all_peaks, self._thresholds(self._keep(self.touched, "windows")), self.s.gap, self.s.window), "regions")
 
     @cached_property
     def scores(self) -> DataFrame:
-        """Regions with their scores. From here on the fragments are a table, as coverage, windows, scaling and counts read them."""
-        self.fragments = self._keep(self.fragments, "fragments")
+        """Regions with their scores."""
+        self._tabled()
         starts = self._keep(self.fragments.groupBy("sample", "chrom", "start").agg(F.count("*").alias("c")), "starts")
         return self._keep(score.score_regions(self.regions, starts, self.slopes, self.s.ext), "scores")
 
