@@ -1,6 +1,8 @@
 """Work that few or short rows start is dealt to all cores, and gives what it gave before."""
 
-from tidepool.operators import background
+from pyspark.sql import functions as F
+
+from tidepool.operators import background, bins
 from tidepool.operators.staged import PER_TASK, tasks_for
 
 
@@ -61,3 +63,11 @@ def peaks_of(starts, length, gap):
                 end = after - 1
         out[thr] = len(found) - (1 if len(found) > 1 and found[0] <= 0 else 0)
     return out
+
+
+def test_long_regions_meet_in_many_tasks(spark):
+    left = spark.range(3).select(F.lit("c").alias("k"), F.lit(1).cast("long").alias("a"), (F.col("id") + 10**9).alias("b"))
+    right = spark.range(200).select(F.lit("c").alias("k"), (F.col("id") * 1000).alias("c"), (F.col("id") * 1000 + 10).alias("d"))
+    for met in (bins.overlap_join(left, right, ["k"], "a", "b", "c", "d"), bins.overlap_join(right, left, ["k"], "c", "d", "a", "b")):
+        assert met.count() == 3 * 200
+        assert parts_of(met) == [3 * spark.sparkContext.defaultParallelism]

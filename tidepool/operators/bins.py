@@ -55,11 +55,14 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], a: str, b: st
         homes, looks = _entries(right, a2, b2, None), lambda levels: _entries(left, a, b, array(levels))
         parts.append(looks([x for x in theirs if x == 0]).join(homes.where("_level = 0"), keys))
         if upper := [x for x in theirs if x > 0]:
-            parts.append(looks(upper).join(_upper(homes), keys))
+            shared = looks(upper).repartition(3 * left.sparkSession.sparkContext.defaultParallelism, *on, a, b)
+            parts.append(shared.join(_upper(homes), keys))
         if upper := [x for x in ours if x > theirs[0]]:
             # at the left one's home, which is higher than the right one's
             strictly = _entries(right.withColumn("_own", level_of(F.col(b2) - F.col(a2) + 1)), a2, b2, array(upper)).where("_level > _own").drop("_own")
-            parts.append(strictly.join(_upper(_entries(left, a, b, None)), keys))
+            # a small table is few tasks, but each of its rows may meet thousands of long ones: all cores share them
+            shared = strictly.repartition(3 * left.sparkSession.sparkContext.defaultParallelism, *on, a2, b2)
+            parts.append(shared.join(_upper(_entries(left, a, b, None)), keys))
     if not parts:
         return left.join(right, on).where("false").select(*columns)
     out = parts[0].where(once).select(*columns)
