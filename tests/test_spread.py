@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import background, bins
+from tidepool.operators import background, bins, simulate
 from tidepool.operators.staged import PER_TASK, tasks_for
 
 
@@ -71,3 +71,11 @@ def test_long_regions_meet_in_many_tasks(spark):
     for met in (bins.overlap_join(left, right, ["k"], "a", "b", "c", "d"), bins.overlap_join(right, left, ["k"], "c", "d", "a", "b")):
         assert met.count() == 3 * 200
         assert parts_of(met) == [3 * spark.sparkContext.defaultParallelism]
+
+
+def test_fragments_are_drawn_in_many_tasks(spark):
+    regions = spark.range(1000).coalesce(1).select(F.lit("c").alias("chrom"), (F.col("id") * 500).alias("start"), (F.col("id") * 500 + 99).alias("end"), F.col("id").alias("key"))
+    for chip in (True, False):
+        out = simulate.simulate_fragments(regions, 30, 100, 5, chip)
+        assert parts_of(out) == [3 * spark.sparkContext.defaultParallelism]
+        assert out.count() == 30_000
