@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import background, bins, simulate
+from tidepool.operators import background, bins, score, simulate
 from tidepool.operators.staged import PER_TASK, tasks_for
 
 
@@ -73,6 +73,14 @@ def test_long_regions_meet_in_many_tasks(spark):
         assert parts_of(met) == [3 * spark.sparkContext.defaultParallelism]
 
 
+def test_log_tails_are_taken_once_a_pair(spark):
+    df = spark.createDataFrame([(i % 7 * 3, i % 5) for i in range(500)] + [(None, 3), (4, None), (5, -2), (3, 9)], "n long, upto long")
+    got = score.with_log_tail(df, "n", "upto").select("n", "upto", "log_p")
+    want = df.withColumn("log_p", score.log_binomial_tail(F.col("n"), F.col("upto")))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "aggregate(" not in plan_of(got)  # the steps ran on pairs, not on rows
+
+
 def test_fragments_are_drawn_in_many_tasks(spark):
     regions = spark.range(1000).coalesce(1).select(F.lit("c").alias("chrom"), (F.col("id") * 500).alias("start"), (F.col("id") * 500 + 99).alias("end"), F.col("id").alias("key"))
     for chip in (True, False):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bins import overlap_join
+from .staged import staged, tasks_for
 
 #: Copies that count per position, regions above this length are not widened, and the widening.
 COPIES, LONG_REGION, WIDEN = 3, 1000, 2000
@@ -39,6 +40,15 @@ def log_binomial_tail(n: Column, upto: Column) -> Column:
     return F.aggregate(terms, start, step)["s"] - n * F.ln(F.lit(2.0))
 
 
+def with_log_tail(rows: DataFrame, n: str, upto: str, name: str = "log_p") -> DataFrame:
+    """rows with ``log_binomial_tail`` of two columns, taken once for each pair of values, as rows share few of these and a tail costs
+    ``upto`` steps. The pairs are dealt to all cores, however few files the rows come from."""
+    pairs = staged(rows.select(n, upto).distinct(), "pairs")
+    dealt = pairs.repartition(tasks_for(pairs.sparkSession, pairs.agg(F.sum(F.greatest(upto, F.lit(1)))).first()[0] or 0), n, upto)
+    tails = staged(dealt.select(F.col(n).alias("_n"), F.col(upto).alias("_upto"), log_binomial_tail(F.col(n), F.col(upto)).alias(name)), "tails")
+    return rows.join(tails, F.col(n).eqNullSafe(F.col("_n")) & F.col(upto).eqNullSafe(F.col("_upto")), "left").drop("_n", "_upto")
+
+
 def score_regions(regions: DataFrame, starts: DataFrame, slopes: DataFrame, ext: int) -> DataFrame:
     """regions with n_chip, n_ctrl, n_ctrl_adj, excess, enrichment and log_p. Chromosomes without a positive slope drop out."""
     near = count_in_regions(regions, starts, ext)

@@ -284,7 +284,7 @@ def region_scores(spark, sf):
 @query("SELECT p_partkey, n, upto, round((SELECT max(v) + ln(sum(exp(v - m))) FROM (SELECT v, max(v) OVER () AS m FROM (SELECT lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) AS v FROM range(upto + 1) x(i)))) - n * ln(2.0), 6) + 0.0 AS log_p FROM (SELECT p_partkey, CAST(p_size * 20 AS BIGINT) AS n, CAST(p_partkey % (p_size * 20 + 1) AS BIGINT) AS upto FROM part)")
 def binomial_log_p(spark, sf):
     n = _table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 20).cast("bigint").alias("n")).withColumn("upto", (F.col("p_partkey") % (F.col("n") + 1)).cast("bigint"))
-    return n.withColumn("log_p", F.round(score.log_binomial_tail(F.col("n"), F.col("upto")), 6) + 0.0)
+    return score.with_log_tail(n, "n", "upto").withColumn("log_p", F.round("log_p", 6) + 0.0)
 
 
 @query(_cte(*REGIONS, "sg", "sm") + "SELECT * FROM sm")
