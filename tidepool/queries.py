@@ -272,8 +272,9 @@ def selected_regions(spark, sf):
 @query(_cte(*REGIONS, "st", "c1") + 'SELECT chrom, start, "end", CAST(n_chip AS BIGINT) AS n_chip, CAST(n_ctrl AS BIGINT) AS n_ctrl FROM c1')
 def region_read_counts(spark, sf):
     run = _run(spark, sf)
+    found = run.regions  # makes the fragments a table, which the starts then read
     starts = run.fragments.groupBy("sample", "chrom", "start").agg(F.count("*").alias("c"))
-    return score.count_in_regions(run.regions, starts, SET.ext)
+    return score.count_in_regions(found, starts, SET.ext)
 
 
 @query(_cte(*SCORED) + 'SELECT chrom, start, "end", n_chip, round(n_ctrl, 6) AS n_ctrl, n_ctrl_adj, excess, round(enrichment, 6) AS enrichment, round(log_p, 6) AS log_p FROM sc')
