@@ -7,17 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .pieces import scan
+from .staged import dealt
 
 
 def prune_duplicates(reads: DataFrame, cap: int, keys: tuple[str, ...] = ("sample", "replicate", "chrom")) -> DataFrame:
     """At most ``cap`` reads of each replicate at one position, strands together (0: all).
 
-    Equal reads are counted before they meet, so a position with millions of copies is a few rows with counts; a running sum of
-    the counts is cut at the cap, and what is kept becomes rows again.
+    Equal reads of one input task are counted before they meet, so a position with millions of copies is a few rows with counts; a
+    running sum of the counts is cut at the cap, and what is kept becomes rows again. Both steps are dealt by the number of reads.
     """
     if not cap:
         return reads
-    alike = reads.groupBy(*reads.columns).agg(F.count("*").alias("_c"))
+    rows = reads.count()
+    told = dealt(reads.withColumn("_t", F.spark_partition_id()), rows, *reads.columns, "_t")
+    alike = dealt(told.groupBy(*reads.columns, "_t").agg(F.count("*").alias("_c")), rows, *keys, "pos")
     order = W.partitionBy(*keys, "pos").orderBy("strand", "cigar", *(c for c in reads.columns if c not in (*keys, "pos", "strand", "cigar")))
     upto = F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0))
     kept = F.least(F.col("_c"), F.greatest(F.lit(cap) - (upto - F.col("_c")), F.lit(0)))

@@ -77,6 +77,17 @@ def tasks_for(spark: SparkSession, rows: int) -> int:
     return max(3 * spark.sparkContext.defaultParallelism if rows > SMALL else 1, -(-rows // PER_TASK))
 
 
+def dealt(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """df of about so many rows by a hash of cols, a million rows a task; as it is if one task may hold them all.
+
+    Spark itself sizes tasks by compressed bytes, or has a fixed number of them, so their rows grow with the table. There are
+    never fewer tasks than Spark's own, as a join would shuffle these rows again.
+    """
+    if rows <= PER_TASK:
+        return df
+    return df.repartition(max(-(-rows // PER_TASK), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *cols)
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """Tables made inside are deleted at its end; results must be written before."""
