@@ -40,8 +40,18 @@ def reads_per_window(fragments: DataFrame, window: int) -> DataFrame:
 
 def events(fragments: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Net change of height per position, without positions where it is 0."""
-    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).cast("bigint").alias("d")), F.struct((F.col("start") + F.col("len")).alias("pos"), F.lit(-1).cast("bigint").alias("d"))))
-    return fragments.select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("delta")).where("delta <> 0")
+    return net(changes(fragments, keys), keys)
+
+
+def changes(fragments: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """Two rows a fragment: 1 where it begins, -1 behind its end."""
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).cast("bigint").alias("delta")), F.struct((F.col("start") + F.col("len")).alias("pos"), F.lit(-1).cast("bigint").alias("delta")))
+    return fragments.select(*keys, F.inline(ends))
+
+
+def net(changes_: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """Changes of one position added up, without those that cancel out."""
+    return changes_.groupBy(*keys, "pos").agg(F.sum("delta").alias("delta")).where("delta <> 0")
 
 
 def profile(events_: DataFrame, keys: tuple[str, ...] = ("chrom",), piece: int | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import coverage, regions
-from ..operators.staged import exists, scope, staged
+from ..operators.staged import dealt, exists, scope, staged
 
 _EVENTS, _BOUNDS, _PEAKS = "chrom string, pos bigint, delta bigint", "chrom string, last bigint, closed bigint", "chrom string, start bigint, end bigint"
 
@@ -36,7 +36,10 @@ class CoverageStream:
 
     def _read(self, spark: SparkSession, table: str, batch: int, schema: str) -> DataFrame:
         path = f"{self.out}/state/{table}/{batch}"
-        return spark.read.schema(schema).parquet(path) if batch >= 0 and exists(spark, path) else spark.createDataFrame([], schema)
+        if batch >= 0 and exists(spark, path):
+            return spark.read.schema(schema).parquet(path)
+        # an empty relation that Spark knows to be empty: a join by chromosome with it shuffles nothing
+        return spark.range(1).where("false").selectExpr(*(f"CAST(NULL AS {kind}) AS {c}" for c, kind in map(str.split, schema.split(", "))))
 
     def _write(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(f"{self.out}/{name}")
@@ -60,11 +63,12 @@ class CoverageStream:
             closing = F.lit((1 << 62)) if last else F.greatest(F.coalesce(F.max("closed"), F.lit(-(1 << 62))), F.max("last") - self.late)
             bounds = staged(seen.groupBy("chrom").agg(F.max("last").alias("last"), closing.alias("closed")), "bounds")
 
-            both = self._read(spark, "events", number - 1, _EVENTS).union(coverage.events(fresh))
-            events = staged(both.groupBy("chrom", "pos").agg(F.sum("delta").alias("delta")).where("delta <> 0").join(bounds.select("chrom", "closed"), "chrom"), "events")
+            kept = self._read(spark, "events", number - 1, _EVENTS)
+            both = dealt(kept.union(coverage.changes(fresh)), kept.count() + 2 * told.count(), "chrom", "pos")
+            events = staged(coverage.net(both).join(bounds.select("chrom", "closed"), "chrom"), "events")
             done = staged(coverage.profile(events.where("pos <= closed").drop("closed")), "profile")
             emitted = staged(coverage.segments(done), "segments")
-            reached = staged(done.groupBy("chrom").agg(F.max_by(F.struct("pos", "height"), "pos").alias("r")).select("chrom", "r.pos", "r.height"), "reached")
+            reached = staged(done.groupBy("chrom").agg(F.max("pos").alias("reached"), F.max_by("height", "pos").alias("height")).withColumnRenamed("reached", "pos"), "reached")
             carry = reached.where("height <> 0").select("chrom", "pos", F.col("height").alias("delta"))
 
             high = emitted.where(F.col("height") >= self.threshold).select("chrom", F.col("pos").alias("start"), (F.col("next_pos") - 1).alias("end"))
