@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import coverage, peaks, pieces, staged
+from tidepool.operators import coverage, peaks, pieces, regions, staged
 from tidepool.streaming.coverage import CoverageStream
 
 from .test_spread import parts_of, plan_of
@@ -79,3 +79,12 @@ def test_the_first_batch_of_a_stream_is_not_dealt_by_chromosome(spark, tmp_path)
     told = spark.range(5).select(F.lit("x").alias("chrom")).join(before.select("chrom", "closed"), "chrom", "left")
     assert "Join" not in plan_of(told)
     assert told.count() == 5
+
+
+def test_merging_is_dealt_by_regions(spark, monkeypatch):
+    df = spark.range(300).select(F.lit("c").alias("chrom"), (F.col("id") * 7 % 1000).alias("start"), (F.col("id") * 7 % 1000 + 3).alias("end"))
+    want, seen, dealt = rows_of(regions.merge(df, 2)), [], staged.dealt
+    monkeypatch.setattr(staged, "PER_TASK", 50)
+    monkeypatch.setattr(regions, "dealt", lambda df, rows, *cols: seen.append((rows, cols)) or dealt(df, rows, *cols))
+    assert rows_of(regions.merge(df, 2)) == want
+    assert seen == [(300, ("chrom", "start"))]

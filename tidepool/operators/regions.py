@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bins import overlap_join
 from .pieces import scan
+from .staged import dealt
 
 
 def intersect(left: DataFrame, right: DataFrame, strands: bool = False, first_only: bool = False) -> DataFrame:
@@ -30,7 +31,7 @@ def distance_histogram(left: DataFrame, right: DataFrame, cell: int, most: int)
 def merge(regions: DataFrame, gap: int = 0) -> DataFrame:
     """Regions joined where they overlap or lie at most ``gap`` apart (0: where they touch). Each belongs to the last one before
     it that begins beyond all ends so far. Of the regions with one start only the longest counts, so piles of them stay small."""
-    longest = regions.groupBy("chrom", "start").agg(F.max("end").alias("end"))
+    longest = dealt(regions, regions.count(), "chrom", "start").groupBy("chrom", "start").agg(F.max("end").alias("end"))
     reach = scan(longest, ("chrom",), {"_reach": ("max", F.col("end"))}, pos="start", itself=False)
     opens = F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + 1 + gap)
     opened = scan(reach, ("chrom",), {"_first": ("max", F.when(opens, F.col("start")))}, pos="start")
