@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .coverage import events
 from .peaks import MAX_THRESHOLD
-from .staged import staged, tasks_for
+from .staged import dealt, staged, tasks_for
 
 
 def too_high(most: int) -> Column:
@@ -60,9 +60,11 @@ def simulate_windows(reads: DataFrame, mappability: DataFrame, ext: int, sims: i
     Each simulation of a window places its reads uniformly on the mappable positions; a counter-based generator stands for
     a sequential one, so the numbers do not depend on the order of tasks. Peaks merge over a gap one larger than real ones.
     """
-    joined = staged(reads.join(mappability, ["chrom", "win"]).where("n > 0 AND n_mappable > 0"), "drawn")
-    # a window is a short row that becomes many: tasks are cut by what will be drawn, not by the size of these rows
-    parts = tasks_for(joined.sparkSession, (joined.agg(F.sum("n")).first()[0] or 0) * sims)
+    # windows made of a row a chromosome look like few to Spark, which would broadcast them all
+    joined = staged(reads.join(mappability.hint("merge"), ["chrom", "win"]).where("n > 0 AND n_mappable > 0"), "drawn")
+    # a window is a short row that becomes many: tasks are cut by what will be drawn, not by the size of these rows, and a read
+    # that is drawn is four rows, two changes of the height and the thresholds they cross
+    parts = tasks_for(joined.sparkSession, 4 * (joined.agg(F.sum("n")).first()[0] or 0) * sims)
     drawn = joined.select("chrom", "n_mappable", "n", "win", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
     keys = ("win", "sim", "chrom")  # numbers first, as sorts compare these at once
     placed = drawn.repartition(parts, *keys).select(*keys, "n_mappable", F.explode(F.expr("sequence(1L, n)")).alias("read"))
@@ -84,16 +86,22 @@ def simulate_windows(reads: DataFrame, mappability: DataFrame, ext: int, sims: i
 def simulated_thresholds(simulated: DataFrame, counts: DataFrame, mappability: DataFrame, sims: int, fdr: float, most: int = MAX_THRESHOLD) -> DataFrame:
     """chrom, win, thr: the least threshold whose mean simulated count is at most ``fdr`` of the real one, from where the
     means start to fall. counts: chrom, thr, win, n. A window that has peaks at ``most`` and finds none is an error."""
-    both = simulated.select("chrom", "win", "thr").union(counts.select("chrom", "win", "thr"))
-    highest = both.groupBy("chrom", "win").agg(F.max("thr").alias("_high"))
-    grid = highest.select("chrom", "win", F.explode(F.expr(f"sequence(1L, least(_high + 1, {most}L))")).alias("thr"))
-    dense = grid.join(simulated, ["chrom", "win", "thr"], "left").join(counts, ["chrom", "win", "thr"], "left").na.fill(0, ["total", "n"])
+    none = F.lit(0).cast("bigint")
+    both = simulated.select("chrom", "win", "thr", "total", none.alias("n")).union(counts.select("chrom", "win", "thr", none, "n"))
+    told = dealt(both, simulated.count() + counts.count(), "chrom", "win").groupBy("chrom", "win", "thr").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     by = W.partitionBy("chrom", "win").orderBy("thr")
+    # the thresholds between, and the one after the highest, are rows without peaks
+    since = F.when(F.lag("thr").over(by).isNull(), 1).otherwise(F.col("thr"))
+    upto = F.coalesce(F.lead("thr").over(by) - 1, F.least(F.col("thr") + 1, F.lit(most)))
+    rows = told.withColumns({"_since": since, "_upto": upto}).select("chrom", "win", F.col("thr").alias("_at"), "total", "n", F.explode(F.expr("sequence(_since, _upto)")).alias("thr"))
+    here = F.col("thr") == F.col("_at")
+    dense = rows.withColumns({"total": F.when(here, F.col("total")).otherwise(0), "n": F.when(here, F.col("n")).otherwise(0)})
     near = dense.withColumn("before", F.lag("total").over(by)).withColumn("after", F.lead("total").over(by))
     falls = near.withColumn("from_thr", F.min(F.when(F.col("before") > F.col("total"), F.col("thr"))).over(W.partitionBy("chrom", "win")))
     enough = (F.col("n") > 0) & (F.col("total") <= F.lit(fdr * sims) * F.col("n"))
     first = (F.col("thr") == 1) & enough & (F.col("total") > F.col("after"))
     later = (F.col("thr") >= F.col("from_thr")) & ((F.col("n") == 0) | enough)
-    chosen = falls.where(first | later).groupBy("chrom", "win").agg(F.min("thr").alias("thr"))
+    chosen = falls.groupBy("chrom", "win").agg(F.min(F.when(first | later, F.col("thr"))).alias("thr"), F.max("_at").alias("_high"))
     found = F.coalesce("thr", F.when(F.col("_high") >= most, too_high(most)), F.lit(0))
-    return mappability.join(chosen, ["chrom", "win"], "left").join(highest, ["chrom", "win"], "left").select("chrom", "win", F.when(F.col("n_mappable") > 0, found).otherwise(0).cast("bigint").alias("thr"))
+    n, at = mappability.count(), ["chrom", "win"]
+    return dealt(mappability, n, *at).join(dealt(chosen, n, *at), at, "left").select("chrom", "win", F.when(F.col("n_mappable") > 0, found).otherwise(0).cast("bigint").alias("thr"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import regions
 from .pieces import scan
+from .staged import dealt, staged
 
 MAX_THRESHOLD = 1000
 
@@ -17,15 +18,17 @@ def all_threshold_peaks(profile: DataFrame, gap: int, max_threshold: int = MAX_T
 
     Only crossings of thresholds are made rows, twice the number of fragments at most. A chromosome falls apart into
     stretches wherever the height is 0 for ``gap`` positions or more; no peak reaches over such a hole, so windows are
-    partitioned by stretch and stay short.
+    partitioned by stretch and stay short. Crossings are dealt by their number.
     """
+    profile = staged(profile, "profile")
+    low, high = F.least("height", "prev_height"), F.least(F.greatest("height", "prev_height"), F.lit(max_threshold).cast("bigint"))
+    crossed = profile.agg(F.sum(F.greatest(high - low, F.lit(0)))).first()[0] or 0
     hole = (F.col("prev_height") == 0) & (F.col("prev_pos").isNull() | (F.col("pos") - F.col("prev_pos") >= gap))
     cut = scan(profile, ("chrom",), {"_stretch": ("sum", hole.cast("bigint"))})
-    low, high = F.least("height", "prev_height"), F.greatest("height", "prev_height")
     up = F.col("height") > F.col("prev_height")
-    crossings = cut.where(low < max_threshold).select("chrom", "_stretch", "pos", up.alias("up"), F.explode(F.sequence(low + 1, F.least(high, F.lit(max_threshold).cast("bigint")))).alias("thr"))
+    crossings = cut.where(low < max_threshold).select("chrom", "_stretch", "pos", up.alias("up"), F.explode(F.sequence(low + 1, high)).alias("thr"))
     by = W.partitionBy("chrom", "_stretch", "thr")
-    runs = crossings.withColumn("e", F.lead("pos").over(by.orderBy("pos")) - 1).where("up")
+    runs = dealt(crossings, crossed, "chrom", "_stretch", "thr").withColumn("e", F.lead("pos").over(by.orderBy("pos")) - 1).where("up")
     return merge_runs(runs.select("chrom", "_stretch", "thr", F.col("pos").alias("s"), "e"), ["chrom", "_stretch", "thr"], gap).drop("_stretch")
 
 

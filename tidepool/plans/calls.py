@@ -97,11 +97,16 @@ class Run:
         return self._thresholds(self.mappability)
 
     def _thresholds(self, windows: DataFrame) -> DataFrame:
-        s, reads = self.s, self._keep(self.reads, "reads")
+        s = self.s
         if s.model == "Poisson":
-            return self._keep(background.poisson_thresholds(reads, windows, s.ext, s.fdr, s.max_threshold), "thresholds")
-        simulated = self._keep(background.simulate_windows(reads, windows, s.ext, s.sims, s.seed, s.gap, s.max_threshold), "simulated")
-        return self._keep(background.simulated_thresholds(simulated, self._keep(self.counts, "counts"), windows, s.sims, s.fdr, s.max_threshold), "thresholds")
+            return self._keep(background.poisson_thresholds(self._keep(self.reads, "reads"), windows, s.ext, s.fdr, s.max_threshold), "thresholds")
+        return self._keep(background.simulated_thresholds(self._keep(self.simulated(), "simulated"), self._keep(self.counts, "counts"), windows, s.sims, s.fdr, s.max_threshold), "thresholds")
+
+    def simulated(self) -> DataFrame:
+        """Peaks of simulated reads. Only windows that hold reads of the signal are drawn, so without a map no others are made."""
+        s, reads = self.s, self._keep(self.reads, "reads")
+        windows = self._map if self._map is not None else reads.where("win >= 0").select("chrom", "win", F.lit(s.window).cast("bigint").alias("n_mappable"))
+        return background.simulate_windows(reads, windows, s.ext, s.sims, s.seed, s.gap, s.max_threshold)
 
     @property
     def touched(self) -> DataFrame:

@@ -11,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staged import staged, tasks_for
+
+#: Windows of a chromosome that are dealt to tasks together.
+BLOCK = 10_000
 #: Bases of (start, end) in each format (fixed values).
 BASES = {"codebase": (1, 1), "vcf": (1, 1), "bed": (0, 1), "interval": (0, 1), "gff": (1, 1), "eland": (1, 1), "tagalign": (1, 1), "bowtie": (0, 0), "sam": (1, 1)}
 
@@ -224,11 +228,20 @@ def parse_sam_sequences(lines: DataFrame) -> DataFrame:
 
 def fill_mappability(given: DataFrame) -> DataFrame:
     """chrom, win, n_mappable with the windows that a map skips at 0."""
-    grid = given.groupBy("chrom").agg(F.max("win").alias("last")).select("chrom", F.explode(F.expr("sequence(0L, last)")).alias("win"))
+    grid = _windows(given.groupBy("chrom").agg(F.max("win").alias("last")))
     return grid.join(given, ["chrom", "win"], "left").select("chrom", "win", F.coalesce("n_mappable", F.lit(0)).cast("bigint").alias("n_mappable"))
 
 
 def full_mappability(fragments: DataFrame, window: int = 1_000_000) -> DataFrame:
     """Without a map every window up to the chromosome's end counts in full."""
     ends = fragments.groupBy("chrom").agg(F.max(F.col("start") + F.col("len")).alias("e"))
-    return ends.select("chrom", F.explode(F.expr(f"sequence(0L, e div {window})")).alias("win")).withColumn("n_mappable", F.lit(window).cast("bigint"))
+    return _windows(ends.selectExpr("chrom", f"e div {window} AS last")).withColumn("n_mappable", F.lit(window).cast("bigint"))
+
+
+def _windows(lasts: DataFrame) -> DataFrame:
+    """chrom, win from 0 to the chromosome's ``last``. A chromosome is one row that may become very many, so blocks of its windows
+    are dealt by the number of all windows; no array is longer than a block, or the number of blocks."""
+    table = staged(lasts, "lasts").where("last >= 0")
+    blocks = table.select("chrom", "last", F.explode(F.expr(f"sequence(0L, last div {BLOCK})")).alias("_block"))
+    spread = blocks.repartition(tasks_for(table.sparkSession, table.agg(F.sum(F.col("last") + 1)).first()[0] or 0), "chrom", "_block")
+    return spread.select("chrom", F.explode(F.expr(f"sequence(_block * {BLOCK}, least(last, _block * {BLOCK} + {BLOCK - 1}))")).alias("win"))
