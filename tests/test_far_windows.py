@@ -2,6 +2,7 @@
 
 import random
 
+from tidepool import queries
 from tidepool.operators import background, coverage, peaks, staged
 from tidepool.plans.calls import Run, Settings
 from tidepool.sources import reads as sources
@@ -26,6 +27,18 @@ def test_thresholds_draw_windows_with_reads_alone(spark, monkeypatch):
     assert rows_of(given.thresholds.where("thr > 0")) == rows_of(got.where("thr > 0")) != []
 
 
+def test_peak_counts_draw_windows_with_reads_alone(spark, monkeypatch, tmp_path):
+    lines = ("id AS l_orderkey", "id % 2 * 300000L + 1 AS l_partkey", "1 AS l_linenumber", "9 AS l_quantity", "if(id < 40, 'R', 'N') AS l_returnflag", "'O' AS l_linestatus")
+    spark.range(44).selectExpr(*lines).write.parquet(str(tmp_path / "lineitem.parquet"))
+    drawn, simulate = [], background.simulate_windows
+    monkeypatch.setattr(background, "simulate_windows", lambda reads, windows, *more: drawn.append(windows) or simulate(reads, windows, *more))
+    monkeypatch.setattr(staged, "PER_TASK", 15)
+    out = queries.simulated_peak_counts(spark, str(tmp_path))
+    assert sorted(r.win for r in drawn[0].collect()) == [0, 90_000]
+    assert parts_of(out) == [-(-4 * 40 * 10 // 15), 2]  # a read that is drawn is four rows; two windows are drawn ten times
+    assert {r.win for r in out.collect()} == {0, 90_000}
+
+
 def test_windows_of_a_map_are_not_broadcast(spark, monkeypatch):
     seen, keep = [], background.staged
     monkeypatch.setattr(background, "staged", lambda df, name: seen.append(df) or keep(df, name))

@@ -64,8 +64,10 @@ def simulate_windows(reads: DataFrame, mappability: DataFrame, ext: int, sims: i
     joined = staged(reads.join(mappability.hint("merge"), ["chrom", "win"]).where("n > 0 AND n_mappable > 0"), "drawn")
     # a window is a short row that becomes many: tasks are cut by what will be drawn, not by the size of these rows, and a read
     # that is drawn is four rows, two changes of the height and the thresholds they cross
-    parts = tasks_for(joined.sparkSession, 4 * (joined.agg(F.sum("n")).first()[0] or 0) * sims)
-    drawn = joined.select("chrom", "n_mappable", "n", "win", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
+    n, windows = joined.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    parts = tasks_for(joined.sparkSession, 4 * n * sims)
+    spread = dealt(joined, windows * sims, "win", "chrom")
+    drawn = spread.select("chrom", "n_mappable", "n", "win", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
     keys = ("win", "sim", "chrom")  # numbers first, as sorts compare these at once
     placed = drawn.repartition(parts, *keys).select(*keys, "n_mappable", F.explode(F.expr("sequence(1L, n)")).alias("read"))
     code = "(ascii(chrom) * 31 + length(chrom))"

@@ -255,8 +255,7 @@ SIMULATED = (*PEAKS, "wc", "mp", "rw", *_SIM)
 
 @query(_cte(*PEAKS, "wc", "mp", "rw", *list(_SIM)[:8]) + "SELECT * FROM stt")
 def simulated_peak_counts(spark, sf):
-    run = _run(spark, sf)
-    return background.simulate_windows(run.reads, run.mappability, SET.ext, SET.sims, SET.seed, SET.gap)
+    return _run(spark, sf).simulated()
 
 
 @query(_cte(*SIMULATED) + "SELECT * FROM tt")
